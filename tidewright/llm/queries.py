@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, fingerprint, mixing, quality, simhash, token_count, urls
-from tidewright.llm.common import table
+from tidewright.llm import bpe, fingerprint, langid, mixing, quality, shards, simhash, token_count, urls
+from tidewright.llm.common import new_path, table
 
 
 #: Where the public tokenizers' files are; a path on every executor.
@@ -26,6 +26,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.compacted(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return store.read(shard_col="shard", tier_col="tier").select("doc_id", "source", "n_chars", "shard", "tier")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -43,13 +48,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs).drop("text")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.fitted(docs))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
+    "op4_sharding": op4_sharding,
     "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op5_url_filters": urls.SQL, "op7_mixing": mixing.SQL}
