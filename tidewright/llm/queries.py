@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import bpe, fingerprint, langid, mixing, quality, shards, simhash, token_count, urls
+from tidewright.llm import bpe, fingerprint, langid, mixing, quality, shards, simhash, suffix, token_count, urls
 from tidewright.llm.common import new_path, table
 
 
@@ -43,6 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), copy_col="copy", order_col="shuffle_key")
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).drop("text")
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
