@@ -24,6 +24,7 @@ import heapq
 import tempfile
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_WORD = 96
-BATCH_CHARS = 6_000_000
-WORDS_KEPT = 400_000
+BATCH_CHARS = 1_500_000
+WORDS_KEPT = 1_000_000
 MEMORY = "200MB"
 
 CONTRACT = """
@@ -49,7 +50,37 @@ with recursive s(w, p, t, round) as (
    from s join best on s.w = best.w where s.p <> least % 1024 + 1))
 select w, p, t from s join (select w, max(round) as round from s group by w) using (w, round) order by w, p
 """
-DECODE = "select d, string_agg(piece, '' order by p) as piece from batch join vocab using (t) group by d"
+DECODE = "select d, array_to_string(list(piece order by p), '') as piece from batch join vocab using (t) group by d"
+
+
+class Numbers(dict):
+    """Words by number; a word asked for the first time gets the next one and is noted as fresh."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.size = np.zeros(1024, kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(size, self.held.dtype)])
+        self.held[self.size : size] = values
+        self.size = size
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
 
 
 class Codec:
@@ -141,39 +172,40 @@ class Codec:
         counts = np.array([len(x) for x in out], np.int64)
         return np.array([t for x in out for t in x], np.int32), counts
 
-    def _know(self, words: list[str]) -> None:
-        """Learn words and number them after those known."""
-        ids, counts = self.learn(words)
-        digits = ids.astype("U6").tolist()
+    def _know(self) -> None:
+        """Learn the words that were met first in this batch."""
+        if not self.numbers.fresh:
+            return
+        ids, counts = self.learn(self.numbers.fresh)
+        self.numbers.fresh = []
+        digits = list(map(str, ids.tolist()))
         ends = np.cumsum(counts).tolist()
         self.digits.extend(" ".join(digits[e - n : e]) for e, n in zip(ends, counts.tolist(), strict=True))
-        self.numbers.update(zip(words, range(len(self.numbers), len(self.digits)), strict=True))
-        self.ids = np.concatenate([self.ids, ids])
-        self.counts = np.concatenate([self.counts, counts])
+        self.ids.append(ids)
+        self.counts.append(counts)
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         self.digits: list[str] = []
-        self.ids, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.ids, self.counts = Column(np.int32), Column(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All ids, the end of each text in them, and the ids of each text as decimal digits."""
-        split = [self.find(t) for t in texts]
-        here = set().union(*split)
         if len(self.numbers) > WORDS_KEPT:
             self._forget()
-        self._know([w for w in here if w not in self.numbers])
-        number, digit = self.numbers.__getitem__, self.digits.__getitem__
-        numbers = [list(map(number, words)) for words in split]
+        number = self.numbers.__getitem__
+        numbers = [list(map(number, self.find(t))) for t in texts]
+        self._know()
+        digit = self.digits.__getitem__
         joined = [" ".join(map(digit, x)) for x in numbers]
-        flat = np.fromiter((n for x in numbers for n in x), np.int64, sum(map(len, numbers)))
-        counts = self.counts[flat]
-        firsts = (np.cumsum(self.counts) - self.counts)[flat]
+        words_end = np.cumsum([0, *map(len, numbers)])
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, words_end[-1])
+        counts = self.counts.all()[flat]
         stops = np.cumsum(counts)
-        ids = self.ids[np.repeat(firsts - stops + counts, counts) + np.arange(counts.sum())]
-        words_end = np.cumsum([len(x) for x in numbers])
-        ends = np.concatenate([[0], stops])[words_end] if len(texts) else np.zeros(0, np.int64)
-        return ids, ends.astype(np.int64), joined
+        all_counts = self.counts.all()
+        firsts = (np.cumsum(all_counts) - all_counts)[flat]
+        ids = self.ids.all()[np.repeat(firsts - stops + counts, counts) + np.arange(counts.sum())]
+        return ids, np.concatenate([[0], stops])[words_end[1:]].astype(np.int64), joined
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids."""
