@@ -148,13 +148,16 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     links = next_ids(kept(sizes, "sizes")).select(F.col("id").alias("for_id"), F.col("next_id").alias("id"), "quarter")
     base = fingerprinted(own, F.col("text"), "fp")
     # A key has one follower each, so this join makes one row a key; only heads are moved on.
-    heads = base.join(links, "id").select("for_id", F.struct(F.expr("left(text, quarter)").alias("head"), F.col("fp").alias("next_fp")).alias("next"))
+    heads = base.where(F.col("id").isNotNull()).join(links, "id").select("for_id", F.struct(F.expr("left(text, quarter)").alias("head"), F.col("fp").alias("next_fp")).alias("next"))
     heads = heads.groupBy("for_id").agg(F.min("next").alias("next"))
-    empty = fingerprinted(spark.range(1), F.lit(""), "fp").select(F.col("fp").alias("no_fp"))
-    j = base.join(heads, F.col("id") == F.col("for_id"), "left").join(F.broadcast(empty))
+    # Both joins read ``base`` by id in the same form, so its exchange is made once and reused.
+    placed = base.where(F.col("id").isNotNull()).join(heads, F.col("id") == F.col("for_id"), "left")
+    nowhere = base.where(F.col("id").isNull()).withColumn("next", F.lit(None).cast(heads.schema["next"].dataType))
+    j = placed.drop("for_id").unionByName(nowhere)
+    empty = fingerprinted(spark.range(1), F.lit(""), "fp").first()["fp"]
     j = j.select(
         "id", "text", "fp", F.char_length("text").cast("long").alias("n_chars"),
-        F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.next_fp", "no_fp").alias("next_fp"),
+        F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.next_fp", F.lit(empty).cast("array<bigint>")).alias("next_fp"),
     )
     j = j.withColumn("n_new", F.floor(F.col("n_chars") / 4).cast("int"))
     j = j.withColumn("prefix", F.expr("left(text, int(n_chars) - n_new)")).withColumn("new", F.expr("left(head, n_new)"))
