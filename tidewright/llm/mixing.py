@@ -102,7 +102,7 @@ def mixed(
     copies = copies.withColumn(f"{p}order", order)
     # A hash of the shuffle key deals copies over all partitions; within each they are sorted by it.
     dealt = copies.repartition(partitions(docs.sparkSession), F.col(f"{p}order")).sortWithinPartitions(f"{p}order")
-    more = [F.col(f"{p}copy").alias(copy_col)] * (copy_col is not None) + [F.col(f"{p}order").alias(order_col)] * (order_col is not None)
+    more = [F.col(f"{p}{c}").alias(name) for c, name in (("copy", copy_col), ("order", order_col)) if name]
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], *more)
 
 
