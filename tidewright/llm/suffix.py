@@ -36,8 +36,8 @@ from tidewright.llm.common import free_prefix, kept, partitions, text_of
 WINDOW = anchors.WINDOW
 #: A gram with more distinct regions than this is split by window.
 HOT = 192
-#: Starts of one block of a hot region.
-STEP = 32
+#: Starts of one block of a hot region, coarse to fine.
+STEPS = (32, 4, 1)
 #: Bytes of regions whose suffixes are sorted together.
 PIECE = 4 << 20
 RID = ["gram", "r1", "r2"]
@@ -160,45 +160,44 @@ def sorted_shards(regions: DataFrame, window: int) -> DataFrame:
 def split_windows(regions: DataFrame, window: int) -> DataFrame:
     """Repeated starts of regions of hot grams, by hashes dealt over all tasks: (gram, r1, r2, low, high).
 
-    A block is STEP starts at a fixed distance from the anchor; its core is what all its windows
+    A block is some starts at a fixed distance from the anchor; its core is what all its windows
     hold. A core that comes once has no repeated window; if all blocks of a core are equal, all
-    windows are repeated; only blocks between are taken window by window.
+    their windows are repeated; only blocks between are cut finer, down to single windows.
     """
     regions = regions.dropDuplicates(RID)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for gram, r1, r2, n, rel, raw in zip(*(batch[c].to_pylist() for c in (*RID, "n", "rel", "raw")), strict=True):
-                for j in range(-rel // STEP, (n - 1 - rel) // STEP + 1):
-                    base = j * STEP + rel
-                    low, high = max(0, base), min(n - 1, base + STEP - 1)
-                    core = _pair(raw[base + STEP - 1 : base + window], gram ^ j)
-                    whole = _pair(raw[low : high + window], (low - base) * STEP + high - base)
-                    out.append((gram, r1, r2, low, high, *core, whole[0]))
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*RID, "low", "high", "c1", "c2", "whole"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for gram, r1, r2, rel, raw, spans in zip(*(batch[c].to_pylist() for c in (*RID, "rel", "raw", "spans")), strict=True):
-                for s in spans:
-                    for o in range(s["low"], s["high"] + 1):
-                        out.append((gram, r1, r2, o, *_pair(raw[o : o + window], gram ^ (o - rel))))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*RID, "low", "c1", "c2"])
-
-    own = kept(regions.select(*RID, "n", "rel", "raw").mapInArrow(blocks, FOUND + ", c1 long, c2 long, whole long"), "blocks")
-    cores = own.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times"), (F.min("whole") == F.max("whole")).alias("equal")).where("times > 1")
-    met = own.join(cores, ["c1", "c2"])
-    spans = met.where(~F.col("equal")).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    single = kept(regions.join(spans, RID).select(*RID, "rel", "raw", "spans").mapInArrow(windows, "gram long, r1 long, r2 long, low int, c1 long, c2 long"), "windows")
-    often = single.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    each = single.join(often, ["c1", "c2"]).select(*RID, "low", F.col("low").alias("high"))
-    return met.where("equal").select(*RID, "low", "high").unionByName(each)
+    def blocks(step: int):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for gram, r1, r2, rel, raw, spans in zip(*(batch[c].to_pylist() for c in (*RID, "rel", "raw", "spans")), strict=True):
+                    for s in spans:
+                        for j in range((s["low"] - rel) // step, (s["high"] - rel) // step + 1):
+                            base = j * step + rel
+                            low, high = max(s["low"], base), min(s["high"], base + step - 1)
+                            core = _pair(raw[base + step - 1 : base + window], gram ^ j)
+                            whole = _pair(raw[low : high + window], (low - base) * step + high - base)
+                            out.append((gram, r1, r2, low, high, *core, whole[0]))
+                cols = list(zip(*out, strict=True)) or [[]] * 8
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*RID, "low", "high", "c1", "c2", "whole"])
+
+        return run
+
+    every = F.array(F.struct(F.lit(0).alias("low"), (F.col("n") - 1).alias("high")))
+    todo = regions.select(*RID, "rel", "raw", every.alias("spans"))
+    found = []
+    for step in STEPS:
+        own = kept(todo.mapInArrow(blocks(step), FOUND + ", c1 long, c2 long, whole long"), "blocks")
+        cores = own.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times"), (F.min("whole") == F.max("whole")).alias("equal")).where("times > 1")
+        met = own.join(cores, ["c1", "c2"])
+        found.append(met.where("equal").select(*RID, "low", "high"))
+        mixed = met.where(~F.col("equal")).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+        todo = regions.join(mixed, RID).select(*RID, "rel", "raw", "spans")
+    # Regions that come twice are repeated as a whole; here they only serve as partners of others.
+    asked = regions.where("not dup").select(*RID)
+    starts = found[0].unionByName(found[1]).unionByName(found[2]).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("starts"))
+    return starts.join(asked, RID, "left_semi").select(*RID, F.explode("starts").alias("x")).select(*RID, "x.low", "x.high")
 
 
 def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -232,10 +231,13 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = kept(sourced.mapInArrow(fetch, schema), "bytes")
     found = kept(sorted_shards(cut.where("not hot"), window).unionByName(split_windows(cut.where("hot"), window)), "found")
     whole = regions.where("dup").select(*RID, F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))
-    hits = met.join(found.unionByName(whole), RID)
-    ranges = hits.select("h1", "h2", F.struct((F.col("s0") + F.col("low")).alias("low"), (F.col("s0") + F.col("high") + window).alias("high")).alias("span"))
-    ranges = ranges.unionByName(copies.where("copies > 1").select("h1", "h2", F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")).alias("span")))
-    return ranges.groupBy("h1", "h2").agg(F.collect_list("span").alias("spans"))
+    # One row a region with its starts, fewer than a window has bytes; so one row a place after the join.
+    starts = found.unionByName(whole).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("starts"))
+    hits = met.join(starts, RID)
+    moved = F.transform("starts", lambda x: F.struct((F.col("s0") + x["low"]).alias("low"), (F.col("s0") + x["high"] + window).alias("high")))
+    ranges = hits.select("h1", "h2", moved.alias("spans"))
+    ranges = ranges.unionByName(copies.where("copies > 1").select("h1", "h2", F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high"))).alias("spans")))
+    return ranges.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def removed(size: int, found: list[dict[str, int]] | None, window: int) -> list[tuple[int, int]]:
