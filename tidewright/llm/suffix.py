@@ -57,26 +57,29 @@ def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def runs(texts: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, gram, r1, r2, s0, n, rel): the runs of each text; rel is the anchor's place in the region."""
+    """(h1, h2, gram, r1, r2, places, n, rel): the regions of each text with the places where they start.
+
+    rel is the anchor's place in the region. A region that a text repeats, as periodic text does, is
+    one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[int]] = [[] for _ in range(8)]
+            rows = []
             for h1, h2, t in zip(batch["h1"].to_pylist(), batch["h2"].to_pylist(), batch["text"], strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 if len(raw) < window:
                     continue
+                own: dict[tuple[int, ...], list[int]] = {}
                 g, a, s0, s1 = anchors.runs(raw, window)
-                rel = a - s0
-                pairs = [_pair(raw[x : y + window], r) for x, y, r in zip(s0.tolist(), s1.tolist(), rel.tolist(), strict=True)]
-                n = len(pairs)
-                found = ([h1] * n, [h2] * n, g.view(np.int64).tolist(), [p[0] for p in pairs], [p[1] for p in pairs], s0.tolist(), (s1 - s0 + 1).tolist(), rel.tolist())
-                for c, x in zip(cols, found, strict=True):
-                    c.extend(x)
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", *RID, "s0", "n", "rel"])
-
-    schema = "h1 long, h2 long, gram long, r1 long, r2 long, s0 int, n int, rel int"
+                for gram, rel, x, y in zip(g.view(np.int64).tolist(), (a - s0).tolist(), s0.tolist(), s1.tolist(), strict=True):
+                    own.setdefault((gram, *_pair(raw[x : y + window], rel), y - x + 1, rel), []).append(x)
+                rows += [(h1, h2, *k[:3], places, *k[3:]) for k, places in own.items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", *RID, "places", "n", "rel"])
+
+    schema = "h1 long, h2 long, gram long, r1 long, r2 long, places array<int>, n int, rel int"
     return texts.select("h1", "h2", "text").mapInArrow(run, schema)
 
 
@@ -204,12 +207,13 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h1, h2, spans): for each text hash the byte spans [low, high) to remove; low < 0 stands for the whole text."""
     copies = kept(texts.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "copies")
     all_runs = kept(runs(texts, window), "runs")
-    # Copies of a text have the same runs, so one place is one hash of (text, start).
-    place = F.xxhash64("h1", "h2", "s0")
-    shared = all_runs.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
-    met = kept(all_runs.join(shared, "gram").dropDuplicates(["h1", "h2", "s0"]), "met")
-    first = [F.first(c).alias(c) for c in ("h1", "h2", "s0", "n", "rel")]
-    regions = kept(met.groupBy(*RID).agg((F.count(F.lit(1)) > 1).alias("dup"), *first), "regions")
+    # Copies of a text have the same regions; anything else that shares a gram is another (text, region) or place.
+    own = F.xxhash64("h1", "h2", "r1", "r2")
+    shared = all_runs.groupBy("gram").agg(F.min(own).alias("a"), F.max(own).alias("b"), F.max(F.size("places")).alias("times"))
+    met = kept(all_runs.join(shared.where("a <> b or times > 1").select("gram"), "gram").dropDuplicates(["h1", "h2", *RID]), "met")
+    first = [F.first(c).alias(c) for c in ("h1", "h2", "n", "rel")]
+    dup = (F.count(F.lit(1)) > 1) | (F.max(F.size("places")) > 1)
+    regions = kept(met.groupBy(*RID).agg(dup.alias("dup"), F.first(F.col("places")[0]).alias("s0"), *first), "regions")
     many = regions.groupBy("gram").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1")
     open_regions = regions.join(many, "gram").withColumn("hot", F.col("regions") > HOT)
     wanted = open_regions.groupBy("h1", "h2").agg(F.collect_list(F.struct(*RID, "s0", "n", "rel", "dup", "hot")).alias("list"))
@@ -234,7 +238,9 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     # One row a region with its starts, fewer than a window has bytes; so one row a place after the join.
     starts = found.unionByName(whole).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("starts"))
     hits = met.join(starts, RID)
-    moved = F.transform("starts", lambda x: F.struct((F.col("s0") + x["low"]).alias("low"), (F.col("s0") + x["high"] + window).alias("high")))
+    moved = F.flatten(
+        F.transform("places", lambda s: F.transform("starts", lambda x: F.struct((s + x["low"]).alias("low"), (s + x["high"] + window).alias("high"))))
+    )
     ranges = hits.select("h1", "h2", moved.alias("spans"))
     ranges = ranges.unionByName(copies.where("copies > 1").select("h1", "h2", F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high"))).alias("spans")))
     return ranges.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
