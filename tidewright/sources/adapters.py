@@ -52,6 +52,16 @@ def benchmark_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select(F.col("segment").alias("id"), "date", _price(F.col("paid"), F.col("quantity")).alias("close"))
 
 
+def brand_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, date, close) with brands as ids: denser series than suppliers have."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    week = F.to_date(F.date_trunc("week", "l_shipdate"))
+    sums = lines.groupBy(F.col("p_brand").alias("id"), week.alias("date")).agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity")
+    )
+    return sums.select("id", "date", _price(F.col("paid"), F.col("quantity")).alias("close"))
+
+
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, date, eps_actual, eps_estimated): a supplier's quarter, dated at its last shipment."""
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
