@@ -67,11 +67,10 @@ def rates(docs: DataFrame, source: str = "source", weights: Mapping[str, float]
     else:
         given = docs.sparkSession.createDataFrame(list(weights.items()), "of string, weight double")
         weighed = sizes.join(given, sizes.source.eqNullSafe(given.of)).drop("of")
-    # One row a source: a global sum over the few sources.
-    total = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"))
-    scaled = weighed.join(F.broadcast(total))
-    rate = F.col("weight") / F.col("all_weight") * F.col("all_n") * F.lit(float(epochs)) / F.col("n")
-    return scaled.select("source", rate.alias("rate"))
+    # Two numbers over all sources.
+    total = weighed.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).first()
+    rate = F.col("weight") / F.lit(total["weight"] or 1.0) * F.lit(total["n"] or 0) * F.lit(float(epochs)) / F.col("n")
+    return weighed.select("source", rate.alias("rate"))
 
 
 def mixed(

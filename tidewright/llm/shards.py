@@ -156,7 +156,7 @@ class ShardStore:
             file = F.col("_metadata.file_path")
             # Arrivals lie in a folder of their batch, merged runs under their own name.
             shard = F.concat_ws("/", F.regexp_extract(file, r"/data/(.*)/part-\d+", 1), F.regexp_extract(file, r"/part-(\d+)", 1))
-            more = [shard.alias(shard_col)] * (shard_col is not None) + [F.lit(tier).alias(tier_col)] * (tier_col is not None)
+            more = [c.alias(name) for c, name in ((shard, shard_col), (F.lit(tier), tier_col)) if name]
             parts.append(df.select(*[F.col(f"`{c}`") for c in self.schema.names], *more))
         if not parts:
             empty = self.spark.createDataFrame([], self.schema)
