@@ -38,12 +38,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def densify(obs: DataFrame, cal: DataFrame) -> DataFrame:
     """(id, idx, close): every id on every calendar day, null where it has no observation.
 
-    Each id makes its own days; observations off the calendar are dropped.
+    Each observation also makes the empty days up to the next one (the first those before it too),
+    so one exchange by id serves this and all windows after it. Observations off the calendar are
+    dropped; an id that has no other is null throughout.
     """
     days = cal.count()
-    placed = obs.join(small(cal), "date").select("id", "idx", "close")
-    every = obs.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0), F.lit(max(days - 1, 0)))).alias("idx"))
-    return every.join(placed, ["id", "idx"], "left")
+    placed = obs.join(small(cal), "date", "left").select("id", F.col("idx").alias("own"), "close")
+    w = Window.partitionBy("id").orderBy(F.col("own").asc_nulls_last())
+    marked = placed.select("*", F.row_number().over(w).alias("place"), F.lead("own").over(w).alias("next"))
+    first = F.when(F.col("place") == 1, 0).otherwise(F.col("own"))
+    last = F.coalesce("next", F.lit(days)) - 1
+    span = marked.where((F.col("own").isNotNull() | (F.col("place") == 1)) & F.lit(days > 0))
+    filled = span.select("id", "own", "close", F.explode(F.sequence(first, last)).alias("idx"))
+    return filled.select("id", "idx", F.when(F.col("idx") == F.col("own"), F.col("close")).alias("close"))
 
 
 def orphans(obs: DataFrame, cal: DataFrame) -> DataFrame:
