@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 LONG_WORD = 96
 BATCH_CHARS = 1_500_000
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 MEMORY = "200MB"
 
 CONTRACT = """
