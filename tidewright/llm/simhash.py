@@ -35,26 +35,54 @@ SHINGLE, RADIUS = 3, 2
 BLOCK = 2048
 #: Shingles hashed at a time.
 SHINGLES_AT_ONCE = 1 << 16
-#: The pipeline's stage: tables over single words, then five-word shingles whose bits agree to 0.8.
+#: The pipeline's stage: tables over the fingerprints of distinct words, links over five-word shingles.
 GROUP_SHINGLE, GROUP_SIMILARITY = 5, 0.8
-WORD_RADIUS, WORD_APART = 6, 9
+WORD_RADIUS, WORD_APART = 6, 12
+#: Bits of the wide fingerprint by which a link is decided, in longs of 64.
+WIDE = 8
+#: Standard deviations of the wide estimate that a pair may fall short of the similarity.
+MARGIN = 1.3
 
 
-def simhash(words: list[bytes], shingle: int, once: bool = False) -> int:
-    """A bit is 1 if set in over half the hashes. once: each distinct shingle counts once."""
+def shingle_hashes(words: list[bytes], shingle: int, once: bool = False) -> np.ndarray:
+    """XXH64 of each shingle, repeats included. once: each distinct shingle counts once."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
-    ones, total = np.zeros(BITS, np.int64), 0
     grams = (b" ".join(words[i : i + shingle]) for i in range(n)) if shingle > 1 else words
     if once:
         grams = dict.fromkeys(grams)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes; 0 for none."""
+    ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), SHINGLES_AT_ONCE):
         part = hashes[i : i + SHINGLES_AT_ONCE]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        total += len(part)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def simhash(words: list[bytes], shingle: int, once: bool = False) -> int:
+    return majority(shingle_hashes(words, shingle, once))
+
+
+def rehashed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Independent hashes made of hashes, by a finalising mix."""
+    h = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def most_apart(similarity: float, bits: int, margin: float = MARGIN) -> int:
+    """Differing bits up to which two fingerprints count as of sets with that Jaccard similarity.
+
+    Each bit differs with the angle between the sets over pi; the margin is in standard deviations.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + margin * np.sqrt(bits * share * (1 - share)))
 
 
 def masks(radius: int) -> list[int]:
@@ -67,19 +95,26 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << i for i, m in enumerate(own) if (m & v).bit_count() % 2) for v in range(1, count + 1)]
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, sketches: list[tuple[int, bool]]) -> DataFrame:
-    """(id, fp0, fp1, ...): one signed 64-bit fingerprint for each (shingle, once)."""
+def fingerprints(docs: DataFrame, key: str, text: str, sketches: list[tuple[int, bool]], wide: int = 0) -> DataFrame:
+    """(id, fp0, fp1, ..., w0, w1, ...): a signed 64-bit fingerprint for each (shingle, once).
+
+    wide: as many more over the shingles of the last sketch, with independent hashes.
+    """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    names = [f"fp{i}" for i in range(len(sketches))]
+    names = [f"fp{i}" for i in range(len(sketches))] + [f"w{k}" for k in range(wide)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[int]] = [[] for _ in sketches]
+            found: list[list[int]] = [[] for _ in names]
             for t in batch["text"]:
                 # bytes.lower() changes A-Z only, and bytes.split() cuts at ASCII white space only.
                 words = (t.as_py() or "").encode().lower().split()
-                for out, (k, once) in zip(found, sketches, strict=True):
-                    out.append(simhash(words, k, once))
+                hashes = np.zeros(0, np.uint64)
+                for out, (k, once) in zip(found, sketches, strict=False):
+                    hashes = shingle_hashes(words, k, once)
+                    out.append(majority(hashes))
+                for k, out in enumerate(found[len(sketches) :]):
+                    out.append(majority(rehashed(hashes, k)))
             cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in found]
             yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", *names])
 
@@ -107,12 +142,14 @@ class Forest:
             self.links.append((a, b))
 
 
-def _linked(fps: np.ndarray, limits: list[int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows differ in at most limits[k] bits of fingerprint k, for every k."""
+def _linked(fps: np.ndarray, limits: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows differ in at most limits[k] bits of fingerprint k, for every k; and in how many of the last."""
     ok = np.ones(np.broadcast_shapes(a.shape, b.shape), bool)
+    apart = np.zeros(ok.shape, np.uint8)
     for k, most in enumerate(limits):
-        ok &= np.bitwise_count(fps[a, k] ^ fps[b, k]) <= most
-    return ok
+        apart = np.bitwise_count(fps[a, k] ^ fps[b, k])
+        ok &= apart <= most
+    return ok, apart
 
 
 def join_links(fps: np.ndarray, limits: list[int], rows: np.ndarray, forest: Forest, depth: int = 0) -> None:
@@ -127,10 +164,12 @@ def join_links(fps: np.ndarray, limits: list[int], rows: np.ndarray, forest: For
             left = rows[i : i + BLOCK]
             for j in range(i, len(rows), BLOCK):
                 right = rows[j : j + BLOCK]
-                x, y = np.nonzero(_linked(fps, limits, left[:, None], right[None, :]))
-                for a, b in zip(left[x].tolist(), right[y].tolist(), strict=True):
-                    if a < b:
-                        forest.join(a, b)
+                ok, apart = _linked(fps, limits, left[:, None], right[None, :])
+                x, y = np.nonzero(ok & (left[:, None] < right[None, :]))
+                # The closest pairs first: the links that stay are then the likeliest.
+                order = np.argsort(apart[x, y], kind="stable")
+                for a, b in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
+                    forest.join(a, b)
         return
     edges = np.linspace(0, BITS, parts + 1).astype(int)
     for low, high in zip(edges[:-1], edges[1:], strict=True):
@@ -150,7 +189,7 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, limits: list[int]) -> tuple[
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
     sizes = ends - starts
     pair = starts[sizes == 2]
-    pair = pair[_linked(fps, limits, pair, pair + 1)]
+    pair = pair[_linked(fps, limits, pair, pair + 1)[0]]
     left, right = [pair], [pair + 1]
     for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
         forest = Forest(e - s)
@@ -195,15 +234,23 @@ def edges(nodes: DataFrame, limits: list[int], radius: int) -> DataFrame:
     return dealt.repartition(partitions(nodes.sparkSession), "key").mapInArrow(meet, out).distinct()
 
 
-def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column) -> DataFrame:
-    """(fp0.., first, class_first): distinct fingerprints with the least member of each and of its component."""
-    names = [f"fp{i}" for i in range(len(limits))]
-    nodes = kept(prints.groupBy(*names).agg(F.min(members).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, wide: int = 0, wide_apart: int = 0) -> DataFrame:
+    """(fp0.., first, component): distinct fingerprints with the least member of each, and their component.
+
+    wide: links must also differ in ``wide_apart`` bits of the wide fingerprints at most.
+    """
+    names, more = [f"fp{i}" for i in range(len(limits))], [f"w{k}" for k in range(wide)]
+    nodes = kept(prints.groupBy(*names).agg(F.min(members).alias("first"), *[F.first(w).alias(w) for w in more]), "nodes")
     links = edges(nodes, limits, radius)
+    if wide:
+        side = lambda s: nodes.select(*[F.col(n).alias(f"{s}{i}") for i, n in enumerate(names)], *[F.col(w).alias(f"{s}{w}") for w in more])
+        keys = lambda s: [f"{s}{i}" for i in range(len(names))]
+        apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in more), F.lit(0))
+        links = links.join(side("a"), keys("a")).join(side("b"), keys("b")).where(apart <= wide_apart)
     pack = lambda s: F.struct(*[F.col(f"{s}{k}").alias(n) for k, n in enumerate(names)])
     groups = components(links.select(pack("a").alias("a"), pack("b").alias("b")), "a", "b")
     named = groups.select(*[F.col(f"node.{n}").alias(n) for n in names], "component")
-    joined = nodes.join(named, names, "left")
+    joined = nodes.select(*names, "first").join(named, names, "left")
     own = F.struct(*[F.col(n) for n in names])
     return kept(joined.withColumn("component", F.coalesce("component", own)), "classes")
 
@@ -229,17 +276,17 @@ def one_of_each_group(
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of the least (key, text hash).
 
-    Two texts are linked if the fingerprints of their shingles agree on ``similarity`` of the bits
-    and those of their distinct words differ in ``word_apart`` bits at most. The covering tables
-    stand over the word fingerprints, which move less under an edit: they are sure to hold every
-    pair within ``word_radius`` bits, and most of those a few bits beyond.
+    Two texts are linked if the wide fingerprints of their shingles (64 * WIDE bits) are as close as
+    those of sets with that Jaccard similarity. The covering tables stand over the fingerprints of
+    distinct words, which move less under an edit: they are sure to hold every pair within
+    ``word_radius`` bits, and most of those a few bits beyond.
     """
     p = free_prefix(docs)
     keyed = docs.withColumn(f"{p}hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     ids = keyed.select(F.struct(F.col(key).alias("key"), F.col(f"{p}hash").alias("hash")).alias("id"), F.col(text).alias("text"))
-    prints = kept(fingerprints(ids, "id", "text", [(1, True), (shingle, False)]), "prints")
-    limits = [word_apart, int(BITS * (1 - similarity))]
-    classes = _nodes(prints, limits, word_radius, F.col("id"))
+    prints = kept(fingerprints(ids, "id", "text", [(1, True), (shingle, False)], WIDE), "prints")
+    limits = [word_apart, most_apart(similarity, BITS, 3.0)]
+    classes = _nodes(prints, limits, word_radius, F.col("id"), WIDE, most_apart(similarity, BITS * WIDE))
     firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
     named = classes.join(firsts, "component").select("fp0", "fp1", "keep")
     # One row for each (key, text hash): does it stay, and how often does it come?
