@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import anchors, induced
-from tidewright.llm.common import free_prefix, kept, partitions, text_of
+from tidewright.llm.common import free_prefix, kept, partitions, slim, text_of
 
 WINDOW = anchors.WINDOW
 #: A gram with more distinct regions than this is split by window.
@@ -39,7 +39,7 @@ HOT = 192
 #: Starts of one block of a hot region, coarse to fine.
 STEPS = (32, 4, 1)
 #: Bytes of regions whose suffixes are sorted together.
-PIECE = 4 << 20
+PIECE = 1 << 20
 RID = ["gram", "r1", "r2"]
 
 
@@ -64,7 +64,7 @@ def runs(texts: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             rows = []
             for h1, h2, t in zip(batch["h1"].to_pylist(), batch["h2"].to_pylist(), batch["text"], strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
@@ -144,7 +144,7 @@ def sorted_shards(regions: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, int], tuple[bytes, int, bool]] = {}
         size, last = 0, None
-        for batch in batches:
+        for batch in slim(batches):
             for gram, r1, r2, n, dup, raw in zip(*(batch[c].to_pylist() for c in (*RID, "n", "dup", "raw")), strict=True):
                 if gram != last and size > PIECE:
                     yield work(held)
@@ -171,7 +171,7 @@ def split_windows(regions: DataFrame, window: int) -> DataFrame:
 
     def blocks(step: int):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slim(batches):
                 out = []
                 for gram, r1, r2, rel, raw, spans in zip(*(batch[c].to_pylist() for c in (*RID, "rel", "raw", "spans")), strict=True):
                     for s in spans:
@@ -223,7 +223,7 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     sourced = texts.join(wanted.hint("shuffle_hash"), at).select("text", "list")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             rows = []
             for t, items in zip(batch["text"], batch["list"].to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes()
@@ -278,7 +278,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             out: list[list] = [[], [], [], []]
             for t, found in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes()
@@ -308,7 +308,7 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str | N
     joined = docs.join(found.hint("shuffle_hash"), same, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             at = batch.schema.get_field_index(text)
             out = []
             for x, own in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
