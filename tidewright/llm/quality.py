@@ -25,7 +25,8 @@ from tidewright.llm.common import free_prefix, text_of, words_of
 MIN_WORDS = 10
 MAX_REPEATED_WORDS = 0.20  # share of words inside five-word windows found twice or more
 MAX_SYMBOLS_PER_WORD = 0.25
-MAX_DUPLICATE_LINES = 0.30  # share of lines
+MAX_DUPLICATE_LINES, FEW_LINES = 0.30, 2  # share of lines; so few never count
+MAX_DOUBLED_WORDS = 0.25  # share of words equal to the one before
 MIN_WORD_CHARS, MAX_WORD_CHARS = 2.0, 20.0  # mean
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -66,6 +67,12 @@ def _add_lines(df: DataFrame, p: str, alive: Column | None) -> DataFrame:
     )
 
 
+def _add_doubled(df: DataFrame, p: str, alive: Column | None) -> DataFrame:
+    words = F.col(f"{p}words")
+    doubled = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
+    return df.withColumn(f"{p}n_doubled", _guard(alive, doubled.cast("long")))
+
+
 def _add_repeats(df: DataFrame, p: str, alive: Column | None) -> DataFrame:
     """Words inside five-word windows that occur twice or more in the text.
 
@@ -115,7 +122,8 @@ RULES: tuple[Rule, ...] = (
     Rule("few_words", (_add_words,), lambda m: m("n_words") < MIN_WORDS),
     Rule("repeated_words", (_add_words, _add_repeats), lambda m: 100 * m("n_repeat_words") > round(100 * MAX_REPEATED_WORDS) * m("n_words")),
     Rule("symbols", (_add_words, _add_symbols), lambda m: m("n_symbols") > MAX_SYMBOLS_PER_WORD * m("n_words")),
-    Rule("duplicate_lines", (_add_lines,), lambda m: m("n_dup_lines") > MAX_DUPLICATE_LINES * m("n_lines")),
+    Rule("duplicate_lines", (_add_lines,), lambda m: (m("n_dup_lines") > FEW_LINES) & (m("n_dup_lines") > MAX_DUPLICATE_LINES * m("n_lines"))),
+    Rule("doubled_words", (_add_words, _add_doubled), lambda m: m("n_doubled") > MAX_DOUBLED_WORDS * m("n_words")),
     Rule("word_length", (_add_words, _add_word_chars), _mean_length),
 )
 BASE = ("few_words", "repeated_words")
