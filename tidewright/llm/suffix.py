@@ -34,8 +34,8 @@ from tidewright.llm import anchors, induced
 from tidewright.llm.common import free_prefix, kept, partitions, slim, text_of
 
 WINDOW = anchors.WINDOW
-#: A gram with more distinct regions than this is split by window.
-HOT = 192
+#: A gram with more distinct regions than this, about what fills a piece, is split by window.
+HOT = 1500
 #: Starts of one block of a hot region, coarse to fine.
 STEPS = (32, 4, 1)
 #: Bytes of regions whose suffixes are sorted together.
