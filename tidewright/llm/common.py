@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Only ASCII white space separates words: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = "\t\n\x0b\x0c\r"
 _OWN: dict[str, str] = {}
+#: Scratch paths in the order in which they were given out.
+_GIVEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,7 +35,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +53,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``kept``, and then without the scratch tables given out from ``since`` on, which only made ``df``."""
+    spark = df.sparkSession
+    out = kept(df, name)
+    for path in _GIVEN[since:-1]:
+        drop_path(spark, path)
+    del _GIVEN[since:-1]
+    return out
+
+
+def given() -> int:
+    """How many scratch paths are out: a mark for ``settled``."""
+    return len(_GIVEN)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

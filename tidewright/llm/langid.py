@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 #: Bound of the training sample: about this many rows of each language, and at most twice it.
 ROWS_PER_LANGUAGE = 800
 MOST_LANGUAGES = 400
+#: With many languages each gets fewer, so that the driver holds about so many rows in all.
+ROWS_IN_ALL = 12_000
 GRAMS = (2, 3)
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -168,6 +170,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, rows: int) -> DataFr
     most = sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()  # bounded: one row a language
     if not most:
         return fit.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).limit(0)
+    rows = max(20, min(rows, ROWS_IN_ALL // len(most)))
     u = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = F.lit(False)
     for r in most:
