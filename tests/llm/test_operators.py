@@ -67,16 +67,17 @@ def test_bpe_matches_the_library_and_decodes(spark, docs, none):
     back = bpe.decoded(bpe.encoded(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
     assert sorted((bytes(r["bytes"]) for r in back.collect())) == sorted((r[1] or "").encode() for r in corpus())
     assert bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
-    for word in ("a" * 700, "ab" * 90, "é" * 300, "xyzzy" * 60, " " * 200):
-        assert bpe.Codec.encode(c, [word])[0].tolist() == lib.encode_ordinary(word)
+    with c:
+        for word in ("a" * 700, "ab" * 90, "é" * 300, "xyzzy" * 60, " " * 200):
+            assert c.encode([word])[0].tolist() == lib.encode_ordinary(word)
 
 
 def test_bpe_forgets_words_and_stays_right(monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
-    c = bpe.Codec(RANKS, public_tokenizers.PATTERN)
-    first = c.encode(["alpha beta gamma delta"])[2]
-    c.encode(["other words entirely here now"])
-    assert c.encode(["alpha beta gamma delta"])[2] == first
+    with bpe.Codec(RANKS, public_tokenizers.PATTERN) as c:
+        first = c.encode(["alpha beta gamma delta"])[2]
+        c.encode(["other words entirely here now"])
+        assert c.encode(["alpha beta gamma delta"])[2] == first
 
 
 def test_fingerprints(spark, docs, none):

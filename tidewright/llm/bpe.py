@@ -84,7 +84,7 @@ class Column:
 
 
 class Codec:
-    """One vocabulary with its DuckDB connection; made once a worker process."""
+    """One vocabulary, made once a worker process; as a context it has a DuckDB connection."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         import duckdb
@@ -95,9 +95,6 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pieces = {t: b for b, t in self.ranks.items()}
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self._forget()
-        self.folder = tempfile.TemporaryDirectory(prefix="bpe-")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.folder.name})
         triples = [
             (self.ranks[b[:k]], self.ranks[b[k:]], t)
             for b, t in self.ranks.items()
@@ -105,10 +102,26 @@ class Codec:
             if b[:k] in self.ranks and b[k:] in self.ranks
         ]
         l, r, t = (np.array(x, np.int32) for x in zip(*triples, strict=True))
-        self._load("merges", l=l, r=r, t=t)
         # Bytes stand as the characters of the same number; DuckDB strings hold no zero, so it is 256.
         ids = sorted(self.pieces)
-        self._load("vocab", t=np.array(ids, np.int32), piece=pa.array([self.pieces[i].decode("latin-1").replace("\0", "Ā") for i in ids]))
+        pieces = pa.array([self.pieces[i].decode("latin-1").replace("\0", "Ā") for i in ids])
+        self.tables = {"merges": {"l": l, "r": r, "t": t}, "vocab": {"t": np.array(ids, np.int32), "piece": pieces}}
+        self.connect = duckdb.connect
+        self._forget()
+
+    def __enter__(self) -> Codec:
+        """Connect for one task."""
+        self.folder = tempfile.TemporaryDirectory(prefix="bpe-")
+        self.db = self.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.folder.name})
+        for name, columns in self.tables.items():
+            self._load(name, **columns)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """A worker that waits for its next task holds neither words nor DuckDB's memory."""
+        self.db.close()
+        self.folder.cleanup()
+        self._forget()
 
     def _load(self, name: str, **columns: Any) -> None:
         self.db.register("given", pa.table(columns))
@@ -241,13 +254,13 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for part in slices(texts, BATCH_CHARS):
-                ids, ends, _ = c.encode(texts[part])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch["id"][part.start : part.stop], lists], ["id", "ids"])
+        with codec(ranks_path, pattern) as c:
+            for batch in batches:
+                texts = [t or "" for t in batch["text"].to_pylist()]
+                for part in slices(texts, BATCH_CHARS):
+                    ids, ends, _ = c.encode(texts[part])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([batch["id"][part.start : part.stop], lists], ["id", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", key)
@@ -258,12 +271,12 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id
     rows = tokens.select(F.col(key).alias("id"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        for batch in batches:
-            lists = batch["ids"]
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(c.decode(flat, ends), pa.binary())], ["id", "bytes"])
+        with codec(ranks_path, pattern) as c:
+            for batch in batches:
+                lists = batch["ids"]
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(c.decode(flat, ends), pa.binary())], ["id", "bytes"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", key)
@@ -274,21 +287,21 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for part in slices(texts, BATCH_CHARS):
-                ids, ends, joined = c.encode(texts[part])
-                back = c.decode(ids, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["id"][part.start : part.stop],
-                        pa.array(np.diff(ends, prepend=0), pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-                    ],
-                    ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        with codec(ranks_path, pattern) as c:
+            for batch in batches:
+                texts = [t or "" for t in batch["text"].to_pylist()]
+                for part in slices(texts, BATCH_CHARS):
+                    ids, ends, joined = c.encode(texts[part])
+                    back = c.decode(ids, ends)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch["id"][part.start : part.stop],
+                            pa.array(np.diff(ends, prepend=0), pa.int64()),
+                            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
+                            pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                        ],
+                        ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
