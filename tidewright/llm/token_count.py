@@ -100,17 +100,18 @@ def count_long(t: Any, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
 
 
 def counts_of(path: str, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """The tokens of each text; equal texts of the list are encoded once."""
     t = tokenizer(path)
-    long = {i for i, x in enumerate(texts) if len(x) > chunk} if splices(path) else set()
-    out = [0] * len(texts)
-    short = [i for i in range(len(texts)) if i not in long]
-    for part in slices([texts[i] for i in short], BATCH_CHARS):
+    found = dict.fromkeys(texts, 0)
+    cuts = splices(path)
+    short = [x for x in found if len(x) <= chunk or not cuts]
+    for part in slices(short, BATCH_CHARS):
         own = short[part]
-        for i, e in zip(own, t.encode_batch_fast([texts[i] for i in own], add_special_tokens=False), strict=True):
-            out[i] = len(e)
-    for i in long:
-        out[i] = count_long(t, texts[i], chunk, overlap)
-    return out
+        found |= zip(own, map(len, t.encode_batch_fast(own, add_special_tokens=False)), strict=True)
+    for x in found:
+        if cuts and len(x) > chunk:
+            found[x] = count_long(t, x, chunk, overlap)
+    return [found[x] for x in texts]
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
