@@ -193,6 +193,34 @@ def test_one_of_each_group(spark, docs, none):
     assert simhash.one_of_each_group(none).count() == 0
 
 
+def _edited(rng, base, share, fresh):
+    return " ".join(rng.choice(fresh) if rng.random() < share else w for w in base)
+
+
+def test_one_of_each_group_among_loose_neighbours(spark):
+    """The kept texts are those of all pairwise links, though most pairs of the group are near but no link."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(600)]
+    texts = [_edited(rng, base, 0.005 + 0.06 * i / 120, words) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketches = [(1, True), (simhash.GROUP_SHINGLE, False)]
+    rows = simhash.fingerprints(docs, "doc_id", "text", sketches, simhash.WIDE).orderBy("id").collect()
+    prints = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
+    bits = np.bitwise_count(prints[:, None] ^ prints[None, :]).astype(int)
+    loose = (bits[..., 0] <= simhash.WORD_APART) & (bits[..., 1] <= simhash.most_apart(simhash.GROUP_SIMILARITY, 64, 3.0))
+    close = loose & (bits[..., 2:].sum(-1) <= simhash.most_apart(simhash.GROUP_SIMILARITY, 64 * simhash.WIDE))
+    masks = np.array(simhash.masks(simhash.WORD_RADIUS), np.uint64)
+    met = ((prints[:, None, None, 0] ^ prints[None, :, None, 0]) & masks == 0).any(-1)
+    assert (loose & met).sum() > 2 * (close & met).sum()
+    forest = simhash.Forest(len(texts))
+    for a, b in np.argwhere(close & met).tolist():
+        forest.join(a, b)
+    want = sorted({forest.root(i) for i in range(len(texts))})
+    assert 5 < len(want) < len(texts) - 5
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == want
+
+
 def test_shards_keep_every_row_and_versions(spark, docs, none, tmp_path):
     root = f"file://{tmp_path}/store"
     store = shards.ShardStore(spark, root, docs.schema, target_bytes=1 << 20, fan_in=3)

@@ -33,6 +33,8 @@ BITS = 64
 SHINGLE, RADIUS = 3, 2
 #: A bucket of up to this many nodes is compared pair by pair in one block; a larger one is split by its bits first.
 BLOCK = 2048
+#: Rows of a block that are compared with the others at a time.
+STRIPE = 256
 #: Shingles hashed at a time.
 SHINGLES_AT_ONCE = 1 << 16
 #: The pipeline's stage: tables over the fingerprints of distinct words, links over five-word shingles.
@@ -142,34 +144,42 @@ class Forest:
             self.links.append((a, b))
 
 
-def _linked(fps: np.ndarray, limits: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of rows differ in at most limits[k] bits of fingerprint k, for every k; and in how many of the last."""
-    ok = np.ones(np.broadcast_shapes(a.shape, b.shape), bool)
-    apart = np.zeros(ok.shape, np.uint8)
+def _linked(fps: np.ndarray, limits: list[int], a: np.ndarray, b: np.ndarray, wide_apart: int = 0) -> np.ndarray:
+    """Which pairs of rows differ in at most limits[k] bits of fingerprint k, for every k.
+
+    Further columns of fps are one wide fingerprint, of which at most wide_apart bits may differ.
+    """
+    a, b = np.broadcast_arrays(a, b)
+    ok = np.ones(a.shape, bool)
     for k, most in enumerate(limits):
-        apart = np.bitwise_count(fps[a, k] ^ fps[b, k])
-        ok &= apart <= most
-    return ok, apart
+        ok &= np.bitwise_count(fps[a, k] ^ fps[b, k]) <= most
+    if fps.shape[1] > len(limits):
+        at = np.nonzero(ok)
+        x, y = a[at], b[at]
+        apart = np.zeros(len(x), np.uint16)
+        for k in range(len(limits), fps.shape[1]):
+            apart += np.bitwise_count(fps[x, k] ^ fps[y, k])
+        ok[at] = apart <= wide_apart
+    return ok
 
 
-def join_links(fps: np.ndarray, limits: list[int], rows: np.ndarray, forest: Forest, depth: int = 0) -> None:
-    """Join all linked pairs among ``rows`` (numbers of rows of ``fps``).
+def linked_pairs(fps: np.ndarray, limits: list[int], rows: np.ndarray, wide_apart: int = 0, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All linked pairs among ``rows`` (numbers of rows of ``fps``), some more than once, in pieces.
 
     Within limits[0] bits, two fingerprints agree on one of limits[0] + 1 segments of their bits, so
     a large bucket is split by each segment in turn; only rows that agree there are compared.
     """
     parts = limits[0] + 1
     if len(rows) <= BLOCK or depth == 3:
-        for i in range(0, len(rows), BLOCK):
-            left = rows[i : i + BLOCK]
+        for i in range(0, len(rows), STRIPE):
+            left = rows[i : i + STRIPE]
             for j in range(i, len(rows), BLOCK):
                 right = rows[j : j + BLOCK]
-                ok, apart = _linked(fps, limits, left[:, None], right[None, :])
-                x, y = np.nonzero(ok & (left[:, None] < right[None, :]))
-                # The closest pairs first: the links that stay are then the likeliest.
-                order = np.argsort(apart[x, y], kind="stable")
-                for a, b in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
-                    forest.join(a, b)
+                ok = _linked(fps, limits, left[:, None], right[None, :], wide_apart)
+                # Inside a stripe, both orders of a pair come; elsewhere one.
+                ok &= np.arange(i, i + len(left))[:, None] < np.arange(j, j + len(right))[None, :]
+                x, y = np.nonzero(ok)
+                yield left[x], right[y]
         return
     edges = np.linspace(0, BITS, parts + 1).astype(int)
     for low, high in zip(edges[:-1], edges[1:], strict=True):
@@ -178,22 +188,33 @@ def join_links(fps: np.ndarray, limits: list[int], rows: np.ndarray, forest: For
         cuts = np.flatnonzero(np.diff(seg[order])) + 1
         for group in np.split(rows[order], cuts):
             if len(group) > 1:
-                join_links(fps, limits, group, forest, depth + 1 if len(group) < len(rows) else 3)
+                yield from linked_pairs(fps, limits, group, wide_apart, depth + 1 if len(group) < len(rows) else 3)
 
 
-def bucket_edges(keys: np.ndarray, fps: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) that join what is linked within each group of equal keys."""
+def join_links(fps: np.ndarray, limits: list[int], rows: np.ndarray, forest: Forest, wide_apart: int = 0) -> None:
+    """Join all linked pairs among ``rows``."""
+    for left, right in linked_pairs(fps, limits, rows, wide_apart):
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            forest.join(a, b)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each group of them starts and ends in it."""
     order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order]
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-    sizes = ends - starts
+    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+    return order, np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+
+
+def bucket_edges(keys: np.ndarray, fps: np.ndarray, limits: list[int], wide_apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) that join what is linked within each group of equal keys."""
+    order, starts, ends = _groups(keys)
+    fps, sizes = fps[order], ends - starts
     pair = starts[sizes == 2]
-    pair = pair[_linked(fps, limits, pair, pair + 1)[0]]
+    pair = pair[_linked(fps, limits, pair, pair + 1, wide_apart)]
     left, right = [pair], [pair + 1]
     for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
         forest = Forest(e - s)
-        join_links(fps[s:e], limits, np.arange(e - s), forest)
+        join_links(fps[s:e], limits, np.arange(e - s), forest, wide_apart)
         if forest.links:
             a, b = np.array(forest.links).T
             left.append(a + s)
@@ -201,11 +222,31 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, limits: list[int]) -> tuple[
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def edges(nodes: DataFrame, limits: list[int], radius: int) -> DataFrame:
-    """(a0.., b0..) links among the distinct fingerprints fp0.. of ``nodes`` that join all linked ones."""
-    names = [f"fp{i}" for i in range(len(limits))]
+def bucket_mates(keys: np.ndarray, fps: np.ndarray, limits: list[int]) -> np.ndarray:
+    """Rows with a linked partner in their group of equal keys."""
+    order, starts, ends = _groups(keys)
+    fps, sizes = fps[order], ends - starts
+    found = np.zeros(len(keys), bool)
+    pair = starts[sizes == 2]
+    pair = pair[_linked(fps, limits, pair, pair + 1)]
+    found[pair] = found[pair + 1] = True
+    for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
+        for a, b in linked_pairs(fps[s:e], limits, np.arange(e - s)):
+            found[a + s] = found[b + s] = True
+    return order[found]
+
+
+def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_apart: int = 0) -> DataFrame:
+    """(a0.., b0..) links among the distinct fingerprints fp0.. of ``nodes`` that join all linked ones.
+
+    wide: linked ones also differ in ``wide_apart`` bits of the fingerprints w0.. at most. The forests
+    are made of links that all tests have decided. As eight longs more in every table would be most of
+    the exchange, they join only those rows that have a partner by the other fingerprints.
+    """
+    names, more = [f"fp{i}" for i in range(len(limits))], [f"w{k}" for k in range(wide)]
     all_masks = np.array(masks(radius), np.uint64)
     spread = np.uint64(0x9E3779B97F4A7C15)
+    parts = partitions(nodes.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,20 +259,32 @@ def edges(nodes: DataFrame, limits: list[int], radius: int) -> DataFrame:
                 cols = [pa.array(np.repeat(f[i : i + 4096], len(all_masks))) for f in fps]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *cols], ["key", *names])
 
+    def read(batches: Iterator[pa.RecordBatch], columns: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
+            return None
+        table = pa.Table.from_batches(got)
+        return table["key"].to_numpy(), np.stack([table[n].to_numpy().view(np.uint64) for n in columns], axis=1)
+
+    def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := read(batches, names)) is not None:
+            keys, fps = got
+            rows = bucket_mates(keys, fps, limits)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), *[pa.array(fps[rows, k].view(np.int64)) for k in range(len(names))]], ["key", *names])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not sum(b.num_rows for b in parts):
-            return
-        got = pa.Table.from_batches(parts)
-        fps = np.stack([got[n].to_numpy().view(np.uint64) for n in names], axis=1)
-        a, b = bucket_edges(got["key"].to_numpy(), fps, limits)
-        cols = [pa.array(fps[side, k].view(np.int64)) for side in (a, b) for k in range(len(names))]
-        yield pa.RecordBatch.from_arrays(cols, [f"{s}{k}" for s in "ab" for k in range(len(names))])
+        if (got := read(batches, names + more)) is not None:
+            a, b = bucket_edges(*got, limits, wide_apart)
+            cols = [pa.array(got[1][side, k].view(np.int64)) for side in (a, b) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, [f"{s}{k}" for s in "ab" for k in range(len(names))])
 
     kinds = ", ".join(f"{n} long" for n in names)
     out = ", ".join(f"{s}{k} long" for s in "ab" for k in range(len(names)))
-    dealt = nodes.select(*names).mapInArrow(deal, f"key long, {kinds}")
-    return dealt.repartition(partitions(nodes.sparkSession), "key").mapInArrow(meet, out).distinct()
+    dealt = nodes.select(*names).mapInArrow(deal, f"key long, {kinds}").repartition(parts, "key")
+    if wide:
+        near = kept(dealt.mapInArrow(mates, f"key long, {kinds}"), "mates")
+        dealt = near.join(nodes.select(*names, *more), names).select("key", *names, *more).repartition(parts, "key")
+    return dealt.mapInArrow(meet, out).distinct()
 
 
 def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, wide: int = 0, wide_apart: int = 0) -> DataFrame:
@@ -241,12 +294,7 @@ def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, w
     """
     names, more = [f"fp{i}" for i in range(len(limits))], [f"w{k}" for k in range(wide)]
     nodes = kept(prints.groupBy(*names).agg(F.min(members).alias("first"), *[F.first(w).alias(w) for w in more]), "nodes")
-    links = edges(nodes, limits, radius)
-    if wide:
-        side = lambda s: nodes.select(*[F.col(n).alias(f"{s}{i}") for i, n in enumerate(names)], *[F.col(w).alias(f"{s}{w}") for w in more])
-        keys = lambda s: [f"{s}{i}" for i in range(len(names))]
-        apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in more), F.lit(0))
-        links = links.join(side("a"), keys("a")).join(side("b"), keys("b")).where(apart <= wide_apart)
+    links = edges(nodes, limits, radius, wide, wide_apart)
     pack = lambda s: F.struct(*[F.col(f"{s}{k}").alias(n) for k, n in enumerate(names)])
     groups = components(links.select(pack("a").alias("a"), pack("b").alias("b")), "a", "b")
     named = groups.select(*[F.col(f"node.{n}").alias(n) for n in names], "component")
