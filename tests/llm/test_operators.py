@@ -204,7 +204,7 @@ def test_one_of_each_group_among_loose_neighbours(spark):
     base = [rng.choice(words) for _ in range(600)]
     texts = [_edited(rng, base, 0.005 + 0.06 * i / 120, words) for i in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sketches = [(1, True), (simhash.GROUP_SHINGLE, False)]
+    sketches = [(1, True), (simhash.GROUP_SHINGLE, True)]
     rows = simhash.fingerprints(docs, "doc_id", "text", sketches, simhash.WIDE).orderBy("id").collect()
     prints = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
     bits = np.bitwise_count(prints[:, None] ^ prints[None, :]).astype(int)
@@ -221,6 +221,25 @@ def test_one_of_each_group_among_loose_neighbours(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == want
 
 
+def test_one_of_each_group_counts_a_repeated_line_once(spark):
+    """Texts that share only a line that comes often stay; copies that repeat a line otherwise don't."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(150)]
+    line = " ".join(rng.choice(words) for _ in range(8))
+
+    # The same words in another order: equal sets of words, other shingles.
+    first, second = ([*words * 6] for _ in range(2))
+    rng.shuffle(first)
+    rng.shuffle(second)
+    apart = [" ".join(x) + "\n" + "\n".join([line] * 30) for x in (first, second)]
+    other = " ".join("".join(rng.choice("qrstuvwxyz") for _ in range(7)) for _ in range(900))
+    alike = [other + "\n" + "\n".join([line] * n) for n in (1, 40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in [*apart, *alike])]
+    assert len(sets[0] & sets[1]) < 0.1 * len(sets[0] | sets[1]) and len(sets[2] & sets[3]) > 0.9 * len(sets[2] | sets[3])
+    docs = spark.createDataFrame(list(enumerate([*apart, *alike])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == [0, 1, 2]
+
+
 def test_shards_keep_every_row_and_versions(spark, docs, none, tmp_path):
     root = f"file://{tmp_path}/store"
     store = shards.ShardStore(spark, root, docs.schema, target_bytes=1 << 20, fan_in=3)

@@ -324,15 +324,15 @@ def one_of_each_group(
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of the least (key, text hash).
 
-    Two texts are linked if the wide fingerprints of their shingles (64 * WIDE bits) are as close as
-    those of sets with that Jaccard similarity. The covering tables stand over the fingerprints of
+    Two texts are linked if the wide fingerprints of their distinct shingles (64 * WIDE bits) are as
+    close as those of sets with that Jaccard similarity; how often a shingle comes doesn't count. The covering tables stand over the fingerprints of
     distinct words, which move less under an edit: they are sure to hold every pair within
     ``word_radius`` bits, and most of those a few bits beyond.
     """
     p = free_prefix(docs)
     keyed = docs.withColumn(f"{p}hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     ids = keyed.select(F.struct(F.col(key).alias("key"), F.col(f"{p}hash").alias("hash")).alias("id"), F.col(text).alias("text"))
-    prints = kept(fingerprints(ids, "id", "text", [(1, True), (shingle, False)], WIDE), "prints")
+    prints = kept(fingerprints(ids, "id", "text", [(1, True), (shingle, True)], WIDE), "prints")
     limits = [word_apart, most_apart(similarity, BITS, 3.0)]
     classes = _nodes(prints, limits, word_radius, F.col("id"), WIDE, most_apart(similarity, BITS * WIDE))
     firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
