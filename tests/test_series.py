@@ -126,3 +126,25 @@ def test_forward_index(spark):
 def test_annualise(spark):
     got = spark.range(1).select(measures.annualise(F.lit(0.1), F.lit(252)).alias("a"), measures.annualise(F.lit(-1.0), F.lit(5)).alias("b"), measures.annualise(F.lit(0.1), F.lit(0)).alias("c")).first()
     assert got["a"] == pytest.approx(0.1) and got["b"] is None and got["c"] is None
+
+
+def test_endpoints_of_every_day_give_their_sqls_rows(spark):
+    import os
+
+    import duckdb
+    import pytest
+
+    from tidewright.plans.queries import ORACLE_SQL, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the small data set is not here")
+    db = duckdb.connect()
+    for f in os.listdir(data):
+        if f.endswith(".parquet"):
+            db.execute(f"create view {f[:-8]} as select * from '{data}/{f}'")
+    want = db.sql(ORACLE_SQL["endpoints_every_day"])
+    got = [tuple(r) for r in QUERIES["endpoints_every_day"](spark, data).select(*want.columns).collect()]
+    assert {r[1] % 21 for r in got} == set(range(21))
+    near = lambda rows: sorted([(*r[:3], None if r[3] is None else round(r[3], 5)) for r in rows], key=repr)
+    assert near(got) == near(want.fetchall())

@@ -112,8 +112,13 @@ def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endpoints_every_day(spark, sf_dir).where(F.col("idx") % 21 == 0)
+
+
+def endpoints_every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of endpoint of each day; ``endpoints`` is a sample of it."""
     m = model(spark, sf_dir)
-    return m.days.where(F.col("idx") % 21 == 0).select("id", "idx", F.col("end.idx").alias("end_idx"), rounded(F.col("end.close")).alias("end_close"))
+    return m.days.select("id", "idx", F.col("end.idx").alias("end_idx"), rounded(F.col("end.close")).alias("end_close"))
 
 
 def calendar_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,6 +460,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "prior_block": _measures([*(f"res_{slug(w)}" for w in WINDOWS), "vol_3m", "vol_1y", "return_per_vol"], "prior"),
     "daily_returns": (daily_returns, f"{_P} select id, idx, {r6('ret')} as ret from days where ret is not null"),
     "endpoints": (endpoints, f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days where idx % 21 = 0"),
+    "endpoints_every_day": (endpoints_every_day, f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days"),
     "calendar_orphans": (calendar_orphans, f"{_P} select id, count(*) as orphans from obs where date not in (select date from cal where idx % 2 = 0) group by 1"),
     "forward_index": (forward_index, f"{_P} select d.date, min(idx) as idx from (select distinct o_orderdate::date as date from orders) d join cal on cal.date >= d.date group by 1"),
     "gap_islands": (gap_islands, f"""{_P}, seen as (select id, idx, case when idx - lag(idx) over (partition by id order by idx) > 5 then 1 else 0 end as jump from panel where close is not null),
