@@ -125,3 +125,26 @@ def test_concentration(spark):
     got = groups.concentration(df, "s").collect()
     assert [r["s"] for r in got] == ["x", "y", "z"] and got[0]["hhi"] == pytest.approx(0.375)
     assert groups.coverage(df, F.col("s") == "x").first()["share"] == 0.5
+
+
+def test_portfolio_over_all_brands(spark):
+    import os
+
+    import duckdb
+    import pytest
+
+    from tidewright.plans.queries import ORACLE_SQL, QUERIES
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("the data set is not here")
+    db = duckdb.connect()
+    for f in os.listdir(data):
+        if f.endswith(".parquet"):
+            db.execute(f"create view {f[:-8]} as select * from '{data}/{f}'")
+    n = db.sql("select count(distinct p_brand) from part").fetchall()[0][0]
+    want = db.sql(ORACLE_SQL["correlation_pairs_all_brands"])
+    got = [tuple(r) for r in QUERIES["correlation_pairs_all_brands"](spark, data).select(*want.columns).collect()]
+    near = lambda rows: {r[:3]: r[3] for r in rows}
+    assert len(got) == n * (n - 1) // 2 and near(got) == pytest.approx(near(want.fetchall()), abs=2e-6)
+    assert QUERIES["alloc_capped_all_brands"](spark, data).where("weight is not null").select("id").distinct().count() == n

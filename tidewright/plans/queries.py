@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidewright.functions import formats, registry, text
 from tidewright.operators import earnings, groups, measures, membership, merge, portfolio, ranking, regime, series, validation
 from tidewright.plans import oracle as sql
 from tidewright.plans.oracle import NOW, PRIOR, r6
-from tidewright.schema import RANK_CHANGE_OFFSET, RANK_WINDOWS, WINDOWS, slug
+from tidewright.schema import MAX_HOLDINGS, RANK_CHANGE_OFFSET, RANK_WINDOWS, WINDOWS, slug
 from tidewright.sources import adapters, readers
 from tidewright.sources.sinks import rounded, rounded_frame
 
@@ -185,59 +186,70 @@ def range_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("id", rounded(groups.range_position(F.col("last"), F.col("low52"), F.col("high52")), 4).alias("position"))
 
 
-def _held_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns of some brands' prices on the common calendar."""
+def _held_returns(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    """Returns of the brands' prices on the common calendar; None: of all brands."""
     bench = series.clean(adapters.benchmark_observations(spark, sf_dir))
-    held = series.clean(adapters.brand_observations(spark, sf_dir)).where(F.col("id").isin(*HELD))
+    held = series.clean(adapters.brand_observations(spark, sf_dir))
+    if brands is not None:
+        held = held.where(F.col("id").isin(*brands))
     return series.with_returns(series.densify(held, series.calendar(bench))).select("id", "idx", "ret")
 
 
-def sync_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.synchronised(_held_returns(spark, sf_dir)).select("idx").distinct()
+def sync_days(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return groups.synchronised(_held_returns(spark, sf_dir, brands)).select("idx").distinct()
 
 
-def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_frame(groups.correlations(groups.paired(groups.synchronised(_held_returns(spark, sf_dir)))))
+def correlation_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return rounded_frame(groups.correlations(groups.paired(groups.synchronised(_held_returns(spark, sf_dir, brands)))))
 
 
-def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_frame(groups.correlation_matrix(groups.synchronised(_held_returns(spark, sf_dir))))
+def correlation_matrix(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return rounded_frame(groups.correlation_matrix(groups.synchronised(_held_returns(spark, sf_dir, brands))))
 
 
-def average_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_frame(groups.average_correlation(groups.synchronised(_held_returns(spark, sf_dir))))
+def average_correlation(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return rounded_frame(groups.average_correlation(groups.synchronised(_held_returns(spark, sf_dir, brands))))
 
 
-def covariance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_frame(groups.covariances(groups.synchronised(_held_returns(spark, sf_dir))))
+def covariance_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return rounded_frame(groups.covariances(groups.synchronised(_held_returns(spark, sf_dir, brands))))
 
 
-def _shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.shrunk(groups.covariances(groups.synchronised(_held_returns(spark, sf_dir))))
+def _shrunk(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return groups.shrunk(groups.covariances(groups.synchronised(_held_returns(spark, sf_dir, brands))))
 
 
-def shrunk_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_frame(_shrunk(spark, sf_dir))
+def shrunk_covariance(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return rounded_frame(_shrunk(spark, sf_dir, brands))
 
 
-def correlation_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_frame(groups.correlation_distance(groups.to_correlation(_shrunk(spark, sf_dir))))
+def correlation_distance(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    return rounded_frame(groups.correlation_distance(groups.to_correlation(_shrunk(spark, sf_dir, brands))))
 
 
-def allocation_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cov = _shrunk(spark, sf_dir)
+def allocation_equal(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    cov = _shrunk(spark, sf_dir, brands)
     return rounded_frame(groups.risk(groups.equal_weights(cov), cov))
 
 
-def allocation_inverse_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cov = _shrunk(spark, sf_dir)
+def allocation_inverse_vol(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    cov = _shrunk(spark, sf_dir, brands)
     return rounded_frame(groups.risk(groups.inverse_volatility_weights(cov), cov))
 
 
+def all_brands(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Every brand of part, in order; more than the allocation takes is an error."""
+    rows = adapters.read(spark, sf_dir, "part").select("p_brand").where("p_brand is not null").distinct().limit(MAX_HOLDINGS + 1).collect()
+    if len(rows) > MAX_HOLDINGS:
+        raise ValueError(f"more than {MAX_HOLDINGS} brands")
+    return sorted(r[0] for r in rows)
+
+
 def _allocated(scheme: str, per_holding: float | None = None, per_group: float | None = None) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        held = spark.createDataFrame([(b, f"group {i % 3}") for i, b in enumerate(HELD)], "id string, group string")
-        return rounded_frame(portfolio.allocate(_held_returns(spark, sf_dir), held, scheme, per_holding, per_group))
+    def run(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+        names = all_brands(spark, sf_dir) if brands is None else brands
+        held = spark.createDataFrame([(b, f"group {i % 3}") for i, b in enumerate(names)], "id string, group string")
+        return rounded_frame(portfolio.allocate(_held_returns(spark, sf_dir, brands), held, scheme, per_holding, per_group))
 
     return run
 
@@ -542,5 +554,10 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "page_text": (page_text, None),
     "formatted": (formatted, None),
 }
+#: The portfolio's queries over every brand, and their SQL without the choice of brands.
+PORTFOLIO = ["sync_days", "correlation_pairs", "correlation_matrix", "avg_correlation", "covariance_pairs", "shrunk_covariance", "correlation_distance", "alloc_equal", "alloc_inverse_vol", "alloc_hrp", "alloc_capped"]
+for _name in PORTFOLIO:
+    _run, _text = ENTRIES[_name]
+    ENTRIES[f"{_name}_all_brands"] = (partial(_run, brands=None), _text and _text.replace(f" where p_brand in ({_HELD})", ""))
 QUERIES = {name: run for name, (run, _) in ENTRIES.items()}
 ORACLE_SQL = {name: text_ for name, (_, text_) in ENTRIES.items() if text_}
