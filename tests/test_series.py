@@ -23,7 +23,7 @@ def measure(spark, closes, bench, anchor=None):
     p = panel(spark, closes)
     b = panel(spark, {"500": bench}).select("id", "idx", "close")
     members = p.select("id", "segment").distinct()
-    rows = measures.panel_with_benchmarks(p.select("id", "idx", "close"), members, b)
+    rows = measures.panel_with_benchmarks(p.select("id", "idx", "close"), members, measures.benchmark_panel(b))
     return {r["id"]: r for r in measures.measured(rows, [("now", anchor if anchor is not None else len(bench) - 1)]).collect()}
 
 

@@ -1,4 +1,4 @@
-"""Numbers and dates as text for people. For driver-side display, and as Arrow UDFs for columns.
+"""Numbers and dates as text for people. One value on the driver, and columns.
 
 Fixed-point digits round the exact binary value half up (away from zero), whole numbers half
 towards positive infinity. Missing or non-finite values are an em dash; minus is U+2212 where a
@@ -8,10 +8,8 @@ sign is always shown.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,14 +116,81 @@ def scope(segment_name: str | None, sector: str | None, query: str, watchlist_on
     return f"{', '.join(parts)} — {total} name{'' if total == 1 else 's'}"
 
 
-def column(form: Callable[[float | None], str], c: Column) -> Column:
-    """A format over a numeric column, in Arrow batches."""
+# The same over columns, as Catalyst expressions.
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.astype(object).map(lambda v: form(None if pd.isna(v) else float(v)))
 
-    return run(c.cast("double"))
+def _known(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def _or_empty(c: Column, shown: Column) -> Column:
+    return F.when(_known(c), shown).otherwise(EMPTY)
+
+
+def _digits(size: Column, digits: int, commas: bool = False) -> Column:
+    """A value of zero or more in fixed-point digits.
+
+    format_number rounds the exact binary value, ties to even; a tie is an odd multiple of
+    2 ** -(digits + 1), and is lifted a little here to go up.
+    """
+    tie = (size * float(2 ** (digits + 1))) % 2 == 1
+    text = F.format_number(F.when(tie, size + 10.0 ** -(digits + 2)).otherwise(size), digits)
+    return text if commas else F.translate(text, ",", "")
+
+
+def _with_minus(c: Column, text: Column) -> Column:
+    return F.concat(F.when(c < 0, "-").otherwise(""), text)
+
+
+def _with_sign(c: Column, text: Column) -> Column:
+    return F.concat(F.when(c >= 0, "+").otherwise(MINUS), text)
+
+
+def percent_column(c: Column, digits: int = 1) -> Column:
+    return _or_empty(c, _with_sign(c, F.concat(_digits(F.abs(c * 100), digits), F.lit("%"))))
+
+
+def percent_plain_column(c: Column, digits: int = 1) -> Column:
+    return _or_empty(c, _with_minus(c, F.concat(_digits(F.abs(c * 100), digits), F.lit("%"))))
+
+
+def spread_column(c: Column, digits: int = 1) -> Column:
+    return percent_plain_column(F.abs(c), digits)
+
+
+def ratio_column(c: Column, digits: int = 2) -> Column:
+    return _or_empty(c, _with_minus(c, _digits(F.abs(c), digits)))
+
+
+def signed_ratio_column(c: Column, digits: int = 2) -> Column:
+    return _or_empty(c, _with_sign(c, _digits(F.abs(c), digits)))
+
+
+def integer_column(c: Column) -> Column:
+    return _or_empty(c, F.format_number(F.floor(c + 0.5), 0))
+
+
+def signed_integer_column(c: Column) -> Column:
+    n = F.floor(c + 0.5)
+    return _or_empty(c, F.when(n == 0, "0").otherwise(_with_sign(c, F.abs(n).cast("string"))))
+
+
+def cash_column(c: Column) -> Column:
+    return _or_empty(c, F.concat(F.lit("$"), integer_column(c)))
+
+
+def price_column(c: Column) -> Column:
+    return _or_empty(c, _with_minus(c, _digits(F.abs(c), 2, commas=True)))
+
+
+def market_cap_column(c: Column) -> Column:
+    unit = lambda size, digits, letter: F.concat(F.lit("$"), _digits(c / size, digits), F.lit(letter))
+    shown = F.when(c >= 1e12, unit(1e12, 2, "T")).when(c >= 1e11, unit(1e9, 0, "B")).when(c >= 1e9, unit(1e9, 1, "B")).otherwise(unit(1e6, 0, "M"))
+    return _or_empty(F.when(c > 0, c), shown)
+
+
+def meter_column(from_high: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (from_high - 0.75) / 0.25)) * 100
 
 
 def sign_column(c: Column) -> Column:

@@ -42,15 +42,16 @@ def company_key(c: Column) -> Column:
 
 
 def decoded(c: Column) -> Column:
-    """Entities as characters; numeric ones by their number."""
+    """Entities as characters; numeric ones by their code point. What is no code point stays as it is."""
     for pattern, plain in ENTITIES:
         c = F.regexp_replace(c, pattern, plain)
     # Text between numeric entities stays; each entity's number becomes its character.
     parts = F.regexp_extract_all(c, F.lit(r"(?s)&#\d+;|(?:(?!&#\d+;).)+"), 0)
-    number = lambda p: F.regexp_extract(p, r"^&#(\d+);$", 1)
-    # Numbers up to 65535 are one UTF-16 unit.
-    one = lambda p: F.decode(F.unhex(F.lpad(F.hex(number(p).cast("bigint")), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(parts, lambda p: F.when(number(p) != "", one(p)).otherwise(p)), "")
+    number = lambda p: F.regexp_extract(p, r"^&#(\d+);$", 1).try_cast("bigint")
+    valid = lambda n: (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    one = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    # Surrogates stand for no character of their own, so they stay text like numbers that are too large.
+    return F.array_join(F.transform(parts, lambda p: F.when(valid(number(p)), one(F.when(valid(number(p)), number(p)))).otherwise(p)), "")
 
 
 def sector(c: Column) -> Column:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.ranking import finite
-from tidewright.schema import ANNUAL_DAYS, SHRINKAGE
+from tidewright.schema import ANNUAL_DAYS, MAX_HOLDINGS, SHRINKAGE
+
+#: Common days below which a group's average correlation is not shown.
+MIN_COMMON_DAYS = 20
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = (), order: str = "id") -> DataFrame:
@@ -63,16 +66,21 @@ def range_position(last: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (last - low) / F.when(high > low, high - low) * 100)
 
 
-def synchronised(returns: DataFrame) -> DataFrame:
-    """(id, idx, ret) on the days on which every id has a return."""
+def synchronised(returns: DataFrame, most: int = MAX_HOLDINGS) -> DataFrame:
+    """(id, idx, ret) on the days on which every id has a return.
+
+    As pairs grow with the square of the ids, more than ``most`` are an error.
+    """
     have = returns.where(F.col("ret").isNotNull()).select("id", "idx", "ret")
-    ids = returns.select("id").distinct().count()
+    ids = returns.select("id").distinct().limit(most + 1).count()
+    if ids > most:
+        raise ValueError(f"more than {most} series to pair")
     full = have.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == ids).select("idx")
     return have.join(full, "idx", "left_semi")
 
 
 def paired(returns: DataFrame) -> DataFrame:
-    """(i, j, idx, x, y): every pair i < j of the ids on their common days. For few ids: pairs grow with their square."""
+    """(i, j, idx, x, y): every pair i < j of the ids on their common days. returns: of ``synchronised``, so the ids are few."""
     a = returns.select(F.col("id").alias("i"), "idx", F.col("ret").alias("x"))
     b = returns.select(F.col("id").alias("j"), "idx", F.col("ret").alias("y"))
     return a.join(b, "idx").where("i < j")
@@ -93,9 +101,10 @@ def correlation_matrix(returns: DataFrame) -> DataFrame:
     return ids.unionByName(half).unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "correlation"))
 
 
-def average_correlation(returns: DataFrame) -> DataFrame:
-    """One row, ``correlation``: the mean over the pairs; null for fewer than two ids."""
-    return correlations(paired(returns)).agg(F.avg(F.coalesce("correlation", F.lit(0.0))).alias("correlation"))
+def average_correlation(returns: DataFrame, minimum: int = MIN_COMMON_DAYS) -> DataFrame:
+    """One row, ``correlation``: the mean over the pairs; null for fewer than two ids, or too few common days."""
+    pairs = correlations(paired(returns))
+    return pairs.agg(F.when(F.min("days") >= minimum, F.avg(F.coalesce("correlation", F.lit(0.0)))).alias("correlation"))
 
 
 def covariances(returns: DataFrame, annual: bool = True) -> DataFrame:

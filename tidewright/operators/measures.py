@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.series import small, with_returns
+from tidewright.operators.series import with_returns
 from tidewright.schema import (
     ANNUAL_DAYS,
     BETA_LOOKBACK,
@@ -32,19 +32,29 @@ ROOT = math.sqrt(ANNUAL_DAYS)
 HIGH_LOOKBACK, RECENT, BAND, BEST_DAYS = 252, 63, 0.05, 5
 
 
-def panel_with_benchmarks(panel: DataFrame, members: DataFrame, bench: DataFrame) -> DataFrame:
-    """(id, segment, idx, close, ret, end, bret, bend, high): each day beside its segment's benchmark."""
+def benchmark_panel(bench: DataFrame) -> DataFrame:
+    """(segment, idx, bret, bend): returns and as-of closes of the benchmarks' (id, idx, close)."""
     b = with_returns(bench.select(F.col("id").alias("segment"), "idx", "close"), "segment")
-    b = b.select("segment", "idx", F.col("ret").alias("bret"), F.col("end").alias("bend"))
+    return b.select("segment", "idx", F.col("ret").alias("bret"), F.col("end").alias("bend"))
+
+
+def panel_with_benchmarks(panel: DataFrame, members: DataFrame, bench: DataFrame) -> DataFrame:
+    """(id, segment, idx, close, ret, end, high, bret, bend): each day beside its segment's benchmark.
+
+    bench: of ``benchmark_panel``, broadcast if the optimiser knows that it is small. A segment
+    without a benchmark is an error.
+    """
     own = with_returns(panel.join(members.select("id", "segment"), "id"))
     high = F.max("close").over(Window.partitionBy("id").orderBy("idx").rowsBetween(-(HIGH_LOOKBACK - 1), 0))
-    return own.withColumn("high", high).join(small(b), ["segment", "idx"], "left")
+    joined = own.withColumn("high", high).join(bench.withColumn("known", F.lit(True)), ["segment", "idx"], "left")
+    unknown = F.raise_error(F.concat(F.lit("no benchmark for segment "), F.coalesce("segment", F.lit("null"))))
+    return joined.withColumn("bret", F.when(F.col("known").isNull(), unknown.cast("double")).otherwise(F.col("bret"))).drop("known")
 
 
 def anchored(rows: DataFrame, anchors: Sequence[tuple[str, int]]) -> DataFrame:
     """Each row once for every anchor (name, index)."""
-    each = F.array(*[F.struct(F.lit(n).alias("at"), F.lit(a).alias("anchor")) for n, a in anchors])
-    return rows.withColumn("a", F.explode(each)).select("*", "a.at", "a.anchor").drop("a")
+    each = ", ".join(f"named_struct('at', '{n}', 'anchor', {a})" for n, a in anchors)
+    return rows.select("*", F.expr(f"inline(array({each})) as (at, anchor)"))
 
 
 def regression(y: Column, x: Column, over: Window | None = None) -> dict[str, Column]:
@@ -65,23 +75,35 @@ def regression(y: Column, x: Column, over: Window | None = None) -> dict[str, Co
     }
 
 
-def _between(low: Column | int, high: Column | int) -> Column:
-    return (F.col("idx") >= low) & (F.col("idx") <= high)
+# Aggregates are written as SQL expressions over the columns of ``anchored`` rows: one call a measure.
+
+
+def _at(index: str, value: str) -> str:
+    """The value on one day."""
+    return f"max(case when idx = {index} then {value} end)"
+
+
+def _within(value: str, lookback: int, skip: int = 0) -> str:
+    """The value on the days of a lookback that ends ``skip`` days before the anchor."""
+    return f"case when idx between anchor - {lookback + skip - 1} and anchor - {skip} then {value} end"
+
+
+def _enough(values: str, lookback: int) -> str:
+    return f"count({values}) >= {math.ceil(COVERAGE * lookback)}"
 
 
 def window_return(formation: int, skip: int, end: str = "end") -> Column:
     """Ratio of the closes at both ends less one; both ends look back a few days, never forward."""
-    a = F.col("anchor") - skip
-    last, first = (F.max(F.when(F.col("idx") == at, F.col(end))) for at in (a, a - formation))
-    return F.when((F.first("anchor") - skip - formation >= 0) & (last["idx"] > first["idx"]), last["close"] / first["close"] - 1)
+    last, first = f"anchor - {skip}", f"anchor - {skip + formation}"
+    known = f"first(anchor) - {skip + formation} >= 0 and {_at(last, f'`{end}`.idx')} > {_at(first, f'`{end}`.idx')}"
+    return F.expr(f"case when {known} then {_at(last, f'`{end}`.close')} / {_at(first, f'`{end}`.close')} - 1 end")
 
 
-def volatility(ret: Column, lookback: int, skip: int = 0) -> Column:
+def volatility(ret: str, lookback: int, skip: int = 0) -> Column:
     """Annualised sample deviation of the returns of the lookback, if enough of them are there."""
-    a = F.col("anchor") - skip
-    r = F.when(_between(a - lookback + 1, a), ret)
-    enough = (F.first("anchor") - skip - lookback + 1 >= 1) & (F.count(r) >= math.ceil(COVERAGE * lookback)) & (F.count(r) >= 2)
-    return F.when(enough, F.stddev_samp(r) * ROOT)
+    r = _within(ret, lookback, skip)
+    enough = f"first(anchor) - {skip + lookback - 1} >= 1 and {_enough(r, lookback)} and count({r}) >= 2"
+    return F.expr(f"case when {enough} then stddev_samp({r}) * {ROOT!r} end")
 
 
 def return_per_vol(ret: Column, vol: Column) -> Column:
@@ -94,101 +116,100 @@ def annualise(ret: Column, days: Column) -> Column:
 
 def max_drawdown(lookback: int = DRAWDOWN_LOOKBACK) -> Column:
     """Worst close against the running peak of lookback + 1 closes; ``peak`` is that running maximum."""
-    a = F.col("anchor")
-    fall = F.when(_between(a - lookback, a), F.col("close") / F.col("peak") - 1)
-    enough = (F.first("anchor") - lookback >= 0) & (F.count(fall) >= max(20, 0.5 * lookback))
-    return F.when(enough, F.least(F.lit(0.0), F.min(fall)))
+    fall = _within("close / peak - 1", lookback + 1)
+    enough = f"first(anchor) - {lookback} >= 0 and count({fall}) >= {max(20, 0.5 * lookback)}"
+    return F.expr(f"case when {enough} then least(0.0D, min({fall})) end")
 
 
 def distance_from_high(lookback: int = HIGH_LOOKBACK) -> Column:
     """The close at the anchor itself (no tolerance) against the highest close."""
-    a = F.col("anchor")
-    own = F.when(_between(a - lookback + 1, a), F.col("close"))
-    now = F.max(F.when(F.col("idx") == a, F.col("close")))
-    enough = (F.first("anchor") - lookback + 1 >= 0) & (F.count(own) >= math.ceil(COVERAGE * lookback))
-    return F.when(enough, now / F.max(own))
+    own = _within("close", lookback)
+    enough = f"first(anchor) - {lookback - 1} >= 0 and {_enough(own, lookback)}"
+    return F.expr(f"case when {enough} then {_at('anchor', 'close')} / max({own}) end")
 
 
 def time_near_high(lookback: int = HIGH_LOOKBACK, recent: int = RECENT, band: float = BAND) -> Column:
     """Share of recent days within ``band`` of their own rolling high (column ``high``)."""
-    a = F.col("anchor")
-    near = F.when(_between(a - recent + 1, a) & F.col("close").isNotNull(), (F.col("close") >= F.col("high") * (1 - band)).cast("double"))
-    enough = (F.first("anchor") - recent + 1 - lookback + 1 >= 0) & (F.count(near) >= math.ceil(COVERAGE * recent))
-    return F.when(enough, F.avg(near))
+    near = _within(f"case when close is not null then cast(close >= high * {1 - band!r}D as double) end", recent)
+    enough = f"first(anchor) - {recent + lookback - 2} >= 0 and {_enough(near, recent)}"
+    return F.expr(f"case when {enough} then avg({near}) end")
 
 
-def _sample(lookback: int) -> tuple[Column, Column]:
-    a = F.col("anchor")
-    r = F.when(_between(a - lookback + 1, a), F.col("ret"))
-    return r, (F.first("anchor") - lookback + 1 >= 1) & (F.count(r) >= math.ceil(COVERAGE * lookback))
+def _sample(lookback: int) -> tuple[str, str]:
+    r = _within("ret", lookback)
+    return r, f"first(anchor) - {lookback - 1} >= 1 and {_enough(r, lookback)}"
 
 
 def positive_day_share(lookback: int = 252) -> Column:
     r, enough = _sample(lookback)
-    return F.when(enough, F.avg(F.when(r.isNotNull(), (r > 0).cast("double"))))
+    return F.expr(f"case when {enough} then avg(cast({r} > 0 as double)) end")
 
 
 def downside_deviation(lookback: int = 252) -> Column:
     r, enough = _sample(lookback)
-    return F.when(enough, F.sqrt(F.sum(F.when(r < 0, r * r).otherwise(0.0)) / F.count(r)) * ROOT)
+    return F.expr(f"case when {enough} then sqrt(sum(case when {r} < 0 then ret * ret else 0.0D end) / count({r})) * {ROOT!r} end")
 
 
 def top_day_concentration(lookback: int = 252, best: int = BEST_DAYS) -> Column:
-    """Share of the total log return that the best days made; null if the total is not positive."""
+    """Share of the total log return that the best days made; null if the total is not positive.
+
+    ``place`` numbers the returns of the lookback, the largest first.
+    """
     r, enough = _sample(lookback)
-    log = F.log(1 + r)
-    top = F.slice(F.sort_array(F.collect_list(log), asc=False), 1, best)
-    won = F.aggregate(top, F.lit(0.0), lambda acc, x: acc + F.greatest(x, F.lit(0.0)))
-    return F.when(enough & (F.count(r) > best) & (F.sum(log) > 0) & F.lit(best > 0), F.try_divide(won, F.sum(log)))
+    total = f"sum(ln(1 + {r}))"
+    won = f"sum(case when place <= {best} and {r} is not null then greatest(ln(1 + ret), 0.0D) else 0.0D end)"
+    return F.expr(f"case when {enough} and count({r}) > {best} and {best} > 0 and {total} > 0 then try_divide({won}, {total}) end")
+
 
+def measured(rows: DataFrame, anchors: Sequence[tuple[str, int]], mark: str | None = None) -> DataFrame:
+    """One row for each (id, at) with every statistic. rows: of ``panel_with_benchmarks``.
 
-def measured(rows: DataFrame, anchors: Sequence[tuple[str, int]]) -> DataFrame:
-    """One row for each (id, at) with every statistic. rows: of ``panel_with_benchmarks``."""
-    each = anchored(rows, anchors)
+    mark: a column with one calendar index an id; then (mark_idx, mark_close) is the as-of point there.
+    """
     w = Window.partitionBy("id", "at")
-    a = F.col("anchor")
-    both = _between(F.greatest(F.lit(1), a - BETA_LOOKBACK + 1), a) & F.col("ret").isNotNull() & F.col("bret").isNotNull()
-    fit = regression(F.when(both, F.col("ret")), F.when(both, F.col("bret")), w)
+    inside = F.expr(_within("close", DRAWDOWN_LOOKBACK + 1))
+    each = anchored(rows, anchors).withColumn("peak", F.max(inside).over(w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    both = f"idx between greatest(1, anchor - {BETA_LOOKBACK - 1}) and anchor and ret is not null and bret is not null"
+    y, x = (F.expr(f"case when {both} then {c} end") for c in ("ret", "bret"))
+    fit = regression(y, x, w)
     each = each.select("*", *[c.alias(n) for n, c in fit.items()])
-    inside = F.when(_between(a - DRAWDOWN_LOOKBACK, a), F.col("close"))
-    each = each.withColumn("peak", F.max(inside).over(w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     # The residual of each day after beta: two passes, as a difference of variances would cancel.
-    each = each.withColumn("residual", F.col("ret") - F.col("beta") * F.col("bret"))
+    best = F.row_number().over(w.orderBy(F.expr(_sample(252)[0]).desc_nulls_last()))
+    each = each.select("*", F.expr("ret - beta * bret").alias("residual"), best.alias("place"))
     aggs: dict[str, Column] = {n: F.first(n) for n in fit}
     for name, (formation, skip) in WINDOWS.items():
         aggs[f"ret_{slug(name)}"] = window_return(formation, skip)
         aggs[f"bret_{slug(name)}"] = window_return(formation, skip, "bend")
     for name, lookback in VOLATILITY_WINDOWS.items():
-        aggs[f"vol_{slug(name)}"] = volatility(F.col("ret"), lookback)
+        aggs[f"vol_{slug(name)}"] = volatility("ret", lookback)
     for name in RANK_WINDOWS:
         formation, skip = WINDOWS[name]
-        aggs[f"rank_vol_{slug(name)}"] = volatility(F.col("ret"), formation, skip)
-        aggs[f"res_vol_{slug(name)}"] = volatility(F.col("residual"), formation, skip)
-    own = F.when(_between(F.greatest(F.lit(0), a - RANGE_LOOKBACK + 1), a), F.col("close"))
-    seen = F.when(F.col("close").isNotNull(), F.col("idx"))
+        aggs[f"rank_vol_{slug(name)}"] = volatility("ret", formation, skip)
+        aggs[f"res_vol_{slug(name)}"] = volatility("residual", formation, skip)
+    own, seen = _within("close", RANGE_LOOKBACK), "case when close is not null then idx end"
+    points = {"end": "anchor", **({"mark": mark} if mark else {})}
     aggs |= {
         "max_drawdown": max_drawdown(),
-        "low52": F.min(own),
-        "high52": F.max(own),
+        "low52": F.expr(f"min({own})"),
+        "high52": F.expr(f"max({own})"),
         "from_high": distance_from_high(),
         "near_high": time_near_high(),
         "positive_days": positive_day_share(),
         "downside": downside_deviation(),
         "top_days": top_day_concentration(),
-        "last": F.max_by("close", seen),
-        "first_idx": F.min(seen),
-        "last_idx": F.max(seen),
+        "last": F.expr(f"max_by(close, {seen})"),
+        "first_idx": F.expr(f"min({seen})"),
+        "last_idx": F.expr(f"max({seen})"),
         "days": F.count("close"),
+        **{f"{name}_{field}": F.expr(_at(index, f"`end`.{field}")) for name, index in points.items() for field in ("idx", "close")},
     }
     out = each.groupBy("id", "segment", "at").agg(*[c.alias(n) for n, c in aggs.items()])
-    for name in WINDOWS:
-        s = slug(name)
-        out = out.withColumn(f"res_{s}", F.col(f"ret_{s}") - F.col("beta") * F.col(f"bret_{s}"))
-    return out.withColumn("return_per_vol", return_per_vol(F.col("ret_12m"), F.col("vol_1y")))
+    residuals = [F.expr(f"ret_{slug(w)} - beta * bret_{slug(w)}").alias(f"res_{slug(w)}") for w in WINDOWS]
+    return out.select("*", *residuals, return_per_vol(F.col("ret_12m"), F.col("vol_1y")).alias("return_per_vol"))
 
 
-def side_by_side(long: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row an id: the columns at the anchor ``now``, and as prior_* at the earlier one."""
-    picks = [F.first(F.when(F.col("at") == "now", F.col(c)), ignorenulls=True).alias(c) for c in columns]
-    picks += [F.first(F.when(F.col("at") == "prior", F.col(c)), ignorenulls=True).alias(f"prior_{c}") for c in columns]
+def side_by_side(long: DataFrame, columns: Sequence[str], before: Sequence[str] | None = None) -> DataFrame:
+    """One row an id: ``columns`` at the anchor ``now``, and ``before`` (else the same) as prior_* at the earlier one."""
+    pick = lambda at, c, name: F.expr(f"max(case when at = '{at}' then {c} end) as {name}")  # noqa: E731 (one row each)
+    picks = [pick("now", c, c) for c in columns] + [pick("prior", c, f"prior_{c}") for c in (columns if before is None else before)]
     return long.groupBy("id", "segment").agg(*picks)

@@ -33,9 +33,9 @@ def price_evidence(panel: DataFrame, anchor: int) -> DataFrame:
 
 
 def liveness(members: DataFrame) -> DataFrame:
-    """``members`` (with observations, staleness) and a ``reason`` where a row is not live."""
-    late = F.concat(F.lit("no close in the last "), F.col("staleness").cast("string"), F.lit(" trading days; treated as delisted"))
-    reason = F.when(F.coalesce("observations", F.lit(0)) == 0, F.lit("no usable price history")).when(F.col("staleness") > MAX_STALENESS, late)
+    """``members`` (with observations, staleness) and a ``reason`` where a row is not live: no-history, or stale:days."""
+    late = F.concat(F.lit("stale:"), F.col("staleness").cast("string"))
+    reason = F.when(F.coalesce("observations", F.lit(0)) == 0, F.lit("no-history")).when(F.col("staleness") > MAX_STALENESS, late)
     return members.withColumn("reason", reason)
 
 
@@ -43,15 +43,15 @@ def share_classes(members: DataFrame) -> DataFrame:
     """``members`` (ticker, name, observations, staleness, market_cap) with ``reason`` where one is left out.
 
     Of the live rows of one company stays the freshest, then that with most closes, then the most
-    valuable, then the first ticker; the others name it.
+    valuable, then the first ticker; the others are same-company:ticker.
     """
     marked = liveness(members).withColumn("company", company_key(F.col("name")))
     live = F.col("reason").isNull()
     w = Window.partitionBy("company", live).orderBy(
         "staleness", F.col("observations").desc(), F.coalesce("market_cap", F.lit(0.0)).desc(), "ticker"
     )
-    marked = marked.withColumn("place", F.row_number().over(w)).withColumn("winner", F.first(F.struct("ticker", "name")).over(w))
-    double = F.concat(F.lit("duplicate share class of "), F.col("winner.ticker"), F.lit(" ("), F.col("winner.name"), F.lit(")"))
+    marked = marked.withColumn("place", F.row_number().over(w)).withColumn("winner", F.first("ticker").over(w))
+    double = F.concat(F.lit("same-company:"), F.col("winner"))
     return marked.withColumn("reason", F.when(live & (F.col("place") > 1), double).otherwise(F.col("reason"))).drop("company", "place", "winner")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import groups
 from tidewright.schema import ANNUAL_DAYS, MAX_HOLDINGS, MIN_ALLOCATION_DAYS
+from tidewright.scratch import kept
 
 
 def single_linkage_order(distance: np.ndarray) -> list[int]:
@@ -136,11 +137,11 @@ def allocate(returns: DataFrame, holdings: DataFrame, scheme: str = "inverse-vol
         raise ValueError(f"unknown scheme {scheme}")
     if holdings.limit(MAX_HOLDINGS + 1).count() > MAX_HOLDINGS:
         raise ValueError(f"more than {MAX_HOLDINGS} holdings")
-    own = groups.synchronised(returns.join(F.broadcast(holdings.select("id")), "id", "left_semi"))
+    own = kept(groups.synchronised(kept(returns.join(holdings.select("id"), "id", "left_semi"), "holdings")), "synchronised")
     days = own.select("idx").distinct().count()
-    cov = groups.shrunk(groups.covariances(own))
+    cov = groups.shrunk(kept(groups.covariances(own), "covariances"))
     kind = holdings.schema["id"].dataType.simpleString()
-    held = F.broadcast(holdings.select(F.col("id").alias("i"), F.col("group").alias("group")))
+    held = holdings.select(F.col("id").alias("i"), F.col("group").alias("group"))
     rows = cov.join(held, "i").withColumn("one", F.lit(1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -172,12 +173,12 @@ def allocate(returns: DataFrame, holdings: DataFrame, scheme: str = "inverse-vol
 
 
 def excluded(returns: DataFrame, holdings: DataFrame) -> DataFrame:
-    """(id, reason) of holdings that get no weight."""
+    """(id, reason) of holdings that get no weight: no-history, or short-overlap:days."""
     have = returns.where(F.col("ret").isNotNull()).select("id").distinct()
-    own = groups.synchronised(returns.join(F.broadcast(holdings.select("id")), "id", "left_semi"))
+    own = groups.synchronised(returns.join(holdings.select("id"), "id", "left_semi"))
     days = own.select("idx").distinct().count()
-    absent = holdings.join(have, "id", "left_anti").select("id", F.lit("no price history").alias("reason"))
+    absent = holdings.join(have, "id", "left_anti").select("id", F.lit("no-history").alias("reason"))
     if days >= MIN_ALLOCATION_DAYS:
         return absent
-    short = holdings.join(have, "id", "left_semi").select("id", F.lit(f"only {days} overlapping days").alias("reason"))
+    short = holdings.join(have, "id", "left_semi").select("id", F.lit(f"short-overlap:{days}").alias("reason"))
     return absent.unionByName(short)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidewright.functions.registry import Metric, metric
 from tidewright.schema import GICS_SECTORS
 
+#: Rows beside the visible ones.
+OVERSCAN = 8
+
 
 def finite(c: Column) -> Column:
     """The value, or null where it is NaN or infinite."""
@@ -135,6 +138,12 @@ def cash_amounts(weights: DataFrame, total: float, order: str = "ord", by: Seque
     return df.withColumn("amount", (F.col("whole") + extra).cast("long")).drop("all", "exact", "whole", "left", "place")
 
 
+def viewport(ranked_rows: DataFrame, first: int, shown: int, overscan: int = OVERSCAN) -> DataFrame:
+    """The rows of a ranking that a list shows from place ``first`` (0-based) on, and some on both sides. Ties: by id."""
+    low = max(0, first - overscan)
+    return ranked_rows.orderBy("rank", "id").offset(low).limit(first + shown + overscan - low)
+
+
 def in_list_order(universe: DataFrame, ids: Sequence) -> DataFrame:
     """The rows of ``ids`` with their place in the list; unknown ids are dropped."""
     places = universe.sparkSession.createDataFrame(list(enumerate(ids)), f"place int, id {universe.schema['id'].dataType.simpleString()}")

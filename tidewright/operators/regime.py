@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators import measures
+from tidewright.operators.series import with_returns
+
 LINE, RALLY = 0.9, 0.05
 
 
@@ -18,8 +21,16 @@ def classify(from_high: Column, ret_6m: Column, ret_1m: Column) -> Column:
 def describe(state: Column, from_high: Column) -> Column:
     below = F.concat(F.floor((1 - from_high) * 100 + 0.5).cast("string"), F.lit("%"))
     return (
-        F.when(state == "reversal-risk", F.concat(F.lit("Reversal risk: market "), below, F.lit(" below its high and rallying hard")))
-        .when((state == "caution") & (from_high < LINE), F.concat(F.lit("Caution: market "), below, F.lit(" below its 52-week high")))
-        .when(state == "caution", F.lit("Caution: market down over six months"))
-        .when(state == "normal", F.lit("Normal: market near its high"))
+        F.when(state == "reversal-risk", F.concat(F.lit("Bear rally: "), below, F.lit(" off the peak, last month sharply up")))
+        .when((state == "caution") & (from_high < LINE), F.concat(F.lit("Drawn down: "), below, F.lit(" off the peak")))
+        .when(state == "caution", F.lit("Weak half-year: lower than six months ago"))
+        .when(state == "normal", F.lit("Calm: close to the peak, half-year not negative"))
     )
+
+
+def of_panel(panel: DataFrame, anchor: int) -> DataFrame:
+    """(id, from_high, ret_6m, ret_1m, state) of each index in (id, idx, close)."""
+    rows = measures.anchored(with_returns(panel), [("now", anchor)])
+    inputs = {"from_high": measures.distance_from_high(), "ret_6m": measures.window_return(126, 0), "ret_1m": measures.window_return(21, 0)}
+    at = rows.groupBy("id").agg(*[c.alias(n) for n, c in inputs.items()])
+    return at.withColumn("state", classify(F.col("from_high"), F.col("ret_6m"), F.col("ret_1m")))

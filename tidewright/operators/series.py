@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.schema import TOLERANCE
-
-#: A table of at most this many rows (segments x days) is sent to every executor.
-BROADCAST_ROWS = 1_000_000
+from tidewright.scratch import local_table
 
 
 def usable(c: Column) -> Column:
@@ -16,34 +18,46 @@ def usable(c: Column) -> Column:
     return F.coalesce(~F.isnan(c) & (c > 0) & (c < float("inf")), F.lit(False))
 
 
-def clean(obs: DataFrame) -> DataFrame:
-    """(id, date, close) with one usable close a day; of equal days the later by ``seq`` (if a column) wins."""
+def clean(obs: DataFrame, unique: bool = False) -> DataFrame:
+    """(id, date, close) with one usable close a day; of equal days the later by ``seq`` (if a column) wins.
+
+    unique: the days of an id are known to differ, so nothing is exchanged.
+    """
     good = obs.where(usable(F.col("close")))
+    if unique:
+        return good.select("id", "date", "close")
     if "seq" not in obs.columns:
         return good.groupBy("id", "date").agg(F.max("close").alias("close"))
     return good.groupBy("id", "date").agg(F.max_by("close", "seq").alias("close"))
 
 
+def calendar_table(spark: SparkSession, dates: Sequence[dt.date]) -> DataFrame:
+    """(idx, date) as literal rows, from the trading days in order."""
+    return local_table(spark, {"idx": pa.array(range(len(dates)), pa.int32()), "date": pa.array(list(dates), pa.date32())})
+
+
+def trading_days(benchmark_obs: DataFrame) -> list[dt.date]:
+    """The days on which any benchmark traded, in order: as many as a calendar has, on the driver."""
+    return sorted(r["date"] for r in benchmark_obs.select("date").distinct().collect())
+
+
 def calendar(benchmark_obs: DataFrame) -> DataFrame:
     """(idx, date): the days on which any benchmark traded, from 0. As long as a calendar: one task."""
     days = benchmark_obs.select("date").distinct()
     return days.select((F.row_number().over(Window.orderBy("date")) - 1).alias("idx"), "date")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its size is within the bound, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def densify(obs: DataFrame, cal: DataFrame) -> DataFrame:
+def densify(obs: DataFrame, cal: DataFrame, days: int | None = None) -> DataFrame:
     """(id, idx, close): every id on every calendar day, null where it has no observation.
 
+    days: the calendar's length, if known. The calendar is broadcast if the optimiser knows its size.
+
     Each observation also makes the empty days up to the next one (the first those before it too),
     so one exchange by id serves this and all windows after it. Observations off the calendar are
     dropped; an id that has no other is null throughout.
     """
-    days = cal.count()
-    placed = obs.join(small(cal), "date", "left").select("id", F.col("idx").alias("own"), "close")
+    days = cal.count() if days is None else days
+    placed = obs.join(cal, "date", "left").select("id", F.col("idx").alias("own"), "close")
     w = Window.partitionBy("id").orderBy(F.col("own").asc_nulls_last())
     marked = placed.select("*", F.row_number().over(w).alias("place"), F.lead("own").over(w).alias("next"))
     first = F.when(F.col("place") == 1, 0).otherwise(F.col("own"))
@@ -55,7 +69,7 @@ def densify(obs: DataFrame, cal: DataFrame) -> DataFrame:
 
 def orphans(obs: DataFrame, cal: DataFrame) -> DataFrame:
     """Observations on days that the calendar lacks."""
-    return obs.join(small(cal.select("date")), "date", "left_anti")
+    return obs.join(cal.select("date"), "date", "left_anti")
 
 
 def by_time(key: str = "id") -> Window:
@@ -78,6 +92,20 @@ def with_returns(panel: DataFrame, key: str = "id") -> DataFrame:
     return panel.withColumn("ret", daily_return(key)).withColumn("end", endpoint(key))
 
 
+def next_days(spark: SparkSession, dates: Sequence[dt.date]) -> DataFrame:
+    """(day, idx): for every day up to the last of the calendar ``dates``, the first of them on or after it.
+
+    Literal rows, one a natural day from the first of the calendar on.
+    """
+    days, at = [], []
+    for i, d in enumerate(dates):
+        first = dates[i - 1] + dt.timedelta(1) if i else d
+        own = [first + dt.timedelta(k) for k in range((d - first).days + 1)]
+        days += own
+        at += [i] * len(own)
+    return local_table(spark, {"day": pa.array(days, pa.date32()), "idx": pa.array(at, pa.int32())})
+
+
 def index_at_or_after(dates: DataFrame, cal: DataFrame) -> DataFrame:
     """(date, idx) for distinct ``dates``: the first calendar day on or after each; no row past the end.
 

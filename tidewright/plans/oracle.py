@@ -168,3 +168,10 @@ basis as (
 moved as (select *, basis_then - basis_now as change from basis)
 select id, case when {active} is not null then rank() over (partition by ({active}) is null order by {active} {shown}) else 0 end as rank,
   {r6(active)} as value, change from moved"""
+
+
+def thinned(query: str, keep: str) -> str:
+    """The query over the panel of which only some weeks of the securities stay."""
+    whole = "obs as (select id, date, paid::double / quantity::double as close from weekly)"
+    assert query.count(whole) == 1
+    return query.replace(whole, f"{whole[:-1]} where {keep})")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,73 +11,48 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import formats, registry, text
 from tidewright.operators import earnings, groups, measures, membership, merge, portfolio, ranking, regime, series, validation
+from tidewright.operators.universe import Aligned, align, dated, excluded, records
 from tidewright.plans import oracle as sql
-from tidewright.plans.oracle import NOW, PRIOR, r6
-from tidewright.schema import MAX_HOLDINGS, RANK_CHANGE_OFFSET, RANK_WINDOWS, WINDOWS, slug
+from tidewright.plans.oracle import r6
+from tidewright.schema import MAX_HOLDINGS, RANK_WINDOWS, WINDOWS, slug
+from tidewright.scratch import kept
 from tidewright.sources import adapters, readers
 from tidewright.sources.sinks import rounded, rounded_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-@dataclass
-class Model:
-    """The panel of one data set: lazy tables, and the calendar's length."""
+def model(spark: SparkSession, sf_dir: str, thin: bool = False) -> Aligned:
+    """The panel over one written weekly table: lineitem is aggregated once. thin: with gaps, late starts and early ends."""
+    weeks, members = kept(adapters.weekly(spark, sf_dir), "weekly"), adapters.members(spark, sf_dir)
+    bench = kept(series.clean(adapters.benchmark_observations(weeks, members), unique=True), "benchmarks")
+    obs = series.clean(adapters.observations(weeks.where(THINNED) if thin else weeks), unique=True)
+    return align(obs, bench, members)
 
-    obs: DataFrame
-    members: DataFrame
-    cal: DataFrame
-    panel: DataFrame
-    days: DataFrame
-    anchor: int
 
-    @property
-    def anchors(self) -> list[tuple[str, int]]:
-        return [("now", self.anchor), ("prior", self.anchor - RANK_CHANGE_OFFSET)]
+def universe(spark: SparkSession, sf_dir: str, events: bool = False) -> DataFrame:
+    """The published record of every security, rounded as published; rankings are over these values. events: with announcements."""
+    return rounded_frame(records(model(spark, sf_dir), adapters.announcements(spark, sf_dir) if events else None))
 
 
-def model(spark: SparkSession, sf_dir: str) -> Model:
-    obs, members = series.clean(adapters.observations(spark, sf_dir)), adapters.members(spark, sf_dir)
-    bench = series.clean(adapters.benchmark_observations(spark, sf_dir))
-    # As long as a calendar: collected once and kept as literal rows, so no plan computes it again.
-    cal = series.calendar(bench)
-    rows = cal.collect()
-    cal = spark.createDataFrame(rows, cal.schema)
-    panel = series.densify(obs, cal)
-    days = measures.panel_with_benchmarks(panel, members, series.densify(bench, cal))
-    return Model(obs, members, cal, panel, days, len(rows) - 1)
+#: What stays of the weeks of a supplier in the thinned panel: seven of nine weeks, from or up to some week for two groups, none for a third.
+THINNED = """(id + datediff(date, date'1992-01-06') div 7) % 9 not in (4, 5)
+  and not (id % 7 = 3 and date < date'1995-07-01') and not (id % 7 = 5 and date > date'1998-03-01') and id % 17 <> 11"""
+THINNED_SQL = THINNED.replace("datediff(date, date'1992-01-06') div 7", "(date - date '1992-01-06') // 7")
 
 
-def measured(m: Model) -> DataFrame:
-    return measures.measured(m.days, m.anchors)
-
-
-def last_events(spark: SparkSession, sf_dir: str, m: Model) -> DataFrame:
-    last = m.cal.agg(F.max("date")).first()[0]
-    return earnings.latest(adapters.announcements(spark, sf_dir), m.days, m.cal, m.anchor, last)
-
-
-def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published record of every security, rounded as published; rankings are over these values."""
-    m = model(spark, sf_dir)
-    wide = measures.side_by_side(measured(m), sorted({*NOW, *PRIOR}))
-    at = lambda i: F.max(F.when(F.col("idx") == i, F.col("end.close")))
-    ends = m.days.groupBy("id").agg(at(m.anchor).alias("end_now"), at(m.anchor - RANK_CHANGE_OFFSET).alias("end_prior"))
-    caps = membership.market_cap_back_cast(m.members.join(ends, "id")).select("id", "name", "sector", "market_cap", "prior_market_cap")
-    surprise = last_events(spark, sf_dir, m).select("id", "surprise")
-    return rounded_frame(wide.join(caps, "id").join(surprise, "id", "left"))
-
-
-def _measures(columns: list[str], at: str = "now") -> tuple[Query, str]:
+def _measures(columns: list[str], at: str = "now", thin: bool = False) -> tuple[Query, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded_frame(measured(model(spark, sf_dir)).where(F.col("at") == at).select("id", *columns))
+        m = model(spark, sf_dir, thin)
+        wanted = [a for a in m.anchors if a[0] == at]
+        return rounded_frame(measures.measured(m.days, wanted).select("id", *columns))
 
-    return run, sql.measures(columns, at)
+    return run, sql.thinned(sql.measures(columns, at), THINNED_SQL) if thin else sql.measures(columns, at)
 
 
 def _screen(view: ranking.Screen, pool: str = "true") -> tuple[Query, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = ranking.screen(universe(spark, sf_dir), view, WATCHLIST)
+        found = ranking.screen(universe(spark, sf_dir, view.metric_id == "surprise"), view, WATCHLIST)
         return found.select("id", "rank", rounded(F.col("value")).alias("value"), "change")
 
     m = registry.metric(view.metric_id)
@@ -116,9 +90,9 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints_every_day(spark, sf_dir).where(F.col("idx") % 21 == 0)
 
 
-def endpoints_every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+def endpoints_every_day(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
     """The as-of endpoint of each day; ``endpoints`` is a sample of it."""
-    m = model(spark, sf_dir)
+    m = model(spark, sf_dir, thin)
     return m.days.select("id", "idx", F.col("end.idx").alias("end_idx"), rounded(F.col("end.close")).alias("end_close"))
 
 
@@ -135,8 +109,8 @@ def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.index_at_or_after(dates, m.cal)
 
 
-def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = series.gap_segments(model(spark, sf_dir).panel)
+def gap_islands(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
+    found = series.gap_segments(model(spark, sf_dir, thin).panel)
     return found.groupBy("id", "segment_no").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("points")).where("points >= 2")
 
 
@@ -182,41 +156,46 @@ def segment_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = measured(model(spark, sf_dir)).where("at = 'now'")
+    m = model(spark, sf_dir)
+    u = measures.measured(m.days, m.anchors[:1])
     return u.select("id", rounded(groups.range_position(F.col("last"), F.col("low52"), F.col("high52")), 4).alias("position"))
 
 
 def _held_returns(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    """Returns of the brands' prices on the common calendar; None: of all brands."""
-    bench = series.clean(adapters.benchmark_observations(spark, sf_dir))
-    held = series.clean(adapters.brand_observations(spark, sf_dir))
-    if brands is not None:
-        held = held.where(F.col("id").isin(*brands))
-    return series.with_returns(series.densify(held, series.calendar(bench))).select("id", "idx", "ret")
+    """Returns of the brands' prices on the common calendar, written once; None: of all brands."""
+    dates = series.trading_days(series.clean(adapters.benchmark_observations(adapters.weekly(spark, sf_dir), adapters.members(spark, sf_dir)), unique=True))
+    held = series.clean(adapters.brand_observations(spark, sf_dir, brands), unique=True)
+    panel = series.densify(held, series.calendar_table(spark, dates), len(dates))
+    return kept(series.with_returns(panel).select("id", "idx", "ret"), "held-returns")
+
+
+def _synchronised(spark: SparkSession, sf_dir: str, brands: list[str] | None) -> DataFrame:
+    return groups.synchronised(_held_returns(spark, sf_dir, brands))
 
 
 def sync_days(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    return groups.synchronised(_held_returns(spark, sf_dir, brands)).select("idx").distinct()
+    return _synchronised(spark, sf_dir, brands).select("idx").distinct()
 
 
 def correlation_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    return rounded_frame(groups.correlations(groups.paired(groups.synchronised(_held_returns(spark, sf_dir, brands)))))
+    return rounded_frame(groups.correlations(groups.paired(_synchronised(spark, sf_dir, brands))))
 
 
 def correlation_matrix(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    return rounded_frame(groups.correlation_matrix(groups.synchronised(_held_returns(spark, sf_dir, brands))))
+    return rounded_frame(groups.correlation_matrix(_synchronised(spark, sf_dir, brands)))
 
 
 def average_correlation(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    return rounded_frame(groups.average_correlation(groups.synchronised(_held_returns(spark, sf_dir, brands))))
+    return rounded_frame(groups.average_correlation(_synchronised(spark, sf_dir, brands)))
 
 
 def covariance_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    return rounded_frame(groups.covariances(groups.synchronised(_held_returns(spark, sf_dir, brands))))
+    return rounded_frame(groups.covariances(_synchronised(spark, sf_dir, brands)))
 
 
 def _shrunk(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    return groups.shrunk(groups.covariances(groups.synchronised(_held_returns(spark, sf_dir, brands))))
+    """Shrunk covariances: as wide as the holdings at most, written, as several steps read them."""
+    return kept(groups.shrunk(kept(groups.covariances(_synchronised(spark, sf_dir, brands)), "covariances")), "shrunk")
 
 
 def shrunk_covariance(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
@@ -261,12 +240,13 @@ def cash_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each region's own index."""
-    m = model(spark, sf_dir)
-    bench = series.clean(adapters.benchmark_observations(spark, sf_dir))
-    own = bench.select("id").distinct().select("id", F.col("id").alias("segment"))
-    rows = measures.panel_with_benchmarks(series.densify(bench, m.cal), own, series.densify(bench, m.cal))
-    at = measures.measured(rows, [("now", m.anchor)]).select("segment", *[rounded(F.col(c)).alias(c) for c in ("from_high", "ret_6m", "ret_1m")])
-    return at.withColumn("state", regime.classify(F.col("from_high"), F.col("ret_6m"), F.col("ret_1m")))
+    bench = series.clean(adapters.benchmark_observations(adapters.weekly(spark, sf_dir), adapters.members(spark, sf_dir)), unique=True)
+    bench = kept(bench, "benchmarks")
+    dates = series.trading_days(bench)
+    at = regime.of_panel(series.densify(bench, series.calendar_table(spark, dates), len(dates)), len(dates) - 1)
+    columns = [rounded(F.col(c)).alias(c) for c in ("from_high", "ret_6m", "ret_1m")]
+    shown = at.select(F.col("id").alias("segment"), *columns)
+    return shown.withColumn("state", regime.classify(F.col("from_high"), F.col("ret_6m"), F.col("ret_1m")))
 
 
 def regime_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +256,7 @@ def regime_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def earnings_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model(spark, sf_dir)
-    return rounded_frame(last_events(spark, sf_dir, m))
+    return rounded_frame(earnings.latest(adapters.announcements(spark, sf_dir), m.days, m.dates))
 
 
 SPLIT = dt.date(1999, 1, 1)
@@ -330,8 +310,8 @@ def segment_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.segment_conflicts(_listed(spark, sf_dir)).select("ticker", "segment", "seq", "keep", "kept_segment")
 
 
-def price_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = model(spark, sf_dir)
+def price_evidence(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
+    m = model(spark, sf_dir, thin)
     return membership.price_evidence(m.panel, m.anchor)
 
 
@@ -400,7 +380,48 @@ def last_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = universe(spark, sf_dir)
-    return u.select("id", formats.column(formats.percent, F.col("ret_12_1")).alias("ret"), formats.column(formats.ratio, F.col("beta")).alias("beta"), formats.column(formats.market_cap, F.col("market_cap")).alias("cap"))
+    return u.select("id", formats.percent_column(F.col("ret_12_1")).alias("ret"), formats.ratio_column(F.col("beta")).alias("beta"), formats.market_cap_column(F.col("market_cap")).alias("cap"), formats.market_cap_column(F.col("market_cap") * 1e8).alias("cap_of_bonds"))
+
+
+def series_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = model(spark, sf_dir, thin=True)
+    return dated(measures.measured(m.days, m.anchors[:1]), m).select("id", "first_date", "last_date", "days")
+
+
+def no_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return excluded(model(spark, sf_dir, thin=True))
+
+
+def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the flagship ranking that a list of twelve shows from the 21st place on."""
+    return ranking.viewport(rank_12_1(spark, sf_dir), 20, 12).select("id", "rank", "value")
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """History up to a day, and each line of a shipment since a month before it as its own fetched close, in the order of its keys."""
+    lines = adapters.read(spark, sf_dir, "lineitem")
+    rows = lines.select(
+        F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity") * 2).alias("close"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")
+    )
+    return _cached_and_fetched(spark, sf_dir)[0], rows.where(F.col("date") >= F.date_sub(F.lit(SPLIT), 30))
+
+
+def merge_last_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merge.last_wins(*_repeated(spark, sf_dir), RETAIN, seq="seq")
+    return merged.select("id", "date", rounded(F.col("close")).alias("close"))
+
+
+def merge_first_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merge.first_wins(*_repeated(spark, sf_dir), RETAIN, seq="seq")
+    return merged.select("id", "date", rounded(F.col("close")).alias("close"))
+
+
+def refresh_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes where the requests of every tenth supplier failed: these keep their history."""
+    cached, fetched = _cached_and_fetched(spark, sf_dir)
+    fetched = fetched.where("id % 5 <> 0")
+    failed = adapters.members(spark, sf_dir).where("id % 10 = 0").select("id", F.lit("status 500").alias("error"))
+    return merge.outcomes(cached, fetched, merge.last_wins(cached, fetched, dt.date(1990, 1, 1)), failed)
 
 
 def rank_12_1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,6 +469,37 @@ _STATES = ", ".join(f"{r6(x)} as {c}" for c, x in (("from_high", "max(case when
 _REGIME = f"""{_P},
 inputs as (select segment, {_STATES} from bpanel join bser using (segment, idx) cross join size group by 1),
 states as (select *, case when from_high < 0.9 and ret_1m > 0.05 then 'reversal-risk' when from_high < 0.9 or ret_6m < 0 then 'caution' else 'normal' end as state from inputs)"""
+_PLAIN = "regexp_replace(html, '<[^>]*>', '', 'g')"
+for _entity, _plain in (("&amp;", "&"), ("&#0?39;|&apos;|&rsquo;", "''"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_entity}', '{_plain}', 'g')"
+_NUMBERS = r"regexp_extract_all(t, '(?s)&#\d+;|&|[^&]+')"
+_PLAIN = f"""(select coalesce(string_agg(case when regexp_full_match(p, '&#\\d+;') then coalesce(case when n <= 1114111 and not n between 55296 and 57343 then chr(n::int) end, p) else p end, '' order by k), '')
+  from (select p, k, try_cast(regexp_extract(p, '&#(\\d+);', 1) as bigint) as n from (select unnest(ps) as p, generate_subscripts(ps, 1) as k from (select {_NUMBERS} as ps from (select {_PLAIN} as t)))))"""
+
+
+def _digits(size: str, digits: int) -> str:
+    """Fixed-point digits of a value of zero or more, halves up; ties are odd multiples of a power of two."""
+    return f"printf('%.{digits}f', case when ({size}) * {2 ** (digits + 1)} % 2 = 1 then ({size}) + {10.0 ** -(digits + 2)} else ({size}) end)"
+
+
+def _shown(value: str, digits: int, minus: str, plus: str, unit: str) -> str:
+    return f"case when {value} is null then '—' else case when {value} < 0 then '{minus}' else '{plus}' end || {_digits(f'abs({value})', digits)} || '{unit}' end"
+
+
+def _cap(value: str) -> str:
+    steps = [(f"{value} >= {low}", _digits(f"({value}) / {unit}", digits), letter) for low, unit, digits, letter in ((1e12, 1e12, 2, "T"), (1e11, 1e9, 0, "B"), (1e9, 1e9, 1, "B"), (0, 1e6, 0, "M"))]
+    return f"case when {value} is null or {value} <= 0 then '—' " + " ".join(f"when {test} then '$' || {text_} || '{letter}'" for test, text_, letter in steps) + " end"
+
+
+_ISLANDS = f"""{_P}, seen as (select id, idx, case when idx - lag(idx) over (partition by id order by idx) > 5 then 1 else 0 end as jump from panel where close is not null),
+seg as (select id, idx, sum(jump) over (partition by id order by idx) as segment_no from seen)
+select id, segment_no::bigint as segment_no, min(idx) as first_idx, max(idx) as last_idx, count(*) as points from seg group by 1, 2 having count(*) >= 2"""
+_REPEATS = """
+with daily as (select l_suppkey as id, l_shipdate::date as date, max(l_extendedprice / l_quantity) as close from lineitem group by 1, 2),
+cached as (select * from daily where date < date '1999-01-01'),
+fetched as (
+  select l_suppkey as id, l_shipdate::date as date, l_extendedprice / l_quantity * 2 as close, l_orderkey * 8 + l_linenumber as seq from lineitem
+  where l_shipdate::date >= date '1999-01-01' - 30)"""
 
 ENTRIES: dict[str, tuple[Query, str | None]] = {
     "rank_12_1": (rank_12_1, f"""{_U}, r as (select *, rank() over (order by ret_12_1 desc) as rank from uni where ret_12_1 is not null),
@@ -473,11 +525,18 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "daily_returns": (daily_returns, f"{_P} select id, idx, {r6('ret')} as ret from days where ret is not null"),
     "endpoints": (endpoints, f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days where idx % 21 = 0"),
     "endpoints_every_day": (endpoints_every_day, f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days"),
+    "endpoints_thinned": (partial(endpoints_every_day, thin=True), sql.thinned(f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days", THINNED_SQL)),
+    "thinned_returns": _measures([*(f"ret_{slug(w)}" for w in WINDOWS), "vol_3m", "vol_1y", "max_drawdown"], thin=True),
+    "thinned_regressions": _measures(["beta", "alpha", "r2", "pairs", *(f"res_vol_{slug(w)}" for w in RANK_WINDOWS)], thin=True),
+    "thinned_paths": _measures(["from_high", "near_high", "positive_days", "downside", "top_days", "low52", "high52", "first_idx", "last_idx", "days", "last"], thin=True),
+    "thinned_evidence": (partial(price_evidence, thin=True), sql.thinned(f"{_EVIDENCE} select * from ev", THINNED_SQL)),
+    "thinned_islands": (partial(gap_islands, thin=True), sql.thinned(_ISLANDS, THINNED_SQL)),
+    "series_dates": (series_dates, sql.thinned(f"{_P} select id, min(date) as first_date, max(date) as last_date, count(*) as days from panel where close is not null group by id", THINNED_SQL)),
+    "no_history": (no_history, sql.thinned(f"{_P} select id, 'no-history' as reason from members where id not in (select id from obs)", THINNED_SQL)),
+    "viewport": (viewport, f"{_U}, r as (select id, rank() over (order by ret_12_1 desc) as rank, ret_12_1 as value from uni where ret_12_1 is not null) select id, rank, value from r order by rank, id limit 28 offset 12"),
     "calendar_orphans": (calendar_orphans, f"{_P} select id, count(*) as orphans from obs where date not in (select date from cal where idx % 2 = 0) group by 1"),
     "forward_index": (forward_index, f"{_P} select d.date, min(idx) as idx from (select distinct o_orderdate::date as date from orders) d join cal on cal.date >= d.date group by 1"),
-    "gap_islands": (gap_islands, f"""{_P}, seen as (select id, idx, case when idx - lag(idx) over (partition by id order by idx) > 5 then 1 else 0 end as jump from panel where close is not null),
-        seg as (select id, idx, sum(jump) over (partition by id order by idx) as segment_no from seen)
-        select id, segment_no::bigint as segment_no, min(idx) as first_idx, max(idx) as last_idx, count(*) as points from seg group by 1, 2 having count(*) >= 2"""),
+    "gap_islands": (gap_islands, _ISLANDS),
     "horizon_tail": (horizon_tail, f"{_P} select id, idx, floor(close * 1e4 + 0.5) / 1e4 as close from panel cross join size where idx >= anchor - 63 and close is not null"),
     "universe_prior_cap": (lambda s, d: universe(s, d).select("id", "market_cap", "prior_market_cap"), f"{_U} select id, market_cap, prior_market_cap from uni"),
     **{f"screen_{m.id.replace('-', '_').lower()}": _screen(ranking.Screen(m.id)) for m in registry.ALL},
@@ -517,13 +576,22 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
         select id, segment, (floor(exact) + case when place <= rest then 1 else 0 end)::bigint as amount from p"""),
     "market_regime": (market_regime, f"{_REGIME} select segment, from_high, ret_6m, ret_1m, state from states"),
     "regime_banner": (regime_banner, f"""{_REGIME}, b as (select *, (floor((1 - from_high) * 100 + 0.5))::bigint || '%' as below from states)
-        select segment, case when state = 'reversal-risk' then 'Reversal risk: market ' || below || ' below its high and rallying hard'
-          when state = 'caution' and from_high < 0.9 then 'Caution: market ' || below || ' below its 52-week high'
-          when state = 'caution' then 'Caution: market down over six months' else 'Normal: market near its high' end as banner from b"""),
+        select segment, case when state = 'reversal-risk' then 'Bear rally: ' || below || ' off the peak, last month sharply up'
+          when state = 'caution' and from_high < 0.9 then 'Drawn down: ' || below || ' off the peak'
+          when state = 'caution' then 'Weak half-year: lower than six months ago' else 'Calm: close to the peak, half-year not negative' end as banner from b"""),
     "earnings_latest": (earnings_latest, f"{_P}{sql.EVENTS} select id, date, {r6('eps_actual')} as eps_actual, {r6('eps_estimated')} as eps_estimated, {r6('surprise')} as surprise, {r6('since_return')} as since_return from latest"),
     "merge_last_wins": (merge_last_wins, f"{_MERGE} select id, date, {r6('coalesce(f.close, c.close)')} as close from cached c full join fetched f using (id, date) where date >= date '1996-01-01'"),
     "merge_first_wins": (merge_first_wins, f"{_MERGE} select id, date, {r6('coalesce(c.close, f.close)')} as close from cached c full join fetched f using (id, date) where date >= date '1996-01-01'"),
     "fetch_bounds": (fetch_bounds, f"{_MERGE} select id, greatest(max(date) - 7, date '1998-12-28')::date as fetch_from from cached group by 1"),
+    "merge_last_of_repeats": (merge_last_of_repeats, f"""{_REPEATS}, f as (select id, date, arg_max(close, seq) as close from fetched group by 1, 2)
+        select id, date, {r6('coalesce(f.close, c.close)')} as close from cached c full join f using (id, date) where date >= date '1996-01-01'"""),
+    "merge_first_of_repeats": (merge_first_of_repeats, f"""{_REPEATS}, f as (select id, date, arg_min(close, seq) as close from fetched group by 1, 2)
+        select id, date, {r6('coalesce(c.close, f.close)')} as close from cached c full join f using (id, date) where date >= date '1996-01-01'"""),
+    "refresh_failures": (refresh_failures, f"""{_MERGE}, o as (select id, count(*) as n from cached group by 1), f as (select id, count(*) as n from fetched where id % 5 <> 0 group by 1),
+        t as (select id, count(*) as n from (select id, date from cached union select id, date from fetched where id % 5 <> 0) group by 1), e as (select s_suppkey as id from supplier where s_suppkey % 10 = 0)
+        select id, case when e.id is not null then 0 else greatest(0, t.n - coalesce(o.n, 0)) end as added, case when e.id is not null then coalesce(o.n, 0) else t.n end as total,
+          e.id is not null or (coalesce(f.n, 0) = 0 and coalesce(o.n, 0) > 0) as stale, case when e.id is not null then 'status 500' end as error
+        from t full join e using (id) left join o using (id) left join f using (id)"""),
     "refresh_outcomes": (refresh_outcomes, f"""{_MERGE}, o as (select id, count(*) as n from cached group by 1), f as (select id, count(*) as n from fetched where id % 5 <> 0 group by 1),
         t as (select id, count(*) as n from (select id, date from cached union select id, date from fetched where id % 5 <> 0) group by 1)
         select id, greatest(0, t.n - coalesce(o.n, 0)) as added, t.n as total, coalesce(f.n, 0) = 0 and coalesce(o.n, 0) > 0 as stale from t left join o using (id) left join f using (id)"""),
@@ -531,28 +599,28 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "segment_conflicts": (segment_conflicts, _CONFLICTS),
     "price_evidence": (price_evidence, f"{_EVIDENCE} select * from ev"),
     "share_classes": (share_classes, f"""{_EVIDENCE}, r as (select m.name as ticker, m.sector, observations, staleness, market_cap,
-          case when coalesce(observations, 0) = 0 then 'no usable price history' when staleness > 21 then 'no close in the last ' || staleness || ' trading days; treated as delisted' end as reason
+          case when coalesce(observations, 0) = 0 then 'no-history' when staleness > 21 then 'stale:' || staleness end as reason
           from members m left join ev using (id)),
         p as (select *, row_number() over w as place, first_value(ticker) over w as win from r window w as (partition by sector, reason is null order by staleness, observations desc, market_cap desc, ticker))
-        select ticker, case when reason is null and place > 1 then 'duplicate share class of ' || win || ' (' || sector || ' Holdings, Inc. (Class A))' else reason end as reason from p"""),
+        select ticker, case when reason is null and place > 1 then 'same-company:' || win else reason end as reason from p"""),
     "capped_members": (capped_members, "select segment, id from (select r_name as segment, s_suppkey as id, row_number() over (partition by r_name order by s_suppkey) as n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey) where n <= 3"),
     "holdings_enriched": (holdings_enriched, """select s_name as ticker, case when s_suppkey % 2 = 0 then 'Name of ' || s_name else s_name end as name, case when s_suppkey % 2 = 0 then n_name else 'Unknown' end as sector,
         case when s_suppkey % 2 = 0 then r_name else 'Unknown' end as industry from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""),
     "validation_issues": (validation_issues, f"""{_U}
-        select 'error' as level, id::varchar as subject, 'wrong benchmark' as issue from uni where id % 9 = 0
-        union all select 'error', id::varchar, 'non-positive last close' from uni where id % 13 = 0
-        union all select 'error', 'all', 'fewer than 900 securities' from uni having count(*) < 900
-        union all select 'error', 'all', 'less than 75% have a 12-1 value' from uni having avg((ret_12_1 is not null)::int) < 0.75
-        union all select 'warning', 'all', 'less than 60% have a beta' from uni having avg((beta is not null)::int) < 0.6
-        union all select 'warning', 'all', 'more than 10% are stale' from uni having avg((id % 4 = 0)::int) > 0.1
-        union all select 'error', x, 'segment has no securities' from (values ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('NOWHERE')) v(x) where x not in (select segment from uni)"""),
+        select 'error' as level, id::varchar as subject, 'benchmark-mismatch' as issue from uni where id % 9 = 0
+        union all select 'error', id::varchar, 'close-not-positive' from uni where id % 13 = 0
+        union all select 'error', 'all', 'rows-below:900' from uni having count(*) < 900
+        union all select 'error', 'all', 'coverage-below:ret_12_1:75%' from uni having avg((ret_12_1 is not null)::int) < 0.75
+        union all select 'warning', 'all', 'coverage-below:beta:60%' from uni having avg((beta is not null)::int) < 0.6
+        union all select 'warning', 'all', 'stale-above:10%' from uni having avg((id % 4 = 0)::int) > 0.1
+        union all select 'error', x, 'segment-empty' from (values ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('NOWHERE')) v(x) where x not in (select segment from uni)"""),
     "watchlist_order": (watchlist_order, "select place, s_suppkey as id, s_name as name from (values (0, 7), (1, 3), (2, 9), (3, 10000000), (4, 1)) w(place, k) join supplier on s_suppkey = k"),
     "tickers": (tickers, "select c_custkey, upper(replace(replace(c_name, '#', '.'), '.', '-')) as ticker from customer"),
     "company_keys": (company_keys, "select c_custkey, lower(c_mktsegment) as company from customer"),
     "canonical_sectors": (canonical_sectors, "select * from (values ('a', 'Information Technology'), ('b', 'Materials'), ('c', 'Energy'), ('d', 'Unknown'), ('e', 'Unknown'), ('f', 'Real Estate')) t(k, sector)"),
     "last_quotes": (last_quotes, "select o_custkey::varchar as symbol, arg_max(o_orderpriority, o_orderkey) as name, arg_max(o_totalprice, o_orderkey) as price from orders group by 1"),
-    "page_text": (page_text, None),
-    "formatted": (formatted, None),
+    "page_text": (page_text, f"select page_id, md5(regexp_replace(regexp_replace({_PLAIN}, '^[\\s\\x{{a0}}]+', ''), '[\\s\\x{{a0}}]+$', '')) as text_md5 from pages"),
+    "formatted": (formatted, f"{_U} select id, {_shown('ret_12_1 * 100', 1, '−', '+', '%')} as ret, {_shown('beta', 2, '-', '', '')} as beta, {_cap('market_cap')} as cap, {_cap('market_cap * 1e8')} as cap_of_bonds from uni"),
 }
 #: The portfolio's queries over every brand, and their SQL without the choice of brands.
 PORTFOLIO = ["sync_days", "correlation_pairs", "correlation_matrix", "avg_correlation", "covariance_pairs", "shrunk_covariance", "correlation_distance", "alloc_equal", "alloc_inverse_vol", "alloc_hrp", "alloc_capped"]

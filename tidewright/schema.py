@@ -27,10 +27,14 @@ MAX_HOLDINGS = 512
 
 #: Segment -> benchmark, largest index first.
 BENCHMARKS = {"500": "SPY", "400": "IJH", "600": "IJR"}
+BENCHMARK_TICKERS = tuple(BENCHMARKS.values())
+#: Days of history that a store keeps, in trading days: the longest lookback, the earlier anchor and some slack.
+HISTORY_DAYS = BETA_LOOKBACK + RANK_CHANGE_OFFSET + 30
 #: Larger wins a conflict.
 SEGMENT_RANK = {"500": 3, "400": 2, "600": 1}
 MINIMUM_MEMBERS = {"500": 450, "400": 350, "600": 500}
 
+#: The canonical sectors.
 GICS_SECTORS = (
     "Communication Services",
     "Consumer Discretionary",
@@ -44,7 +48,7 @@ GICS_SECTORS = (
     "Real Estate",
     "Utilities",
 )
-#: Other labels of providers, lower-cased; each canonical name also stands for itself.
+#: Other labels of providers, lower-cased; each canonical name also stands for itself.
 SECTOR_ALIASES = {
     "basic materials": "Materials",
     "consumer cyclical": "Consumer Discretionary",
@@ -57,6 +61,17 @@ SECTOR_ALIASES = {
 }
 
 
+def benchmark_for(segment: str) -> str:
+    """The benchmark of a segment; an unknown one is an error, never another segment's benchmark."""
+    if segment not in BENCHMARKS:
+        raise ValueError(f"no such segment: {segment}")
+    return BENCHMARKS[segment]
+
+
+def is_segment(value: str) -> bool:
+    return value in BENCHMARKS
+
+
 def slug(window: str) -> str:
     """A window id as part of a column name."""
     return window.lower().replace("-", "_")

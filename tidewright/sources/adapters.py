@@ -26,7 +26,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, date, paid, quantity): one row a supplier and week, in decimals."""
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
     return (
@@ -40,21 +40,24 @@ def _price(paid: F.Column, quantity: F.Column) -> F.Column:
     return paid.cast("double") / quantity.cast("double")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, date, close)."""
-    return _weekly(spark, sf_dir).select("id", "date", _price(F.col("paid"), F.col("quantity")).alias("close"))
+def observations(weeks: DataFrame) -> DataFrame:
+    """(id, date, close) from ``weekly``."""
+    return weeks.select("id", "date", _price(F.col("paid"), F.col("quantity")).alias("close"))
 
 
-def benchmark_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, date, close) with segments as ids."""
-    joined = _weekly(spark, sf_dir).join(members(spark, sf_dir).select("id", "segment"), "id")
+def benchmark_observations(weeks: DataFrame, members_: DataFrame) -> DataFrame:
+    """(id, date, close) with segments as ids, from ``weekly``."""
+    joined = weeks.join(members_.select("id", "segment"), "id")
     summed = joined.groupBy("segment", "date").agg(F.sum("paid").alias("paid"), F.sum("quantity").alias("quantity"))
     return summed.select(F.col("segment").alias("id"), "date", _price(F.col("paid"), F.col("quantity")).alias("close"))
 
 
-def brand_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, date, close) with brands as ids: denser series than suppliers have."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+def brand_observations(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
+    """(id, date, close) with brands as ids: denser series than suppliers have. brands: only these."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    if brands is not None:
+        parts = parts.where(F.col("p_brand").isin(*brands))
+    lines = read(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
     sums = lines.groupBy(F.col("p_brand").alias("id"), week.alias("date")).agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity")

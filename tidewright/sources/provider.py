@@ -1,16 +1,23 @@
-"""A paced client for a JSON provider: the transport is given, so it runs without a network too."""
+"""A paced client for a provider, and the fetch of many requests on Spark. The transport is given, so all of it runs without a network too."""
 
 from __future__ import annotations
 
 import json
 import os
 import time
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from threading import Lock
-from typing import Any, TypeVar
-
-A, B = TypeVar("A"), TypeVar("B")
+import urllib.error
+import urllib.parse
+import urllib.request
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+#: (path, parameters) -> (status, body); status 0 if there was no answer.
+Transport = Callable[[str, dict[str, str]], tuple[int, str]]
 MOST_TRIES, QUOTE_BATCH = 6, 200
 LEAST_MS, MOST_MS = 12, 400
 
@@ -30,35 +37,36 @@ def api_key(names: Sequence[str], environment: dict[str, str] | None = None) ->
 class Provider:
     """Requests at a shared pace: wider after a refusal, slowly narrower after a success."""
 
-    def __init__(self, transport: Callable[[str, dict[str, str]], tuple[int, str]], sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
+    def __init__(self, transport: Transport, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, spread: int = 1) -> None:
         self.transport, self.sleep, self.clock = transport, sleep, clock
-        self.interval, self.open_at, self.requests, self.refusals = float(LEAST_MS), 0.0, 0, 0
-        self.lock = Lock()
+        # One of ``spread`` clients takes its share of the pace.
+        self.least, self.most = float(LEAST_MS * spread), float(MOST_MS * spread)
+        self.interval, self.open_at, self.requests, self.refusals = self.least, 0.0, 0, 0
 
     def _wait(self) -> None:
-        with self.lock:
-            now = self.clock()
-            at = max(now, self.open_at)
-            self.open_at = at + self.interval / 1000
-            self.requests += 1
+        now = self.clock()
+        at = max(now, self.open_at)
+        self.open_at = at + self.interval / 1000
+        self.requests += 1
         if at > now:
             self.sleep(at - now)
 
     def _refused(self, attempt: int) -> None:
-        with self.lock:
-            self.refusals += 1
-            self.interval = min(MOST_MS, self.interval * 2)
-            self.open_at = max(self.open_at, self.clock() + 2.0 * attempt)
+        self.refusals += 1
+        self.interval = min(self.most, self.interval * 2)
+        self.open_at = max(self.open_at, self.clock() + 2.0 * attempt)
 
     def get(self, path: str, params: dict[str, str] | None = None) -> Any:
-        """The decoded answer. 429 closes the gate for all, 402 is final, anything else backs off."""
+        return json.loads(self.text(path, params))
+
+    def text(self, path: str, params: dict[str, str] | None = None) -> str:
+        """The answer. 429 closes the gate for all, 402 is final, anything else backs off."""
         for attempt in range(1, MOST_TRIES + 1):
             self._wait()
             status, body = self.transport(path, params or {})
             if status == 200:
-                with self.lock:
-                    self.interval = max(LEAST_MS, self.interval * 0.98)
-                return json.loads(body)
+                self.interval = max(self.least, self.interval * 0.98)
+                return body
             if status == 402 or attempt == MOST_TRIES:
                 raise ProviderError(status, path)
             if status == 429:
@@ -74,16 +82,57 @@ class Provider:
             return False
         return True
 
-    def quotes(self, symbols: Sequence[str], size: int = QUOTE_BATCH) -> dict[str, dict]:
-        """By symbol, in batches; the last answer wins."""
-        found: dict[str, dict] = {}
-        for i in range(0, len(symbols), size):
-            rows = self.get("batch-quote", {"symbols": ",".join(symbols[i : i + size])})
-            found |= {r["symbol"]: r for r in rows if isinstance(r, dict) and r.get("symbol")}
-        return found
 
+def http(base: str, key: str | None = None, timeout: float = 30.0) -> Transport:
+    """A transport over HTTP: GET of base/path with the parameters, and ``apikey`` if there is a key."""
+    root = base.rstrip("/")
 
-def pooled(items: Sequence[A], limit: int, worker: Callable[[A], B]) -> list[B]:
-    """Results in the order of the items, at most ``limit`` at work."""
-    with ThreadPoolExecutor(max_workers=max(1, limit)) as pool:
-        return list(pool.map(worker, items))
+    def call(path: str, params: dict[str, str]) -> tuple[int, str]:
+        query = urllib.parse.urlencode({**params, **({"apikey": key} if key else {})})
+        target = f"{root}/{path.lstrip('/')}" + (f"?{query}" if query else "")
+        try:
+            with urllib.request.urlopen(urllib.request.Request(target, headers={"User-Agent": "tidewright"}), timeout=timeout) as answer:
+                return answer.status, answer.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            return e.code, ""
+        except OSError:
+            return 0, ""
+
+    return call
+
+
+def fetched(requests: DataFrame, transport: Transport, concurrency: int = 8, raw: bool = False) -> DataFrame:
+    """``requests`` (path, params map<string,string>, ...) with ``body`` or ``error`` of each answer.
+
+    The requests are dealt over ``concurrency`` tasks; each paces itself so that all together keep the
+    provider's pace. A failed request is a row with an error, never a failed job. raw: the body need
+    not be JSON. A retried task asks again, so requests must be safe to repeat.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = Provider(transport, spread=concurrency)
+        for batch in batches:
+            bodies: list[str | None] = []
+            errors: list[str | None] = []
+            for path, params in zip(batch["path"].to_pylist(), batch["params"].to_pylist(), strict=True):
+                try:
+                    text = client.text(path, dict(params or []))
+                    if not raw:
+                        json.loads(text)
+                except (ProviderError, ValueError, OSError) as e:
+                    text, error = None, str(e)
+                else:
+                    error = None
+                bodies.append(text)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names, "body", "error"])
+
+    schema = StructType([*requests.schema.fields, StructField("body", StringType()), StructField("error", StringType())])
+    return requests.repartition(concurrency).mapInArrow(run, schema)
+
+
+def batched(symbols: DataFrame, size: int = QUOTE_BATCH) -> DataFrame:
+    """(path, params): quote requests for the column ``symbol``, at most ``size`` symbols each."""
+    few = symbols.select("symbol").distinct().groupBy(F.pmod(F.xxhash64("symbol"), F.lit(1024)).alias("part")).agg(F.sort_array(F.collect_list("symbol")).alias("own"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("own"), F.lit(size)), lambda i: F.slice("own", i, size))
+    return few.select(F.explode(cut).alias("own")).select(F.lit("batch-quote").alias("path"), F.create_map(F.lit("symbols"), F.array_join("own", ",")).alias("params"))

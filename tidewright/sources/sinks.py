@@ -1,12 +1,13 @@
-"""Sinks: versioned publication with one atomic switch, rounding, series files, caches."""
+"""Sinks: rounding, series from their first close on, and versioned publication with one atomic switch."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators import validation
+from tidewright.sources import stores
+
 DIGITS, SERIES_DIGITS = 6, 4
 
 
@@ -18,7 +19,9 @@ def rounded(c: Column, digits: int = DIGITS) -> Column:
 
 
 def rounded_frame(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*[rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    scale = f"{10**digits}.0D"
+    half_up = lambda c: F.expr(f"case when not isnan(`{c}`) and abs(`{c}`) < 1e15D then floor(`{c}` * {scale} + 0.5D) / {scale} else `{c}` end as `{c}`")
+    return df.select(*[half_up(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def without_leading_gaps(panel: DataFrame) -> DataFrame:
@@ -28,34 +31,18 @@ def without_leading_gaps(panel: DataFrame) -> DataFrame:
     return kept.withColumn("close", rounded(F.col("close"), SERIES_DIGITS))
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    """Replace ``target`` by ``source`` in one step where the file system can."""
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(a, b, overwrite)
-
+def publish(universe: DataFrame, series: DataFrame, manifest: DataFrame, root: str, issues: DataFrame | None = None) -> str:
+    """Write a new version and switch the pointer to it; readers see the old one or the new one.
 
-def publish(universe: DataFrame, series: DataFrame, manifest: DataFrame, root: str) -> str:
-    """Write a new version and switch the pointer to it; readers see the old one or the new one."""
+    issues: of ``validation.validate``; with an error among them nothing is written.
+    """
+    if issues is not None and validation.has_errors(issues):
+        worst = issues.where("level = 'error'").limit(5).collect()
+        raise ValueError("nothing published: " + ", ".join(f"{r['subject']} {r['issue']}" for r in worst))
     spark = universe.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version = stores.new_version()
     rounded_frame(universe).write.parquet(f"{root}/{version}/universe")
-    without_leading_gaps(series).repartition("id").sortWithinPartitions("id", "idx").write.parquet(f"{root}/{version}/series")
+    stores.write_parts(without_leading_gaps(series), f"{root}/{version}/series", ["id", "idx"])
     manifest.coalesce(1).write.json(f"{root}/{version}/manifest")
-    jvm = spark.sparkContext._jvm
-    draft = jvm.org.apache.hadoop.fs.Path(f"{root}/.CURRENT-{version}")
-    stream = draft.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(draft, True)
-    try:
-        stream.write(version.encode())
-    finally:
-        stream.close()
-    _rename(spark, f"{root}/.CURRENT-{version}", f"{root}/CURRENT")
+    stores.switch(spark, root, version)
     return version
-
-
-def write_cache(points: DataFrame, path: str) -> None:
-    """Overwrite only the partitions of the ids at hand."""
-    points.repartition("id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").parquet(path)
