@@ -124,7 +124,7 @@ def test_http_transport_and_index_pages(spark):
             ok = not self.path.startswith("/no")
             self.send_response(200 if ok else 404)
             self.end_headers()
-            self.wfile.write(b'<table id="constituents"><tr><td>AB</td><td>Ab Co</td><td>Energy</td></tr>' if ok else b"")
+            self.wfile.write(b'<table id="constituents"><tr><td>AB</td><td>Ab Co</td><td>Energy</td></tr></table>' if ok else b"")
 
         def log_message(self, *_):
             pass
