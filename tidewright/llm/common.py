@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright import scratch
+
 #: Only ASCII white space separates words: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = "\t\n\x0b\x0c\r"
-_OWN: dict[str, str] = {}
-#: Scratch paths in the order in which they were given out.
-_GIVEN: list[str] = []
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables: below spark.checkpoint.dir, which every executor sees.
+class _Given(threading.local):
+    """Scratch paths that this thread was given, in order: jobs in other threads have their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            made = tempfile.TemporaryDirectory(prefix="tidewright-")
-            atexit.register(made.cleanup)
-            _OWN[app] = f"file://{made.name}"
-        root = _OWN[app]
-    return f"{root}/tidewright-{spark.sparkContext.applicationId}"
+_GIVEN = _Given()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _GIVEN.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
-    return _GIVEN[-1]
+    _GIVEN.paths.append(scratch.new_path(spark, name))
+    return _GIVEN.paths[-1]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -57,15 +48,15 @@ def settled(df: DataFrame, name: str, since: int) -> DataFrame:
     """``kept``, and then without the scratch tables given out from ``since`` on, which only made ``df``."""
     spark = df.sparkSession
     out = kept(df, name)
-    for path in _GIVEN[since:-1]:
+    for path in _GIVEN.paths[since:-1]:
         drop_path(spark, path)
-    del _GIVEN[since:-1]
+    del _GIVEN.paths[since:-1]
     return out
 
 
 def given() -> int:
     """How many scratch paths are out: a mark for ``settled``."""
-    return len(_GIVEN)
+    return len(_GIVEN.paths)
 
 
 def text_of(col: str | Column = "text") -> Column:
