@@ -32,7 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG_WORD = 96
+from tidewright.llm.common import slim
+
+#: Bytes. The recursive query takes a round a merge and keeps every round's rows, so it grows with the square of a word.
+LONG_WORD = 1024
 BATCH_CHARS = 1_500_000
 WORDS_KEPT = 500_000
 MEMORY = "200MB"
@@ -44,10 +47,10 @@ with recursive s(w, p, t, round) as (
   (with pairs as (
      select a.w, a.p, m.t from s a join s b on a.w = b.w and b.p = a.p + 1 join merges m on m.l = a.t and m.r = b.t),
    best as (
-     select w, min(t::bigint * 1024 + p) as least from pairs group by w)
-   select s.w, case when s.p > least % 1024 then s.p - 1 else s.p end,
-     case when s.p = least % 1024 then (least // 1024)::int else s.t end, s.round + 1
-   from s join best on s.w = best.w where s.p <> least % 1024 + 1))
+     select w, min(t::bigint * 4096 + p) as least from pairs group by w)
+   select s.w, case when s.p > least % 4096 then s.p - 1 else s.p end,
+     case when s.p = least % 4096 then (least // 4096)::int else s.t end, s.round + 1
+   from s join best on s.w = best.w where s.p <> least % 4096 + 1))
 select w, p, t from s join (select w, max(round) as round from s group by w) using (w, round) order by w, p
 """
 DECODE = "select d, array_to_string(list(piece order by p), '') as piece from batch join vocab using (t) group by d"
@@ -255,7 +258,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(ranks_path, pattern) as c:
-            for batch in batches:
+            for batch in slim(batches):
                 texts = [t or "" for t in batch["text"].to_pylist()]
                 for part in slices(texts, BATCH_CHARS):
                     ids, ends, _ = c.encode(texts[part])
@@ -288,7 +291,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(ranks_path, pattern) as c:
-            for batch in batches:
+            for batch in slim(batches):
                 texts = [t or "" for t in batch["text"].to_pylist()]
                 for part in slices(texts, BATCH_CHARS):
                     ids, ends, joined = c.encode(texts[part])
