@@ -3,15 +3,17 @@
 A text is the mean of the embeddings of its character n-grams' hashes (bytes of the lower-cased
 text, runs of other characters than letters as one blank); a linear layer and a softmax follow. Both
 are trained by stochastic gradient descent in numpy on a bounded, stratified sample of labelled
-rows. As the model is linear in the mean, the layer is multiplied into the embeddings once: then
-each n-gram adds one row of class scores, and a whole text of any length is one sum.
+rows. As the model is linear in the mean, a whole text of any length is one sum. With few languages
+the layer is multiplied into the embeddings once, so that each n-gram adds its class scores; with
+many, the mean embedding is made first. Both give the same scores. Every label is a class.
 
 Calibration: a held-back part of the sample fits the softmax temperature and the score below which
 a prediction counts as rejected (``accepted`` is false; the language stays the likeliest one).
 
 Defined cases: null text, and text without a letter, gives ``und`` and score 0; a row without a
 language or key is never learned from; equal rows get equal answers; other columns are not read;
-an empty table gives an empty result; with no labelled row every answer is ``und``.
+of equal scores the first language by name wins; an empty table gives an empty result; with no
+labelled row every answer is ``und``.
 """
 
 from __future__ import annotations
@@ -24,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import slim
+from tidewright.scratch import local_table
+
 #: Bound of the training sample: about this many rows of each language, and at most twice it.
 ROWS_PER_LANGUAGE = 800
-MOST_LANGUAGES = 400
-#: With many languages each gets fewer, so that the driver holds about so many rows in all.
-ROWS_IN_ALL = 12_000
+#: With many languages each gets fewer, so that the driver holds about so many rows in all, but never fewer than LEAST_ROWS.
+ROWS_IN_ALL, LEAST_ROWS = 12_000, 3
+#: Longer texts are not learned from, which bounds the sample's bytes; they are predicted whole like all.
+TRAIN_CHARS = 20_000
 GRAMS = (2, 3)
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -74,7 +80,8 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    scores: np.ndarray  # BUCKETS x languages: what each n-gram adds
+    embeddings: np.ndarray  # BUCKETS x dimensions; with few languages BUCKETS x languages, the layer multiplied in
+    layer: np.ndarray | None  # dimensions x languages
     temperature: float
     threshold: float
 
@@ -102,18 +109,20 @@ class Model:
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         buckets, at = grams(texts)
-        # One text after another may be larger than memory likes as scores: sum each class apart.
-        sums = np.stack([np.add.reduceat(self.scores[buckets, k], at[:-1]) for k in range(len(self.languages))], 1)
-        return sums / np.diff(at)[:, None]
+        # One text after another may be larger than memory likes as vectors: sum each column apart.
+        sums = np.stack([np.add.reduceat(self.embeddings[buckets, k], at[:-1]) for k in range(self.embeddings.shape[1])], 1)
+        mean = sums / np.diff(at)[:, None]
+        return mean if self.layer is None else mean @ self.layer
 
 
 def train(texts: list[str], labels: list[str]) -> Model:
     """Fit on the rows given; one in five is held back for calibration."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), None, 1.0, 0.0)
     rng = np.random.default_rng(SEED)
-    y = np.array([languages.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels])
     bags = []
     for t in texts:
         buckets, _ = grams([t.lower().encode("utf-8", "replace")])
@@ -138,8 +147,7 @@ def train(texts: list[str], labels: list[str]) -> Model:
             out -= rate * np.outer(x, g)
             # The mean's gradient falls on each n-gram by its share; the factor makes up for averaging.
             emb[ids] -= (rate * 20 * w)[:, None] * back[None, :]
-    scores = (emb @ out).astype(np.float32)
-    z = np.stack([w @ scores[ids] for ids, w in (bags[i] for i in held)])
+    z = np.stack([(w @ emb[ids]) @ out for ids, w in (bags[i] for i in held)])
     truth = y[held]
 
     def loss(t: float) -> float:
@@ -153,7 +161,8 @@ def train(texts: list[str], labels: list[str]) -> Model:
     p /= p.sum(1, keepdims=True)
     right = np.sort(p.max(1)[p.argmax(1) == truth])
     threshold = float(right[int((1 - KEEP) * len(right))]) if len(right) else 0.0
-    return Model(languages, scores, temperature, threshold)
+    few = len(languages) <= DIMENSIONS
+    return Model(languages, (emb @ out).astype(np.float32) if few else emb, None if few else out, temperature, threshold)
 
 
 def fold(key: str, folds: int = 3) -> F.Column:
@@ -163,19 +172,17 @@ def fold(key: str, folds: int = 3) -> F.Column:
 def sample(docs: DataFrame, key: str, text: str, lang: str, rows: int) -> DataFrame:
     """(key, text, lang): a bounded sample of each language from the rows learned from.
 
-    Counts per language give each its share; a hash of the key decides which rows are read.
+    Counts per language give each its share; a hash of key and text decides which rows are read.
     """
-    fit = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 1))
-    sizes = docs.where(F.col(lang).isNotNull() & (fold(key) != 1)).groupBy(F.col(lang).alias("lang")).count()
-    most = sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()  # bounded: one row a language
-    if not most:
-        return fit.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).limit(0)
-    rows = max(20, min(rows, ROWS_IN_ALL // len(most)))
-    u = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = F.lit(False)
-    for r in most:
-        chosen = chosen | ((F.col(lang) == r["lang"]) & (u < min(1.0, rows / r["count"])))
-    return fit.where(chosen).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).limit(2 * rows * len(most))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 1) & (F.char_length(text) <= TRAIN_CHARS))
+    fit = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    sizes = fit.groupBy("lang").count().collect()  # one row a class
+    if not sizes:
+        return fit.limit(0)
+    rows = max(LEAST_ROWS, min(rows, ROWS_IN_ALL // len(sizes)))
+    shares = local_table(docs.sparkSession, {"lang": pa.array([r["lang"] for r in sizes]), "share": pa.array([min(1.0, rows / r["count"]) for r in sizes])})
+    u = F.pmod(F.xxhash64(F.lit("langid"), F.col("key"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return fit.join(shares, "lang").where(u < F.col("share")).select("key", "text", "lang").limit(2 * rows * len(sizes))
 
 
 def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
@@ -186,11 +193,11 @@ def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def identified(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, lang_pred, score, accepted) of every whole text."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x DIMENSIONS + DIMENSIONS x classes numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slim(batches):
             names, best = m.predict(batch["text"].to_pylist())
             ok = pa.array((best >= m.threshold) & np.array([n != UNKNOWN for n in names], bool))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(names, pa.string()), pa.array(best), ok], ["id", "lang_pred", "score", "accepted"])
