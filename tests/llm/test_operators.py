@@ -354,15 +354,17 @@ def test_repeated_bytes_go(spark, monkeypatch, hot):
     texts = shared_passages()
     df = spark.createDataFrame([(i if i % 9 else None, t, 1, "s") for i, t in enumerate(texts)], "doc_id long, text string, h1 long, spans string").repartition(3)
     want = sorted(((i if i % 9 else None, *x) for i, x in enumerate(_brute_repeats(texts, 400))), key=repr)
-    assert rows_of(suffix.digests(df)) == want
+    got = suffix.digests(df)
+    assert rows_of(got.drop("text")) == want
+    assert got.where("length(encode(text, 'utf-8')) > n_bytes - n_removed").count() == 0
     cut = suffix.cut(df, chars=None)
     assert cut.columns == df.columns and cut.count() == len(texts) and cut.where("text is null").count() == 1
 
 
 def test_suffix_dedup_corner_cases(spark, docs, none):
     want = sorted(((r[0], *x) for r, x in zip(corpus(), _brute_repeats([r[1] for r in corpus()], 400), strict=True)), key=repr)
-    assert rows_of(suffix.digests(docs)) == want
-    assert suffix.digests(none).count() == 0
+    assert rows_of(suffix.digests(docs).drop("text")) == want
+    assert suffix.digests(none).count() == 0 and suffix.cut(none).columns == none.columns and suffix.cut(none).count() == 0
     cut = suffix.cut(docs)
     assert cut.columns == docs.columns and cut.where("n_chars <> char_length(coalesce(text, ''))").count() == 0
 
@@ -376,6 +378,19 @@ def test_induced_suffix_arrays(limit, base):
         assert induced.suffix_array(t, limit=limit, base=base).tolist() == want
 
 
+def test_a_production_piece_spills_and_recurses():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    raw = " ".join(rng.choice(words) for _ in range(suffix.PIECE // 6)).encode()[: suffix.PIECE]
+    work = induced.Work()
+    sa = induced.suffix_array(np.frombuffer(raw, np.uint8).astype(np.uint16) + 1, work=work)
+    assert work.spills > 0 and work.recursions > 0
+    assert np.array_equal(np.sort(sa), np.arange(len(raw)))
+    some = sa[:: len(raw) // 3000]
+    keys = [raw[i : i + 300] for i in some.tolist()]
+    assert keys == sorted(keys)
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(3)
     shared = _text(rng, 800).encode()

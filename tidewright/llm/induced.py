@@ -15,19 +15,30 @@ from __future__ import annotations
 import heapq
 import os
 import tempfile
+from dataclasses import dataclass
 
 import numpy as np
 
-#: Items of the queue in memory, and names that are ranked in memory.
-LIMIT = 1 << 22
-BASE = 1 << 22
+#: Items of a queue in memory, and names that are ranked in memory: less than a piece of a shard has, so that
+#: production pieces spill and recurse.
+LIMIT = 1 << 16
+BASE = 1 << 17
+
+
+@dataclass
+class Work:
+    """What was done: runs written by the queues, and levels of recursion below the first."""
+
+    spills: int = 0
+    recursions: int = 0
 
 
 class DiskQueue:
     """A priority queue of (symbol, suffix): all items of the first symbol leave together, in the order pushed."""
 
-    def __init__(self, folder: str, limit: int, descending: bool = False) -> None:
+    def __init__(self, folder: str, limit: int, descending: bool = False, work: Work | None = None) -> None:
         self.folder, self.limit, self.sign = folder, limit, -1 if descending else 1
+        self.work = work or Work()
         self.near: dict[int, list[np.ndarray]] = {}
         self.held = 0
         self.heads: list[int] = []
@@ -50,6 +61,7 @@ class DiskQueue:
 
     def _spill(self) -> None:
         """Write what is in memory as one run, sorted by symbol, in the order pushed."""
+        self.work.spills += 1
         keys = sorted(self.near)
         parts = [np.concatenate(self.near[k]) if self.near[k] else np.zeros(0, np.int64) for k in keys]
         ends = np.cumsum([len(p) for p in parts]).tolist()
@@ -167,11 +179,12 @@ def doubled(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def suffix_array(t: np.ndarray, folder: str | None = None, limit: int = LIMIT, base: int = BASE) -> np.ndarray:
-    """Starts of all suffixes of ``t`` (small non-negative integers) in ascending order, as a file in ``folder``."""
+def suffix_array(t: np.ndarray, folder: str | None = None, limit: int = LIMIT, base: int = BASE, work: Work | None = None) -> np.ndarray:
+    """Starts of all suffixes of ``t`` (small non-negative integers) in ascending order, as a file in ``folder``. work: counts what was done."""
+    work = work or Work()
     if folder is None:
         with tempfile.TemporaryDirectory(prefix="induced-") as made:
-            return np.array(suffix_array(t, made, limit, base))
+            return np.array(suffix_array(t, made, limit, base, work))
     n = len(t)
     if n < 2:
         return np.arange(n)
@@ -184,7 +197,8 @@ def suffix_array(t: np.ndarray, folder: str | None = None, limit: int = LIMIT, b
         else:
             deeper = os.path.join(folder, "deeper")
             os.makedirs(deeper)
-            order = suffix_array(names, deeper, limit, base)
+            work.recursions += 1
+            order = suffix_array(names, deeper, limit, base, work)
         lms = lms[order]
     sa = np.lib.format.open_memmap(os.path.join(folder, "sa.npy"), "w+", np.int64, (n,))
     symbols, counts = np.unique(t, return_counts=True)
@@ -199,7 +213,7 @@ def suffix_array(t: np.ndarray, folder: str | None = None, limit: int = LIMIT, b
         return left[s[left] == wanted_s]
 
     # Ascending scan: L-type suffixes. The last suffix comes first of its symbol, before all longer ones.
-    queue = DiskQueue(folder, limit)
+    queue = DiskQueue(folder, limit, work=work)
     queue.push(t[n - 1 :].astype(np.int64), np.array([n - 1]))
     filled: dict[int, int] = {}
     for c in symbols.tolist():
@@ -215,7 +229,7 @@ def suffix_array(t: np.ndarray, folder: str | None = None, limit: int = LIMIT, b
             left = left_of(lms[slice(*seeds[c])], False)
             queue.push(t[left].astype(np.int64), left)
     # Descending scan: S-type suffixes, from all.
-    queue = DiskQueue(folder, limit, descending=True)
+    queue = DiskQueue(folder, limit, descending=True, work=work)
     for c in symbols[::-1].tolist():
         at = bounds[c][1]
         while queue.first() == c:

@@ -7,8 +7,11 @@
 3. Of grams with several regions, one copy of each region goes to the shard of its gram. There a
    suffix array, built by external induced sorting (``induced``), puts equal windows side by side;
    neighbours are compared byte by byte. A shard is worked through in pieces of whole grams.
-4. A gram with over HOT regions is not sent to one shard. Its windows are dealt by their own hashes
-   instead, and only those from blocks that share their common core with a different block.
+4. A gram with over HOT regions would make one task take them all. Its regions are cut into parts of
+   fewer starts at fixed distances from the anchor (STEPS, coarse to fine); equal windows lie in
+   parts whose core, the bytes that all windows of the part hold, is equal. So the core stands for
+   the gram from then on: parts are collapsed, sorted in shards, or, under a core that is still
+   hot, cut again. A part of one start is its own core, so equal ones collapse and none stays hot.
 5. Found starts become byte spans of every text that has the region; copies of a whole text are
    removed whole. Each text is cut once.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +38,13 @@ from tidewright.llm import anchors, induced
 from tidewright.llm.common import free_prefix, kept, partitions, slim, text_of
 
 WINDOW = anchors.WINDOW
-#: A gram with more distinct regions than this, about what fills a piece, is split by window.
+#: A gram or core with more distinct regions or parts than this, about what fills a piece, is cut finer.
 HOT = 1500
-#: Starts of one block of a hot region, coarse to fine.
-STEPS = (32, 4, 1)
+#: Starts of one part of a hot region, coarse to fine.
+STEPS = (100, 25, 6, 1)
 #: Bytes of regions whose suffixes are sorted together.
 PIECE = 1 << 20
+#: What tells a region (of a gram) or a part (of a core) from others.
 RID = ["gram", "r1", "r2"]
 
 
@@ -119,88 +124,95 @@ def spans_of(marks: np.ndarray) -> list[tuple[int, int]]:
 
 
 FOUND = "gram long, r1 long, r2 long, low int, high int"
+#: A region or part: its key (gram or core) and hash, the region that it belongs to, the place of its
+#: first start and the number of starts there, whether its windows are known to be repeated, its bytes.
+PART = "key1 long, key2 long, h1 long, h2 long, gram long, r1 long, r2 long, rel int, low int, n int, dup boolean, raw binary"
+PART_COLUMNS = [c.split()[0] for c in PART.split(", ")]
+_PART_KINDS = [pa.int64()] * 7 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
 
 
-def _found_batch(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*RID, "low", "high"])
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def sorted_shards(regions: DataFrame, window: int) -> DataFrame:
-    """Repeated starts of the regions of each gram, by suffix arrays: (gram, r1, r2, low, high)."""
+def sorted_shards(parts: DataFrame, window: int) -> DataFrame:
+    """Repeated starts of the parts of each key, by suffix arrays: (gram, r1, r2, low, high)."""
 
-    def work(rows: dict[tuple[int, int, int], tuple[bytes, int, bool]]) -> pa.RecordBatch:
-        regions, starts = [x[0] for x in rows.values()], [x[1] for x in rows.values()]
+    def work(rows: list[dict]) -> pa.RecordBatch:
         with tempfile.TemporaryDirectory(prefix="induced-") as folder:
-            marks = repeated_starts(regions, starts, folder, window)
+            marks = repeated_starts([x["raw"] for x in rows], [x["n"] for x in rows], folder, window)
         out, at = [], 0
-        for rid, (raw, n, dup) in rows.items():
-            if not dup:
-                out += [(*rid, low, high) for low, high in spans_of(marks[at : at + n])]
-            at += len(raw) + 1
-        return _found_batch(out)
+        for x in rows:
+            if not x["dup"]:
+                out += [(*(x[c] for c in RID), x["low"] + low, x["low"] + high) for low, high in spans_of(marks[at : at + x["n"]])]
+            at += len(x["raw"]) + 1
+        return _batch(out, [*RID, "low", "high"], [pa.int64()] * 3 + [pa.int32()] * 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], tuple[bytes, int, bool]] = {}
+        held: list[dict] = []
         size, last = 0, None
         for batch in slim(batches):
-            for gram, r1, r2, n, dup, raw in zip(*(batch[c].to_pylist() for c in (*RID, "n", "dup", "raw")), strict=True):
-                if gram != last and size > PIECE:
+            for x in batch.to_pylist():
+                key = (x["key1"], x["key2"])
+                if key != last and size > PIECE:
                     yield work(held)
-                    held, size = {}, 0
-                last = gram
-                if (gram, r1, r2) not in held:
-                    held[gram, r1, r2] = (raw, n, dup)
-                    size += len(raw)
+                    held, size = [], 0
+                last = key
+                held.append(x)
+                size += len(x["raw"])
         if held:
             yield work(held)
 
-    dealt = regions.repartition(partitions(regions.sparkSession), "gram").sortWithinPartitions("gram")
-    return dealt.select(*RID, "n", "dup", "raw").mapInArrow(run, FOUND)
+    dealt = parts.repartition(partitions(parts.sparkSession), "key1", "key2").sortWithinPartitions("key1", "key2")
+    return dealt.select("key1", "key2", *RID, "low", "n", "dup", "raw").mapInArrow(run, FOUND)
 
 
-def split_windows(regions: DataFrame, window: int) -> DataFrame:
-    """Repeated starts of regions of hot grams, by hashes dealt over all tasks: (gram, r1, r2, low, high).
+def cut_finer(parts: DataFrame, step: int, window: int) -> DataFrame:
+    """The parts of ``step`` starts of each part, keyed by what all their windows hold."""
 
-    A block is some starts at a fixed distance from the anchor; its core is what all its windows
-    hold. A core that comes once has no repeated window; if all blocks of a core are equal, all
-    their windows are repeated; only blocks between are cut finer, down to single windows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slim(batches):
+            out = []
+            for x in batch.to_pylist():
+                raw, first, stop = x["raw"], x["low"], x["low"] + x["n"]
+                # Parts begin at multiples of the step from the anchor, so equal windows lie in parts of one number.
+                for j in range((first - x["rel"]) // step, (stop - 1 - x["rel"]) // step + 1):
+                    base = j * step + x["rel"]
+                    low, high = max(first, base), min(stop, base + step)
+                    core = _pair(raw[base + step - 1 - first : base + window - first], x["key1"] ^ j)
+                    own = raw[low - first : high - 1 + window - first]
+                    out.append((*core, *_pair(own, (low - base) * window + high - base), *(x[c] for c in RID), x["rel"], low, high - low, x["dup"], own))
+            yield _batch(out, PART_COLUMNS, _PART_KINDS)
+
+    return parts.select(*PART_COLUMNS).mapInArrow(run, PART)
+
+
+def repeated(parts: DataFrame, window: int) -> DataFrame:
+    """(gram, r1, r2, low, high): repeated starts of all parts that are not known to be repeated as a whole.
+
+    parts: of keys that have several.
     """
-    regions = regions.dropDuplicates(RID)
-
-    def blocks(step: int):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slim(batches):
-                out = []
-                for gram, r1, r2, rel, raw, spans in zip(*(batch[c].to_pylist() for c in (*RID, "rel", "raw", "spans")), strict=True):
-                    for s in spans:
-                        for j in range((s["low"] - rel) // step, (s["high"] - rel) // step + 1):
-                            base = j * step + rel
-                            low, high = max(s["low"], base), min(s["high"], base + step - 1)
-                            core = _pair(raw[base + step - 1 : base + window], gram ^ j)
-                            whole = _pair(raw[low : high + window], (low - base) * step + high - base)
-                            out.append((gram, r1, r2, low, high, *core, whole[0]))
-                cols = list(zip(*out, strict=True)) or [[]] * 8
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*RID, "low", "high", "c1", "c2", "whole"])
-
-        return run
-
-    every = F.array(F.struct(F.lit(0).alias("low"), (F.col("n") - 1).alias("high")))
-    todo = regions.select(*RID, "rel", "raw", every.alias("spans"))
+    key = ["key1", "key2"]
     found = []
-    for step in STEPS:
-        own = kept(todo.mapInArrow(blocks(step), FOUND + ", c1 long, c2 long, whole long"), "blocks")
-        cores = own.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times"), (F.min("whole") == F.max("whole")).alias("equal")).where("times > 1")
-        met = own.join(cores, ["c1", "c2"])
-        found.append(met.where("equal").select(*RID, "low", "high"))
-        mixed = met.where(~F.col("equal")).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-        todo = regions.join(mixed, RID).select(*RID, "rel", "raw", "spans")
-    # Regions that come twice are repeated as a whole; here they only serve as partners of others.
-    asked = regions.where("not dup").select(*RID)
-    starts = found[0].unionByName(found[1]).unionByName(found[2]).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("starts"))
-    return starts.join(asked, RID, "left_semi").select(*RID, F.explode("starts").alias("x")).select(*RID, "x.low", "x.high")
+    for level, step in enumerate((*STEPS, 1)):
+        sizes = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("parts"))
+        # At most one hot key for every HOT parts; as a written table its size decides how it is joined.
+        hot = kept(sizes.where(F.col("parts") > HOT).select(*key), "hot")
+        any_hot = not hot.isEmpty()
+        cool = parts.join(hot, key, "left_anti") if any_hot else parts
+        if level:
+            cool = cool.join(sizes.where(F.col("parts").between(2, HOT)).select(*key), key, "left_semi")
+        found.append(sorted_shards(cool, window))
+        if not any_hot:
+            break
+        finer = kept(cut_finer(parts.join(hot, key, "left_semi"), min(step, window), window), "parts")
+        first = [F.first(c).alias(c) for c in PART_COLUMNS[4:] if c != "dup"]
+        # Equal parts under one core: one stands for them, and all of them are repeated.
+        parts = kept(finer.groupBy(*PART_COLUMNS[:4]).agg(*first, ((F.count(F.lit(1)) > 1) | F.max("dup")).alias("dup")), "parts")
+        same = parts.where("dup").select(*PART_COLUMNS[:4])
+        found.append(finer.where("not dup").join(same, PART_COLUMNS[:4], "left_semi").select(*RID, "low", (F.col("low") + F.col("n") - 1).alias("high")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -215,8 +227,8 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     dup = (F.count(F.lit(1)) > 1) | (F.max(F.size("places")) > 1)
     regions = kept(met.groupBy(*RID).agg(dup.alias("dup"), F.first(F.col("places")[0]).alias("s0"), *first), "regions")
     many = regions.groupBy("gram").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1")
-    open_regions = regions.join(many, "gram").withColumn("hot", F.col("regions") > HOT)
-    wanted = open_regions.groupBy("h1", "h2").agg(F.collect_list(F.struct(*RID, "s0", "n", "rel", "dup", "hot")).alias("list"))
+    open_regions = regions.join(many, "gram", "left_semi")
+    wanted = open_regions.groupBy("h1", "h2").agg(F.collect_list(F.struct(*RID, "s0", "n", "rel", "dup")).alias("list"))
     # One copy of each text gives the bytes.
     wanted = wanted.join(copies, ["h1", "h2"]).select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("id").alias("wid"), "list")
     at = (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("wid"))
@@ -227,13 +239,14 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = []
             for t, items in zip(batch["text"], batch["list"].to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes()
-                rows += [{**x, "raw": raw[x["s0"] : x["s0"] + x["n"] - 1 + window]} for x in items]
-            kinds = {**dict.fromkeys(RID, pa.int64()), "n": pa.int32(), "rel": pa.int32(), "dup": pa.bool_(), "hot": pa.bool_(), "raw": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], k) for c, k in kinds.items()], list(kinds))
-
-    schema = "gram long, r1 long, r2 long, n int, rel int, dup boolean, hot boolean, raw binary"
-    cut = kept(sourced.mapInArrow(fetch, schema), "bytes")
-    found = kept(sorted_shards(cut.where("not hot"), window).unionByName(split_windows(cut.where("hot"), window)), "found")
+                for x in items:
+                    own = tuple(x[c] for c in RID)
+                    rows.append((x["gram"], 0, *own[1:], *own, x["rel"], 0, x["n"], x["dup"], raw[x["s0"] : x["s0"] + x["n"] - 1 + window]))
+            yield _batch(rows, PART_COLUMNS, _PART_KINDS)
+
+    # Equal rows with one id each give the bytes of their text; all of it is repeated then anyway.
+    cut_out = kept(sourced.mapInArrow(fetch, PART), "bytes")
+    found = kept(repeated(cut_out, window), "found")
     whole = regions.where("dup").select(*RID, F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))
     # One row a region with its starts, fewer than a window has bytes; so one row a place after the join.
     starts = found.unionByName(whole).groupBy(*RID).agg(F.collect_list(F.struct("low", "high")).alias("starts"))
@@ -275,23 +288,27 @@ def _with_spans(texts: DataFrame, window: int) -> DataFrame:
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, text) of every row: the bytes of the input, what goes, and the text that stays.
+
+    ``text`` leaves out a character of which a part is removed; the hash is over all bytes that stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slim(batches):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t, found in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
                 raw = t.as_buffer().to_pybytes()
                 gone = removed(len(raw), found, window)
-                row = (len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_kept_bytes(raw, gone)).hexdigest())
+                stays = _kept_bytes(raw, gone)
+                row = (len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(stays).hexdigest(), stays.decode("utf-8", "ignore"))
                 for o, x in zip(out, row, strict=True):
                     o.append(x)
-            cols = [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     rows = _with_spans(hashed(docs, key, text), window).select("id", "text", "spans")
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     return out.withColumnRenamed("id", key)
 
 
