@@ -204,15 +204,16 @@ def test_one_of_each_group_among_loose_neighbours(spark):
     base = [rng.choice(words) for _ in range(600)]
     texts = [_edited(rng, base, 0.005 + 0.06 * i / 120, words) for i in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sketches = [(1, True), (simhash.GROUP_SHINGLE, True)]
+    words_in = simhash.WORD_PRINTS
+    sketches = [*((1, True, k) for k in range(words_in)), (simhash.GROUP_SHINGLE, True, 0)]
     rows = simhash.fingerprints(docs, "doc_id", "text", sketches, simhash.WIDE).orderBy("id").collect()
     prints = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
     bits = np.bitwise_count(prints[:, None] ^ prints[None, :]).astype(int)
-    loose = (bits[..., 0] <= simhash.WORD_APART) & (bits[..., 1] <= simhash.most_apart(simhash.GROUP_SIMILARITY, 64, 3.0))
-    close = loose & (bits[..., 2:].sum(-1) <= simhash.most_apart(simhash.GROUP_SIMILARITY, 64 * simhash.WIDE))
+    loose = (bits[..., :words_in] <= simhash.WORD_APART).all(-1) & (bits[..., words_in] <= simhash.most_apart(simhash.GROUP_SIMILARITY, 64, 3.0))
+    close = loose & (bits[..., words_in + 1 :].sum(-1) <= simhash.most_apart(simhash.GROUP_SIMILARITY, 64 * simhash.WIDE))
     masks = np.array(simhash.masks(simhash.WORD_RADIUS), np.uint64)
-    met = ((prints[:, None, None, 0] ^ prints[None, :, None, 0]) & masks == 0).any(-1)
-    assert (loose & met).sum() > 2 * (close & met).sum()
+    met = np.any([((prints[:, None, None, k] ^ prints[None, :, None, k]) & masks == 0).any(-1) for k in range(words_in)], 0)
+    assert (loose & met).sum() > 1.5 * (close & met).sum()
     forest = simhash.Forest(len(texts))
     for a, b in np.argwhere(close & met).tolist():
         forest.join(a, b)
@@ -221,6 +222,40 @@ def test_one_of_each_group_among_loose_neighbours(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == want
 
 
+def test_buckets_stream_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 40, 1000))
+    cuts = np.sort(rng.integers(0, 1000, 60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["key"]) for x in np.split(keys, cuts)]
+    got = [t["key"].to_numpy() for t in simhash.whole_buckets(iter(batches), 90)]
+    assert np.array_equal(np.concatenate(got), keys) and len(got) > 4
+    assert all(not set(a) & set(b) for a, b in zip(got, got[1:], strict=False))
+
+
+def test_one_of_each_group_finds_pairs_at_the_similarity(spark):
+    """Of pairs whose shingle sets have a similarity of 0.8 or a little more, nearly all lose a member; of pairs at 0.6 hardly any."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    alike, apart, rows = [], [], []
+    while len(alike) < 150 or len(apart) < 80:
+        base = [rng.choice(words) for _ in range(rng.randint(80, 500))]
+        other = _edited(rng, base, rng.choice([0.021, 0.05]), words)
+        a, b = sets(" ".join(base)), sets(other)
+        near = len(a & b) / len(a | b)
+        to = alike if 0.8 <= near < 0.86 else apart if 0.5 < near < 0.65 else None
+        if to is None:
+            continue
+        to.append(len(rows))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, other)]
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(i + 1 not in kept for i in alike) >= 0.95 * len(alike)
+    assert sum(i + 1 in kept for i in apart) >= 0.95 * len(apart)
+    assert all(i in kept for i in alike + apart)
+
+
 def test_one_of_each_group_counts_a_repeated_line_once(spark):
     """Texts that share only a line that comes often stay; copies that repeat a line otherwise don't."""
     rng = random.Random(4)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import free_prefix, kept, partitions
+from tidewright.llm.common import free_prefix, kept, partitions, slim
 from tidewright.llm.components import components
 
 BITS = 64
@@ -37,13 +37,16 @@ BLOCK = 2048
 STRIPE = 256
 #: Shingles hashed at a time.
 SHINGLES_AT_ONCE = 1 << 16
-#: The pipeline's stage: tables over the fingerprints of distinct words, links over five-word shingles.
+#: The pipeline's stage: tables over fingerprints of distinct words, links over five-word shingles.
 GROUP_SHINGLE, GROUP_SIMILARITY = 5, 0.8
-WORD_RADIUS, WORD_APART = 6, 12
+#: Independent word fingerprints with tables: a pair is lost only if it is too far apart in each.
+WORD_PRINTS, WORD_RADIUS, WORD_APART = 2, 6, 12
 #: Bits of the wide fingerprint by which a link is decided, in longs of 64.
-WIDE = 8
+WIDE = 16
 #: Standard deviations of the wide estimate that a pair may fall short of the similarity.
-MARGIN = 1.3
+MARGIN = 2.0
+#: Rows of whole buckets that a task compares at a time; a bucket with more is taken alone.
+ROWS_AT_ONCE = 1 << 18
 
 
 def shingle_hashes(words: list[bytes], shingle: int, once: bool = False) -> np.ndarray:
@@ -97,24 +100,26 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << i for i, m in enumerate(own) if (m & v).bit_count() % 2) for v in range(1, count + 1)]
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, sketches: list[tuple[int, bool]], wide: int = 0) -> DataFrame:
-    """(id, fp0, fp1, ..., w0, w1, ...): a signed 64-bit fingerprint for each (shingle, once).
+def fingerprints(docs: DataFrame, key: str, text: str, sketches: list[tuple[int, bool, int]], wide: int = 0) -> DataFrame:
+    """(id, fp0, fp1, ..., w0, w1, ...): a signed 64-bit fingerprint for each (shingle, once, number).
 
-    wide: as many more over the shingles of the last sketch, with independent hashes.
+    Sketches of another number are independent; number 0 is XXH64 itself. wide: as many more over the
+    shingles of the last sketch, with independent hashes.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     names = [f"fp{i}" for i in range(len(sketches))] + [f"w{k}" for k in range(wide)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slim(batches):
             found: list[list[int]] = [[] for _ in names]
             for t in batch["text"]:
                 # bytes.lower() changes A-Z only, and bytes.split() cuts at ASCII white space only.
                 words = (t.as_py() or "").encode().lower().split()
-                hashes = np.zeros(0, np.uint64)
-                for out, (k, once) in zip(found, sketches, strict=False):
-                    hashes = shingle_hashes(words, k, once)
-                    out.append(majority(hashes))
+                hashes, made = np.zeros(0, np.uint64), None
+                for out, (k, once, number) in zip(found, sketches, strict=False):
+                    if made != (k, once):
+                        hashes, made = shingle_hashes(words, k, once), (k, once)
+                    out.append(majority(rehashed(hashes, -number) if number else hashes))
                 for k, out in enumerate(found[len(sketches) :]):
                     out.append(majority(rehashed(hashes, k)))
             cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in found]
@@ -236,9 +241,36 @@ def bucket_mates(keys: np.ndarray, fps: np.ndarray, limits: list[int]) -> np.nda
     return order[found]
 
 
-def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_apart: int = 0) -> DataFrame:
+def whole_buckets(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.Table]:
+    """Tables of all rows of some keys, of about ``rows`` rows, from batches sorted by ``key``."""
+    rows = ROWS_AT_ONCE if rows is None else rows
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch["key"].to_numpy(zero_copy_only=False)
+        if size >= rows:
+            # What goes on with the last key is still of its bucket.
+            last = held[-1]["key"][held[-1].num_rows - 1].as_py()
+            same = int(np.argmax(np.append(keys != last, True)))
+            held.append(batch.slice(0, same))
+            batch, keys = batch.slice(same), keys[same:]
+            if batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_apart: int = 0, prints: int = 1) -> DataFrame:
     """(a0.., b0..) links among the distinct fingerprints fp0.. of ``nodes`` that join all linked ones.
 
+    prints: the first so many fingerprints have tables. Buckets stream through a task in order of their key.
+
     wide: linked ones also differ in ``wide_apart`` bits of the fingerprints w0.. at most. The forests
     are made of links that all tests have decided. As eight longs more in every table would be most of
     the exchange, they join only those rows that have a partner by the other fingerprints.
@@ -252,49 +284,54 @@ def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_
         for batch in batches:
             fps = [batch[n].to_numpy(zero_copy_only=False) for n in names]
             for i in range(0, len(fps[0]), 4096):
-                own = fps[0][i : i + 4096].view(np.uint64)
-                # Masked bits and the mask's number, mixed: the few that clash are told apart by their bits.
-                keys = ((own[:, None] & all_masks) + np.arange(1, len(all_masks) + 1, dtype=np.uint64) * spread) * np.uint64(0xD6E8FEB86659FD93)
-                keys ^= keys >> np.uint64(32)
-                cols = [pa.array(np.repeat(f[i : i + 4096], len(all_masks))) for f in fps]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *cols], ["key", *names])
-
-    def read(batches: Iterator[pa.RecordBatch], columns: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        got = list(batches)
-        if not sum(b.num_rows for b in got):
-            return None
-        table = pa.Table.from_batches(got)
+                for t in range(prints):
+                    own = fps[t][i : i + 4096].view(np.uint64)
+                    # Masked bits and the table's number, mixed: the few that clash are told apart by their bits.
+                    table = np.arange(1, len(all_masks) + 1, dtype=np.uint64) + np.uint64(t * len(all_masks))
+                    keys = ((own[:, None] & all_masks) + table * spread) * np.uint64(0xD6E8FEB86659FD93)
+                    keys ^= keys >> np.uint64(32)
+                    cols = [pa.array(np.repeat(f[i : i + 4096], len(all_masks))) for f in fps]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *cols], ["key", *names])
+
+    def read(table: pa.Table, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return table["key"].to_numpy(), np.stack([table[n].to_numpy().view(np.uint64) for n in columns], axis=1)
 
     def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (got := read(batches, names)) is not None:
-            keys, fps = got
+        for table in whole_buckets(batches):
+            keys, fps = read(table, names)
             rows = bucket_mates(keys, fps, limits)
             yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), *[pa.array(fps[rows, k].view(np.int64)) for k in range(len(names))]], ["key", *names])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (got := read(batches, names + more)) is not None:
-            a, b = bucket_edges(*got, limits, wide_apart)
-            cols = [pa.array(got[1][side, k].view(np.int64)) for side in (a, b) for k in range(len(names))]
+        for table in whole_buckets(batches):
+            keys, fps = read(table, names + more)
+            a, b = bucket_edges(keys, fps, limits, wide_apart)
+            cols = [pa.array(fps[side, k].view(np.int64)) for side in (a, b) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, [f"{s}{k}" for s in "ab" for k in range(len(names))])
 
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key").sortWithinPartitions("key")
+
     kinds = ", ".join(f"{n} long" for n in names)
     out = ", ".join(f"{s}{k} long" for s in "ab" for k in range(len(names)))
-    dealt = nodes.select(*names).mapInArrow(deal, f"key long, {kinds}").repartition(parts, "key")
+    dealt = by_bucket(nodes.select(*names).mapInArrow(deal, f"key long, {kinds}"))
     if wide:
         near = kept(dealt.mapInArrow(mates, f"key long, {kinds}"), "mates")
-        dealt = near.join(nodes.select(*names, *more), names).select("key", *names, *more).repartition(parts, "key")
+        dealt = by_bucket(near.join(nodes.select(*names, *more), names).select("key", *names, *more))
     return dealt.mapInArrow(meet, out).distinct()
 
 
-def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, wide: int = 0, wide_apart: int = 0) -> DataFrame:
+def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, wide: int = 0, wide_apart: int = 0, tables: int = 1) -> DataFrame:
     """(fp0.., first, component): distinct fingerprints with the least member of each, and their component.
 
     wide: links must also differ in ``wide_apart`` bits of the wide fingerprints at most.
     """
     names, more = [f"fp{i}" for i in range(len(limits))], [f"w{k}" for k in range(wide)]
-    nodes = kept(prints.groupBy(*names).agg(F.min(members).alias("first"), *[F.first(w).alias(w) for w in more]), "nodes")
-    links = edges(nodes, limits, radius, wide, wide_apart)
+    # Texts of equal fingerprints are one node; of several wide fingerprints the least stands for them.
+    widest = [F.min(F.struct(*more)).alias("w")] if wide else []
+    nodes = prints.groupBy(*names).agg(F.min(members).alias("first"), *widest).select(*names, "first", *(["w.*"] if wide else []))
+    nodes = kept(nodes, "nodes")
+    links = edges(nodes, limits, radius, wide, wide_apart, tables)
     pack = lambda s: F.struct(*[F.col(f"{s}{k}").alias(n) for k, n in enumerate(names)])
     groups = components(links.select(pack("a").alias("a"), pack("b").alias("b")), "a", "b")
     named = groups.select(*[F.col(f"node.{n}").alias(n) for n in names], "component")
@@ -305,7 +342,7 @@ def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, w
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(key, fingerprint, component_id): every row with the least key that its links reach."""
-    prints = kept(fingerprints(docs, key, text, [(shingle, False)]), "prints")
+    prints = kept(fingerprints(docs, key, text, [(shingle, False, 0)]), "prints")
     classes = _nodes(prints, [radius], radius, F.col("id"))
     firsts = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = classes.join(firsts, "component").select("fp0", "component_id")
@@ -321,32 +358,37 @@ def one_of_each_group(
     similarity: float = GROUP_SIMILARITY,
     word_radius: int = WORD_RADIUS,
     word_apart: int = WORD_APART,
+    word_prints: int = WORD_PRINTS,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of the least (key, text hash).
 
     Two texts are linked if the wide fingerprints of their distinct shingles (64 * WIDE bits) are as
-    close as those of sets with that Jaccard similarity; how often a shingle comes doesn't count. The covering tables stand over the fingerprints of
-    distinct words, which move less under an edit: they are sure to hold every pair within
-    ``word_radius`` bits, and most of those a few bits beyond.
+    close as those of sets with that Jaccard similarity; how often a shingle comes doesn't count. The
+    covering tables stand over ``word_prints`` independent fingerprints of the distinct words, which move
+    less under an edit: they are sure to hold every pair within ``word_radius`` bits in one of them, and
+    most of those a few bits beyond.
     """
     p = free_prefix(docs)
     keyed = docs.withColumn(f"{p}hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     ids = keyed.select(F.struct(F.col(key).alias("key"), F.col(f"{p}hash").alias("hash")).alias("id"), F.col(text).alias("text"))
-    prints = kept(fingerprints(ids, "id", "text", [(1, True), (shingle, True)], WIDE), "prints")
-    limits = [word_apart, most_apart(similarity, BITS, 3.0)]
-    classes = _nodes(prints, limits, word_radius, F.col("id"), WIDE, most_apart(similarity, BITS * WIDE))
+    sketches = [*((1, True, k) for k in range(word_prints)), (shingle, True, 0)]
+    names = [f"fp{k}" for k in range(len(sketches))]
+    prints = kept(fingerprints(ids, "id", "text", sketches, WIDE), "prints")
+    limits = [*[word_apart] * word_prints, most_apart(similarity, BITS, 3.0)]
+    classes = _nodes(prints, limits, word_radius, F.col("id"), WIDE, most_apart(similarity, BITS * WIDE), word_prints)
     firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
-    named = classes.join(firsts, "component").select("fp0", "fp1", "keep")
+    named = classes.join(firsts, "component").select(*names, "keep")
     # One row for each (key, text hash): does it stay, and how often does it come?
-    rows = prints.join(named, ["fp0", "fp1"]).groupBy("id").agg(F.first("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
+    rows = prints.join(named, names).groupBy("id").agg(F.first("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
     marks = kept(rows.where((F.col("id") != F.col("keep")) | (F.col("n") > 1)).select("id.key", "id.hash", (F.col("id") == F.col("keep")).alias("stays")), "marks")
     lost = marks.where(~F.col("stays")).select(F.col("key").alias(f"{p}k"), F.col("hash").alias(f"{p}h"))
     often = marks.where("stays").select(F.col("key").alias(f"{p}k"), F.col("hash").alias(f"{p}h"))
     same = F.col(key).eqNullSafe(F.col(f"{p}k")) & (F.col(f"{p}hash") == F.col(f"{p}h"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Joined by key at any size: as many rows may go as there are documents.
     if often.isEmpty():
-        return keyed.join(lost, same, "left_anti").select(*columns)
+        return keyed.join(lost.hint("shuffle_hash"), same, "left_anti").select(*columns)
     # Rows that come more than once and stay: one of them.
-    single = keyed.join(lost.unionByName(often), same, "left_anti").select(*columns)
-    repeated = keyed.join(often, same, "left_semi").dropDuplicates([key, f"{p}hash"]).select(*columns)
+    single = keyed.join(lost.unionByName(often).hint("shuffle_hash"), same, "left_anti").select(*columns)
+    repeated = keyed.join(often.hint("shuffle_hash"), same, "left_semi").dropDuplicates([key, f"{p}hash"]).select(*columns)
     return single.unionByName(repeated)
