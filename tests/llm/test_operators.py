@@ -293,6 +293,58 @@ def test_shards_keep_every_row_and_versions(spark, docs, none, tmp_path):
     assert empty.read(shard_col="s", tier_col="t").count() == 0
     placed = store.read(shard_col="s", tier_col="t")
     assert placed.where("s is null or s = '/'").count() == 0
+    # Old versions stay readable, also by who planned before, until they are expired.
+    assert rows_of(store.read(old)) == rows_of(store.read())
+    assert store.expire(keep=1, grace=3600) == []
+    gone = store.expire(keep=1, grace=-1)
+    assert gone and rows_of(store.read().where("n_chars = 0").drop("n_chars")) == rows_of(docs.drop("n_chars"))
+
+
+def test_a_reader_goes_on_across_a_compaction(spark, docs, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/store", docs.schema, target_bytes=1 << 20, fan_in=2)
+    for _ in range(4):
+        store.append(docs)
+    planned = store.read(tier_col="tier").drop("tier")
+    store.compact()
+    assert planned.count() == 4 * len(corpus()) == store.read().count()
+
+
+def test_two_writers_and_a_dead_one(spark, docs, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/store"
+    store = shards.ShardStore(spark, root, docs.schema, target_bytes=1 << 20, fan_in=2)
+    store.append(docs)
+    store.append(docs)
+    # A writer that died before its commit leaves files that nobody names.
+    docs.withColumn("tw_arrival", F.lit(0)).write.partitionBy("tw_arrival").parquet(f"{root}/data/dead")
+    assert store.read().count() == 2 * len(corpus())
+    store.compact()
+    assert store.read().count() == 2 * len(corpus()) and "dead" in store.expire(grace=-1)
+    # Of two that commit one version, one fails, and only the other's rows are there.
+    at, runs = store.version(), store.runs()
+
+    def write(k):
+        own = shards.ShardStore(spark, root, docs.schema)
+        by = own._written(docs.limit(5 + k).withColumn("k", F.lit(k)), "k")
+        try:
+            return own.commit(runs + [own._run(n, 0) for n in by], at)
+        except shards.Conflict:
+            return None
+
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(write, (1, 2)))
+    assert sorted(x is None for x in done) == [False, True]
+    assert store.read().count() == 2 * len(corpus()) + (6 if done[0] else 7)
+
+
+def test_shards_of_rows_with_clashing_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x", "mine", i, i) for i in range(40)], "doc_id long, source string, shard string, tier int, tw_group int")
+    store = shards.compacted(rows, f"file://{tmp_path}/store", fan_in=2)
+    assert rows_of(store.read()) == rows_of(rows)
+    got = store.read(shard_col="shard", tier_col="tier", columns=["doc_id", "source"])
+    assert got.columns == ["doc_id", "source", "shard", "tier"] and got.where("shard = 'mine'").count() == 0
+    assert got.agg(F.max("tier")).first()[0] >= 1
 
 
 def test_url_rules(spark):

@@ -17,7 +17,7 @@ def test_every_operator_and_the_pipeline_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op5_url_filters", "op7_mixing"])
+@pytest.mark.parametrize("name", ["op5_url_filters", "op7_mixing", "sharded_rows"])
 def test_sql_gives_the_same_rows(spark, name):
     import duckdb
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, fingerprint, langid, mixing, quality, shards, simhash, suffix, token_count, urls
 from tidewright.llm.common import new_path, table
@@ -28,7 +29,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shards.compacted(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
-    return store.read(shard_col="shard", tier_col="tier").select("doc_id", "source", "n_chars", "shard", "tier")
+    return store.read(shard_col="shard", tier_col="tier", columns=["doc_id", "source", "n_chars"])
+
+
+def sharded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows as they come back from the store, without where they lie, which is named anew each time."""
+    store = shards.compacted(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return store.read(columns=["doc_id", "text", "lang", "source"]).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +75,10 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "sharded_rows": sharded_rows,
+}
+ORACLE_SQL = {
+    "op5_url_filters": urls.SQL,
+    "op7_mixing": mixing.SQL,
+    "sharded_rows": "select doc_id, md5(text) as text_md5, lang, source from documents",
 }
-ORACLE_SQL = {"op5_url_filters": urls.SQL, "op7_mixing": mixing.SQL}
