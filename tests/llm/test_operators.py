@@ -406,6 +406,8 @@ def test_mixing(spark, docs, none):
     share = sum(r["source"] == "s0" for r in rows) / len(rows)
     assert 0.6 < share < 0.9
     assert mixing.mixed(none).count() == 0 and mixing.mixed(docs).columns == docs.columns
+    clash = mixing.mixed(docs.withColumn("Copy", F.lit("own")), copy_col="copy", order_col="words")
+    assert clash.columns == [c for c in docs.columns if c != "words"] + ["copy", "words"] and clash.where("copy < 1").count() == 0
     nulls = mixing.rates(docs).where("source is null").count()
     assert nulls == 1
 

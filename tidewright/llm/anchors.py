@@ -3,6 +3,9 @@
 Of the 32-byte grams inside each window the one of least hash is the window's
 anchor. Equal windows have the same anchor at the same place, whatever surrounds them, so windows
 can only be equal if their anchors' grams are. Neighbouring starts with one anchor form a run.
+
+Defined cases: a text shorter than the window has no runs; of equal hashes within a window the first
+place wins; a long text is handled in blocks, at whose borders a run may be cut in two.
 """
 
 from __future__ import annotations

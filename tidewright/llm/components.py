@@ -2,6 +2,10 @@
 
 Each round joins every node to the least node around it; rounds stop when the edges do. Edges stay
 in tables in the shared scratch folder; the driver sees one count and one checksum a round.
+
+Defined cases: edges that repeat, in either direction, count once; an edge from a node to itself
+makes no node; nodes may be any type that orders (structs too), not null; without edges there are no
+rows. A long chain takes about as many rounds as the logarithm of its length.
 """
 
 from __future__ import annotations

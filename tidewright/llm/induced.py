@@ -8,6 +8,10 @@ array are files too, so a shard may be far larger than memory. Items of one firs
 queue together, which makes each step an array operation.
 
 A reduced text of up to ``base`` names is ranked in memory by doubling.
+
+Defined cases: a text of no or one symbol is its own order; symbols may repeat in any way (periodic
+texts too) and need not be dense; equal suffixes can't occur, as one ends before the other: the
+shorter comes first.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The draw needs no state: any executor repeats it exactly.
 Defined cases: a null source is a source of its own; rows with the same doc_id (null too) share
 one draw and are each repeated by it; text is not read, only carried; sources without a weight
 are dropped, weights without rows are ignored; an empty table gives an empty result. Columns of
-the input are all carried; added columns take names that are free (see ``copy_col``).
+the input are all carried, but for one that has the name of an added column: the added one takes its
+place.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ def mixed(
     # A hash of the shuffle key deals copies over all partitions; within each they are sorted by it.
     dealt = copies.repartition(partitions(docs.sparkSession), F.col(f"{p}order")).sortWithinPartitions(f"{p}order")
     more = [F.col(f"{p}{c}").alias(name) for c, name in (("copy", copy_col), ("order", order_col)) if name]
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], *more)
+    added = {name.lower() for name in (copy_col, order_col) if name}
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added], *more)
 
 
 #: The production query for DuckDB: counts per part, then copies. ALPHA is a square root there.
