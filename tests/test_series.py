@@ -123,6 +123,29 @@ def test_forward_index(spark):
     assert got == {0: 0, 1: 1, 4: 2}
 
 
+def test_a_segment_without_benchmark_is_an_error(spark):
+    p = panel(spark, {"a": [1, 2, 3]}, "999")
+    b = measures.benchmark_panel(panel(spark, {"500": [1, 2, 3]}).select("id", "idx", "close"))
+    rows = measures.panel_with_benchmarks(p.select("id", "idx", "close"), p.select("id", "segment").distinct(), b)
+    with pytest.raises(Exception, match="no benchmark for segment 999"):
+        rows.collect()
+
+
+def test_a_query_reads_lineitem_once_or_twice(spark):
+    import os
+
+    from tidewright.plans import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the small data set is not here")
+    scans = lambda df: sum("lineitem" in f for f in df.inputFiles())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate#")
+    flagship = queries.rank_12_1(spark, data)
+    assert scans(flagship) == 0 and plan(flagship) == 0  # only the written weekly table
+    assert scans(queries.universe(spark, data, events=True)) == 1
+
+
 def test_annualise(spark):
     got = spark.range(1).select(measures.annualise(F.lit(0.1), F.lit(252)).alias("a"), measures.annualise(F.lit(-1.0), F.lit(5)).alias("b"), measures.annualise(F.lit(0.1), F.lit(0)).alias("c")).first()
     assert got["a"] == pytest.approx(0.1) and got["b"] is None and got["c"] is None

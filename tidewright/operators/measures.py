@@ -92,11 +92,18 @@ def _enough(values: str, lookback: int) -> str:
     return f"count({values}) >= {math.ceil(COVERAGE * lookback)}"
 
 
+def return_between(start: str, stop: str, end: str = "end") -> Column:
+    """Ratio of the closes as of two calendar indices less one; null unless both are there and apart.
+
+    Both look back a few days, never forward. start, stop: SQL expressions of one value an id.
+    """
+    points = f"{_at(stop, f'`{end}`.idx')} > {_at(start, f'`{end}`.idx')}"
+    return F.expr(f"case when min({start}) >= 0 and min({stop}) > min({start}) and {points} then {_at(stop, f'`{end}`.close')} / {_at(start, f'`{end}`.close')} - 1 end")
+
+
 def window_return(formation: int, skip: int, end: str = "end") -> Column:
-    """Ratio of the closes at both ends less one; both ends look back a few days, never forward."""
-    last, first = f"anchor - {skip}", f"anchor - {skip + formation}"
-    known = f"first(anchor) - {skip + formation} >= 0 and {_at(last, f'`{end}`.idx')} > {_at(first, f'`{end}`.idx')}"
-    return F.expr(f"case when {known} then {_at(last, f'`{end}`.close')} / {_at(first, f'`{end}`.close')} - 1 end")
+    """Return over a formation that ends ``skip`` days before the anchor."""
+    return return_between(f"anchor - {skip + formation}", f"anchor - {skip}", end)
 
 
 def volatility(ret: str, lookback: int, skip: int = 0) -> Column:

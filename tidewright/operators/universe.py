@@ -26,6 +26,9 @@ PRIOR = [*RETURNS, *RESIDUALS, *VOLATILITIES, "return_per_vol"]
 
 EVENT = [("date", "date"), ("eps_actual", "double"), ("eps_estimated", "double"), ("mark", "int"), ("mark_idx", "int"), ("mark_close", "double")]
 
+#: Rows of benchmarks that the driver holds: segments times trading days.
+MOST_BENCHMARK_DAYS = 1_000_000
+
 
 @dataclass
 class Aligned:
@@ -51,11 +54,17 @@ class Aligned:
 def align(obs: DataFrame, bench: DataFrame, members: DataFrame) -> Aligned:
     """Clean observations (id, date, close) of securities and benchmarks on the benchmarks' days.
 
-    The driver holds the trading days, as many as a calendar has. bench: ids are segments; as it is read
-    several times, and the optimiser broadcasts its days by their known size, it should be a written table.
+    bench: ids are segments. Its rows, one a segment and trading day, go to the driver once and come back
+    as literal rows: so the calendar is known, no plan computes them again, and the optimiser broadcasts
+    them by their known size. More than MOST_BENCHMARK_DAYS are an error.
     """
-    dates = series.trading_days(bench)
-    cal = series.calendar_table(obs.sparkSession, dates)
+    spark = obs.sparkSession
+    held = bench.limit(MOST_BENCHMARK_DAYS + 1).toArrow()
+    if held.num_rows > MOST_BENCHMARK_DAYS:
+        raise ValueError(f"more than {MOST_BENCHMARK_DAYS} days of benchmarks")
+    bench = spark.createDataFrame(held)
+    dates = sorted(set(held["date"].to_pylist()))
+    cal = series.calendar_table(spark, dates)
     panel = series.densify(obs, cal, len(dates))
     own = measures.benchmark_panel(series.densify(bench, cal, len(dates)))
     return Aligned(obs, bench, members, dates, cal, panel, measures.panel_with_benchmarks(panel, members, own))

@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def model(spark: SparkSession, sf_dir: str, thin: bool = False) -> Aligned:
     """The panel over one written weekly table: lineitem is aggregated once. thin: with gaps, late starts and early ends."""
     weeks, members = kept(adapters.weekly(spark, sf_dir), "weekly"), adapters.members(spark, sf_dir)
-    bench = kept(series.clean(adapters.benchmark_observations(weeks, members), unique=True), "benchmarks")
+    bench = series.clean(adapters.benchmark_observations(weeks, members), unique=True)
     obs = series.clean(adapters.observations(weeks.where(THINNED) if thin else weeks), unique=True)
     return align(obs, bench, members)
 
@@ -388,6 +388,12 @@ def series_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(measures.measured(m.days, m.anchors[:1]), m).select("id", "first_date", "last_date", "days")
 
 
+def returns_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a week that depends on the id to the 300th; none where the first comes later."""
+    days = model(spark, sf_dir, thin=True).days.withColumn("start", (F.col("id") * 7 % 330).cast("int"))
+    return days.groupBy("id").agg(rounded(measures.return_between("start", "300")).alias("ret"))
+
+
 def no_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excluded(model(spark, sf_dir, thin=True))
 
@@ -532,6 +538,9 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "thinned_evidence": (partial(price_evidence, thin=True), sql.thinned(f"{_EVIDENCE} select * from ev", THINNED_SQL)),
     "thinned_islands": (partial(gap_islands, thin=True), sql.thinned(_ISLANDS, THINNED_SQL)),
     "series_dates": (series_dates, sql.thinned(f"{_P} select id, min(date) as first_date, max(date) as last_date, count(*) as days from panel where close is not null group by id", THINNED_SQL)),
+    "returns_between": (returns_between, sql.thinned(f"""{_P}, b as (select id, id * 7 % 330 as start, idx, eidx, eclose from days),
+        e as (select id, any_value(start) as start, max(case when idx = start then eidx end) as i, max(case when idx = start then eclose end) as x, max(case when idx = 300 then eidx end) as j, max(case when idx = 300 then eclose end) as y from b group by id)
+        select id, {r6('case when start < 300 and j > i then y / x - 1 end')} as ret from e""", THINNED_SQL)),
     "no_history": (no_history, sql.thinned(f"{_P} select id, 'no-history' as reason from members where id not in (select id from obs)", THINNED_SQL)),
     "viewport": (viewport, f"{_U}, r as (select id, rank() over (order by ret_12_1 desc) as rank, ret_12_1 as value from uni where ret_12_1 is not null) select id, rank, value from r order by rank, id limit 28 offset 12"),
     "calendar_orphans": (calendar_orphans, f"{_P} select id, count(*) as orphans from obs where date not in (select date from cal where idx % 2 = 0) group by 1"),
