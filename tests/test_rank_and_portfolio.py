@@ -148,3 +148,35 @@ def test_portfolio_over_all_brands(spark):
     near = lambda rows: {r[:3]: r[3] for r in rows}
     assert len(got) == n * (n - 1) // 2 and near(got) == pytest.approx(near(want.fetchall()), abs=2e-6)
     assert QUERIES["alloc_capped_all_brands"](spark, data).where("weight is not null").select("id").distinct().count() == n
+
+
+def test_metrics_describe_themselves():
+    assert len({m.id for m in registry.ALL}) == len({m.label for m in registry.ALL}) == 23
+    assert all(m.label and m.short and m.definition for m in registry.ALL)
+    spec = registry.parse_rank_id("res-12-1-v")
+    assert spec.residual and spec.per_vol and spec.skip and "21 trading days back" in spec.definition
+
+
+def test_words_about_a_screen():
+    from tidewright.functions import formats
+
+    assert formats.spread(-0.1234) == "12.3%" and formats.spread(None) == "—"
+    assert formats.scope("S", "Energy", " oil ", False, 1, "all") == "the S, Energy, matching “oil” — 1 name"
+    assert formats.scope(None, None, "", True, 3, "all") == "the watchlist — 3 names" and formats.scope(None, None, "", False, 0, "all") == "all — 0 names"
+
+
+def test_a_viewport_shows_rows_on_both_sides(spark):
+    rows = spark.createDataFrame([(f"s{i:02}", i + 1) for i in range(40)], "id string, rank int")
+    assert [r["rank"] for r in ranking.viewport(rows, 20, 5).collect()] == list(range(13, 34))
+    assert [r["rank"] for r in ranking.viewport(rows, 0, 5).collect()] == list(range(1, 14))
+    assert ranking.viewport(rows, 90, 5).count() == 0
+
+
+def test_an_average_correlation_needs_common_days(spark):
+    few = [(k, i, 0.01 * ((i * 7 + n * 3) % 5)) for n, k in enumerate("ab") for i in range(19)]
+    kind = "id string, idx int, ret double"
+    assert groups.average_correlation(spark.createDataFrame(few, kind)).first()[0] is None
+    more = few + [(k, 19, 0.01 * n) for n, k in enumerate("ab")]
+    assert groups.average_correlation(spark.createDataFrame(more, kind)).first()[0] is not None
+    with pytest.raises(ValueError, match="more than 3"):
+        groups.synchronised(spark.createDataFrame([(str(i), 0, 0.1) for i in range(4)], kind), most=3)
