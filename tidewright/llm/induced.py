@@ -16,7 +16,6 @@ shorter comes first.
 
 from __future__ import annotations
 
-import heapq
 import os
 import tempfile
 from dataclasses import dataclass
@@ -25,8 +24,10 @@ import numpy as np
 
 #: Items of a queue in memory, and names that are ranked in memory: less than a piece of a shard has, so that
 #: production pieces spill and recurse.
-LIMIT = 1 << 16
-BASE = 1 << 17
+LIMIT = 1 << 17
+BASE = 1 << 18
+#: Up to so many suffixes of a symbol are handled one by one, more as arrays.
+FEW = 48
 
 
 @dataclass
@@ -38,15 +39,18 @@ class Work:
 
 
 class DiskQueue:
-    """A priority queue of (symbol, suffix): all items of the first symbol leave together, in the order pushed."""
+    """A priority queue of (symbol, suffix): all items of a symbol leave together, in the order pushed.
 
-    def __init__(self, folder: str, limit: int, descending: bool = False, work: Work | None = None) -> None:
-        self.folder, self.limit, self.sign = folder, limit, -1 if descending else 1
+    The scans ask for symbols in order and push only symbols that are still to come, so the first item
+    is always one of the symbol asked for.
+    """
+
+    def __init__(self, folder: str, limit: int, name: str, work: Work | None = None) -> None:
+        self.folder, self.limit, self.name = folder, limit, name
         self.work = work or Work()
-        self.near: dict[int, list[np.ndarray]] = {}
+        self.near: dict[int, list[np.ndarray | list[int]]] = {}
         self.held = 0
-        self.heads: list[int] = []
-        self.files: list[tuple[np.ndarray, dict[int, tuple[int, int]], str]] = []
+        self.files: list[tuple[np.ndarray, dict[int, tuple[int, int]]]] = []
 
     def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
         if not len(symbols):
@@ -55,47 +59,51 @@ class DiskQueue:
         ordered = symbols[order]
         cuts = np.flatnonzero(np.diff(ordered)) + 1
         for symbol, part in zip(ordered[np.concatenate([[0], cuts])].tolist(), np.split(suffixes[order], cuts), strict=True):
-            if symbol not in self.near:
-                self.near[symbol] = []
-                heapq.heappush(self.heads, self.sign * symbol)
-            self.near[symbol].append(part)
+            self.near.setdefault(symbol, []).append(part)
         self.held += len(symbols)
         if self.held > self.limit:
             self._spill()
 
+    def add(self, symbol: int, suffix: int) -> None:
+        """Push one item."""
+        parts = self.near.get(symbol)
+        if parts is None:
+            self.near[symbol] = [[suffix]]
+        elif type(parts[-1]) is list:
+            parts[-1].append(suffix)
+        else:
+            parts.append([suffix])
+        self.held += 1
+        if self.held > self.limit:
+            self._spill()
+
     def _spill(self) -> None:
         """Write what is in memory as one run, sorted by symbol, in the order pushed."""
         self.work.spills += 1
         keys = sorted(self.near)
-        parts = [np.concatenate(self.near[k]) if self.near[k] else np.zeros(0, np.int64) for k in keys]
+        parts = [np.concatenate([np.asarray(p, np.int64) for p in self.near[k]]) for k in keys]
         ends = np.cumsum([len(p) for p in parts]).tolist()
-        path = os.path.join(self.folder, f"run-{self.sign}-{len(self.files)}.npy")
+        path = os.path.join(self.folder, f"run-{self.name}-{len(self.files)}.npy")
         np.save(path, np.concatenate(parts))
         where = {k: (e - len(p), e) for k, p, e in zip(keys, parts, ends, strict=True)}
-        self.files.append((np.load(path, mmap_mode="r"), where, path))
-        self.near = {k: [] for k in keys}
+        self.files.append((np.load(path, mmap_mode="r"), where))
+        self.near = {}
         self.held = 0
 
-    def pop(self, symbol: int) -> np.ndarray:
-        """All items of this symbol, oldest first."""
+    def pop(self, symbol: int) -> np.ndarray | None:
+        """All items of this symbol, oldest first, or None."""
         parts = []
-        for data, where, _ in self.files:
+        for data, where in self.files:
             if (at := where.pop(symbol, None)) is not None:
                 parts.append(np.array(data[at[0] : at[1]]))
-        near = self.near.pop(symbol, [])
-        self.held -= sum(map(len, near))
-        parts += near
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-    def first(self) -> int | None:
-        """The first symbol that has items."""
-        while self.heads:
-            symbol = self.sign * self.heads[0]
-            if self.near.get(symbol) or any(symbol in w for _, w, _ in self.files):
-                return symbol
-            heapq.heappop(self.heads)
-            self.near.pop(symbol, None)
-        return None
+        near = self.near.pop(symbol, None)
+        if near is not None:
+            own = [np.array(p, np.int64) if type(p) is list else p for p in near]
+            self.held -= sum(map(len, own))
+            parts += own
+        if not parts:
+            return None
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def types(t: np.ndarray) -> np.ndarray:
@@ -204,45 +212,47 @@ def suffix_array(t: np.ndarray, folder: str | None = None, limit: int = LIMIT, b
             work.recursions += 1
             order = suffix_array(names, deeper, limit, base, work)
         lms = lms[order]
-    sa = np.lib.format.open_memmap(os.path.join(folder, "sa.npy"), "w+", np.int64, (n,))
+    file = np.lib.format.open_memmap(os.path.join(folder, "sa.npy"), "w+", np.int64, (n,))
+    sa = np.asarray(file)
     symbols, counts = np.unique(t, return_counts=True)
     bounds = dict(zip(symbols.tolist(), zip((np.cumsum(counts) - counts).tolist(), np.cumsum(counts).tolist(), strict=True), strict=True))
     # The sorted S-type seeds of each symbol.
     heads = t[lms]
     lows, highs = np.searchsorted(heads, symbols, "left"), np.searchsorted(heads, symbols, "right")
     seeds = {c: (a, b) for c, a, b in zip(symbols.tolist(), lows.tolist(), highs.tolist(), strict=True) if b > a}
+    kinds, letters = s.tobytes(), memoryview(np.ascontiguousarray(t))
 
-    def left_of(suffixes: np.ndarray, wanted_s: bool) -> np.ndarray:
+    def push_left(queue: DiskQueue, suffixes: np.ndarray, wanted: bool) -> None:
+        """Push the left neighbours of that type."""
+        if len(suffixes) <= FEW:
+            for x in suffixes.tolist():
+                if x and kinds[x - 1] == wanted:
+                    queue.add(letters[x - 1], x - 1)
+            return
         left = suffixes[suffixes > 0] - 1
-        return left[s[left] == wanted_s]
+        left = left[s[left] == wanted]
+        queue.push(t[left].astype(np.int64), left)
 
     # Ascending scan: L-type suffixes. The last suffix comes first of its symbol, before all longer ones.
-    queue = DiskQueue(folder, limit, work=work)
-    queue.push(t[n - 1 :].astype(np.int64), np.array([n - 1]))
+    queue = DiskQueue(folder, limit, "up", work)
+    queue.add(int(t[n - 1]), n - 1)
     filled: dict[int, int] = {}
     for c in symbols.tolist():
         at = bounds[c][0]
-        while queue.first() == c:
-            found = queue.pop(c)
+        while (found := queue.pop(c)) is not None:
             sa[at : at + len(found)] = found
             at += len(found)
-            left = left_of(found, False)
-            queue.push(t[left].astype(np.int64), left)
+            push_left(queue, found, False)
         filled[c] = at
         if c in seeds:
-            left = left_of(lms[slice(*seeds[c])], False)
-            queue.push(t[left].astype(np.int64), left)
+            push_left(queue, lms[slice(*seeds[c])], False)
     # Descending scan: S-type suffixes, from all.
-    queue = DiskQueue(folder, limit, descending=True, work=work)
+    queue = DiskQueue(folder, limit, "down", work)
     for c in symbols[::-1].tolist():
         at = bounds[c][1]
-        while queue.first() == c:
-            found = queue.pop(c)
+        while (found := queue.pop(c)) is not None:
             sa[at - len(found) : at] = found[::-1]
             at -= len(found)
-            left = left_of(found, True)
-            queue.push(t[left].astype(np.int64), left)
-        found = np.array(sa[bounds[c][0] : filled[c]])[::-1]
-        left = left_of(found, True)
-        queue.push(t[left].astype(np.int64), left)
-    return sa
+            push_left(queue, found, True)
+        push_left(queue, np.array(sa[bounds[c][0] : filled[c]])[::-1], True)
+    return file

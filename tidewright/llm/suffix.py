@@ -43,7 +43,7 @@ HOT = 1500
 #: Starts of one part of a hot region, coarse to fine.
 STEPS = (100, 25, 6, 1)
 #: Bytes of regions whose suffixes are sorted together.
-PIECE = 1 << 20
+PIECE = 1 << 21
 #: What tells a region (of a gram) or a part (of a core) from others.
 RID = ["gram", "r1", "r2"]
 
