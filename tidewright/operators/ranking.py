@@ -9,30 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.registry import Metric, metric
+from tidewright.operators.ordered import finite, ranked_by
 from tidewright.schema import GICS_SECTORS
+from tidewright.scratch import kept
 
 #: Rows beside the visible ones.
 OVERSCAN = 8
 
 
-def finite(c: Column) -> Column:
-    """The value, or null where it is NaN or infinite."""
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-
-
-def competition_rank(value: Column, descending: bool = True, by: Sequence[str] = ()) -> Column:
-    """1, 2, 2, 4 over the rows with a value; null elsewhere. by: ranks are within these columns.
-
-    Rows without a value share a partition of their own, so they take no rank.
-    """
+def rank_within(value: Column, by: Sequence[str], descending: bool = True) -> Column:
+    """1, 2, 2, 4 over the rows with a value within the groups of ``by``; null elsewhere."""
     v = finite(value)
     order = v.desc() if descending else v.asc()
     return F.when(v.isNotNull(), F.rank().over(Window.partitionBy(*by, v.isNull()).orderBy(order)))
 
 
-def ranked(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
-    """The measured rows with ``rank``."""
-    return df.withColumn("rank", competition_rank(F.col(value), descending)).where(F.col("rank").isNotNull())
+def ranked(df: DataFrame, value: str, descending: bool = True, key: str = "id") -> DataFrame:
+    """The measured rows with ``rank``, their place in the whole table; equal values share one."""
+    rows = kept(df.where(finite(F.col(value)).isNotNull()), "measured")
+    return ranked_by(rows, [("rank", F.col(value), descending)], key)
 
 
 def unranked(df: DataFrame, value: str) -> DataFrame:
@@ -78,16 +73,19 @@ def screen(universe: DataFrame, view: Screen, watchlist: Sequence | DataFrame =
     """
     active: Metric = metric(view.metric_id)
     basis = metric(active.based_on or active.id)
-    df = screen_pool(universe, view, watchlist)
-    df = df.select(
-        "*",
-        competition_rank(basis.value, basis.descending).alias("basis_now"),
-        competition_rank(basis.prior, basis.descending).alias("basis_then"),
-    )
-    df = df.withColumn("change", F.col("basis_then") - F.col("basis_now"))
-    value = F.col("change").cast("double") if active.kind == "rank-change" else active.value
-    df = df.withColumn("value", finite(value))
-    df = df.withColumn("rank", F.coalesce(competition_rank(F.col("value"), active.descending != view.invert), F.lit(0)))
+    df = kept(screen_pool(universe, view, watchlist), "pool")
+    before = [("basis_now", basis.value, basis.descending), ("basis_then", basis.prior, basis.descending)]
+    down = active.descending != view.invert
+    if active.kind == "rank-change":
+        df = ranked_by(df, before)
+        df = kept(df.withColumn("change", F.col("basis_then") - F.col("basis_now")).withColumn("value", F.col("change").cast("double")), "changes")
+        df = ranked_by(df, [("rank", F.col("value"), down)])
+    else:
+        own = [] if active is basis and down == basis.descending else [("rank", active.value, down)]
+        df = ranked_by(df, [*before, *own])
+        df = df.withColumn("change", F.col("basis_then") - F.col("basis_now")).withColumn("value", finite(active.value))
+        df = df if own else df.withColumn("rank", F.col("basis_now"))
+    df = df.withColumn("rank", F.coalesce("rank", F.lit(0)))
     return df.drop("basis_now", "basis_then")
 
 
@@ -96,7 +94,7 @@ def _slots(universe: DataFrame, a: str, b: str) -> DataFrame:
     both = universe.where(finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull())
     return both.select(
         "*",
-        ((competition_rank(F.col(a), by=by) + competition_rank(F.col(b), by=by)) / 2).alias("average_rank"),
+        ((rank_within(F.col(a), by) + rank_within(F.col(b), by)) / 2).alias("average_rank"),
         F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("of"),
     )
 
