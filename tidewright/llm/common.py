@@ -90,3 +90,11 @@ def slim(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Rec
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of a text's UTF-8 bytes: eight shifts a byte."""
+    digit = "instr('0123456789ABCDEF', substr(hex(encode({t})), {at}, 1)) - 1"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: 16 * ({digit.format(t=text, at='2 * i::int + 1')}) + {digit.format(t=text, at='2 * i::int + 2')})"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}::bigint[]), lambda c, b: {step}), 4294967295)"
