@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, fingerprint, langid, mixing, quality, resample, shards, simhash, suffix, token_count, urls
+from tidewright.llm import bpe, fingerprint, langid, mixing, quality, resample, secrets, shards, simhash, suffix, token_count, urls
 from tidewright.llm.common import new_path, table
 
 
@@ -64,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.fitted(docs))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,12 +83,14 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_secret_scans": op11_secret_scans,
     "op13_importance_resampling": op13_importance_resampling,
     "sharded_rows": sharded_rows,
 }
 ORACLE_SQL = {
     "op5_url_filters": urls.SQL,
     "op7_mixing": mixing.SQL,
+    "op11_secret_scans": secrets.SQL,
     "op13_importance_resampling": resample.SQL,
     "sharded_rows": "select doc_id, md5(text) as text_md5, lang, source from documents",
 }
