@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, fingerprint, langid, mixing, quality, resample, secrets, shards, simhash, suffix, token_count, urls
+from tidewright.llm import bpe, conversations, fingerprint, langid, mixing, quality, resample, secrets, shards, simhash, suffix, token_count, urls
 from tidewright.llm.common import new_path, table
 
 
@@ -68,6 +68,11 @@ def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repaired_digests(conversations.damaged(rows), rows)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
     "op11_secret_scans": op11_secret_scans,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
     "sharded_rows": sharded_rows,
 }
@@ -91,6 +97,7 @@ ORACLE_SQL = {
     "op5_url_filters": urls.SQL,
     "op7_mixing": mixing.SQL,
     "op11_secret_scans": secrets.SQL,
+    "op12_conversation_repair": conversations.SQL,
     "op13_importance_resampling": resample.SQL,
     "sharded_rows": "select doc_id, md5(text) as text_md5, lang, source from documents",
 }
