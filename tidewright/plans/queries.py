@@ -15,9 +15,10 @@ from tidewright.operators.universe import Aligned, align, dated, excluded, recor
 from tidewright.plans import oracle as sql
 from tidewright.plans.oracle import r6
 from tidewright.schema import MAX_HOLDINGS, RANK_WINDOWS, WINDOWS, slug
-from tidewright.scratch import kept
+from tidewright.scratch import kept, new_path
 from tidewright.sources import adapters, readers
 from tidewright.sources.sinks import rounded, rounded_frame
+from tidewright.sources.stores import PriceStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -430,6 +431,26 @@ def refresh_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.outcomes(cached, fetched, merge.last_wins(cached, fetched, dt.date(1990, 1, 1)), failed)
 
 
+def _cache(spark: SparkSession, sf_dir: str) -> PriceStore:
+    """The history in a cache: then a refetch of every fifth supplier is merged, and every eleventh supplier forgotten."""
+    cached, fetched = _cached_and_fetched(spark, sf_dir)
+    store = PriceStore(spark, new_path(spark, "closes"), "id long, date date, close double")
+    store.write(cached)
+    store.merge(fetched.where("id % 5 = 0"), RETAIN)
+    store.forget(adapters.members(spark, sf_dir).where("id % 11 = 0"))
+    return store
+
+
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the cache holds after both changes, from the day on that is kept."""
+    return _cache(spark, sf_dir).read(since=RETAIN).select("id", "date", rounded(F.col("close")).alias("close"))
+
+
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some ids of it; unknown and forgotten ones have no rows."""
+    return _cache(spark, sf_dir).read([5, 11, 12, 10_000_000]).where(F.col("date") >= F.lit(RETAIN)).select("id", "date", rounded(F.col("close")).alias("close"))
+
+
 def rank_12_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the 12-1 ranking of all securities, with moves against a quarter before."""
     found = ranking.screen(universe(spark, sf_dir), ranking.Screen())
@@ -463,6 +484,8 @@ _MERGE = """
 with daily as (select l_suppkey as id, l_shipdate::date as date, max(l_extendedprice / l_quantity) as close from lineitem group by 1, 2),
 cached as (select * from daily where date < date '1999-01-01'),
 fetched as (select id, date, close * 2 as close from daily where date >= date '1999-01-01' - 30)"""
+_CACHE = f"""{_MERGE} select id, date, {r6('coalesce(f.close, c.close)')} as close
+  from cached c full join (select * from fetched where id % 5 = 0) f using (id, date) where date >= date '1996-01-01' and id % 11 <> 0"""
 _CONFLICTS = """
 with listed as (
   select p_brand || '-' || p_size as ticker, (['500', '400', '600'])[p_partkey % 3 + 1] as segment, p_partkey as seq from part),
@@ -591,6 +614,8 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "earnings_latest": (earnings_latest, f"{_P}{sql.EVENTS} select id, date, {r6('eps_actual')} as eps_actual, {r6('eps_estimated')} as eps_estimated, {r6('surprise')} as surprise, {r6('since_return')} as since_return from latest"),
     "merge_last_wins": (merge_last_wins, f"{_MERGE} select id, date, {r6('coalesce(f.close, c.close)')} as close from cached c full join fetched f using (id, date) where date >= date '1996-01-01'"),
     "merge_first_wins": (merge_first_wins, f"{_MERGE} select id, date, {r6('coalesce(c.close, f.close)')} as close from cached c full join fetched f using (id, date) where date >= date '1996-01-01'"),
+    "cache_merge": (cache_merge, _CACHE),
+    "cache_lookup": (cache_lookup, f"select * from ({_CACHE}) where id in (5, 11, 12, 10000000)"),
     "fetch_bounds": (fetch_bounds, f"{_MERGE} select id, greatest(max(date) - 7, date '1998-12-28')::date as fetch_from from cached group by 1"),
     "merge_last_of_repeats": (merge_last_of_repeats, f"""{_REPEATS}, f as (select id, date, arg_max(close, seq) as close from fetched group by 1, 2)
         select id, date, {r6('coalesce(f.close, c.close)')} as close from cached c full join f using (id, date) where date >= date '1996-01-01'"""),

@@ -79,9 +79,9 @@ def refresh(spark: SparkSession, answers: Answers, root: str, today: dt.date, mi
     cached = kept(store.points(), "cached")
     closes = readers.adjusted_closes(answers.closes.where(F.col("date") <= F.lit(to.isoformat())))
     fetched = kept(closes.join(answers.failed.select("id").distinct(), "id", "left_anti"), "fetched")
-    merged = kept(merge.last_wins(cached, fetched, retain), "merged")
+    store.merge(fetched, retain)
+    merged = kept(store.points().where(F.col("date") >= F.lit(retain)), "merged")
     outcomes = kept(merge.outcomes(cached, fetched, merged, answers.failed), "outcomes")
-    store.write(merged)
 
     # Announcements, fetched for the missing days.
     _, events = stores.EarningsStore(spark, f"{root}/announcements").refresh(to, lambda a, b: readers.earnings_between(answers.announcements(a, b), a, b).withColumn("seq", F.lit(0)))

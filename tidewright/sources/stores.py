@@ -1,13 +1,15 @@
 """Versioned stores: a version is a folder, and one pointer file names the current version.
 
 A writer fills a new folder and then replaces the pointer in one step, so readers see the old
-version or the new one. Rows are partitioned by a hash of their id into PARTS folders.
+version or the new one. Published rows are partitioned by a hash of their id into PARTS folders; cached
+closes lie in parts that change one by one.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from tidewright.operators import merge
-from tidewright.scratch import local_table
+from tidewright.scratch import kept, local_table
+from tidewright.sources import partlog
 
 PART, PARTS = "id_part", 64
+LOG = logging.getLogger(__name__)
 
 
 def part_of(c: Column) -> Column:
@@ -89,25 +93,33 @@ def switch(spark: SparkSession, root: str, version: str) -> None:
 def write_parts(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """Rows in folders by the hash of their id, sorted within."""
     placed = df.withColumn(PART, part_of(F.col("id")))
-    placed.repartition(PART).sortWithinPartitions(PART, *order).write.partitionBy(PART).parquet(path)
+    # Ranges of (part, id): as many tasks as the session shuffles to, each with few parts' files.
+    placed.repartitionByRange(PART, "id").sortWithinPartitions(PART, *order).write.partitionBy(PART).parquet(path)
 
 
 @dataclass(frozen=True)
 class PriceStore:
-    """Cached closes (id, date, close); ``read`` is None where nothing readable is there."""
+    """Cached closes (id, date, close); ``read`` is None where nothing readable is there.
+
+    The pointer names a table of parts (``partlog``): ``write`` makes a new one, ``merge`` and ``forget`` rewrite
+    only the parts that their ids fall in.
+    """
 
     spark: SparkSession
     root: str
     schema: str = "id string, date date, close double"
+    target_rows: int = partlog.TARGET_ROWS
 
-    def read(self) -> DataFrame | None:
+    def table(self) -> partlog.PartTable | None:
+        """The current table of parts, or None if there is none."""
         at = current(self.spark, self.root)
-        if at is None:
-            return None
-        try:
-            return self.spark.read.schema(f"{self.schema}, {PART} int").parquet(at).drop(PART)
-        except AnalysisException:
-            return None
+        found = partlog.PartTable(self.spark, at, self.schema, target_rows=self.target_rows) if at else None
+        return found if found and found.exists() else None
+
+    def read(self, ids: Sequence | None = None, since: dt.date | None = None) -> DataFrame | None:
+        """All closes, or those of some ids, or from a day on: only files that may hold them are opened."""
+        table = self.table()
+        return None if table is None else table.read(ids, since)
 
     def points(self) -> DataFrame:
         """What is cached, or no rows."""
@@ -120,12 +132,22 @@ class PriceStore:
     def write(self, points: DataFrame) -> None:
         """A new version with these rows; the old one stays until the switch."""
         version = new_version()
-        write_parts(points.select("id", "date", "close"), f"{self.root}/{version}", ["id", "date"])
+        partlog.PartTable(self.spark, f"{self.root}/{version}", self.schema, target_rows=self.target_rows).replace(points.select("id", "date", "close"), lambda old, new: new)
         switch(self.spark, self.root, version)
 
+    def merge(self, fetched: DataFrame, retain_from: dt.date, seq: str | None = None) -> None:
+        """Fetched closes over the cached ones of the same ids (``merge.last_wins``); closes before ``retain_from`` go from the parts that are rewritten."""
+        table = self.table()
+        if table is None:
+            self.write(merge.last_wins(self.points(), fetched, retain_from, seq))
+        else:
+            table.replace(fetched, lambda old, new: merge.last_wins(old, new, retain_from, seq))
+
     def forget(self, ids: DataFrame) -> None:
         """Drop the ids of a table, e.g. those that left the universe."""
-        self.write(self.points().join(ids.select("id").distinct(), "id", "left_anti"))
+        table = self.table()
+        if table is not None:
+            table.replace(ids.select(F.col("id").cast(table.schema["id"].dataType).alias("id")).distinct(), lambda old, gone: old.join(gone, "id", "left_anti"))
 
 
 @dataclass(frozen=True)
@@ -165,9 +187,9 @@ class EarningsStore:
         try:
             for tile in merge.tiles(self.spark, start, today).collect() if start <= today else []:  # some two dozen at most
                 fresh = fresh.unionByName(answers(tile["start"], tile["end"]).select(*fresh.columns))
-            merged = merge.first_wins(old[1] if old else nothing, fresh, retain, seq=seq)
-            self.write(today, merged)
-        except Exception as e:  # noqa: BLE001 (any failure of a provider costs freshness only)
-            print(f"earnings stay as they were: {e}")
+            fresh = kept(fresh, "announcements")
+        except Exception as e:  # noqa: BLE001 (whatever a provider raises costs freshness only)
+            LOG.warning("announcements stay as they were: %s", e)
             return old or (retain - dt.timedelta(days=1), nothing)
+        self.write(today, merge.first_wins(old[1] if old else nothing, fresh, retain, seq=seq))
         return self.read()
