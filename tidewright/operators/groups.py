@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.ranking import finite
-from tidewright.schema import ANNUAL_DAYS, MAX_HOLDINGS, SHRINKAGE
+from tidewright.operators.ordered import finite, numbered
+from tidewright.schema import ANNUAL_DAYS, SHRINKAGE
+from tidewright.scratch import kept
 
 #: Common days below which a group's average correlation is not shown.
 MIN_COMMON_DAYS = 20
@@ -66,54 +70,118 @@ def range_position(last: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (last - low) / F.when(high > low, high - low) * 100)
 
 
-def synchronised(returns: DataFrame, most: int = MAX_HOLDINGS) -> DataFrame:
-    """(id, idx, ret) on the days on which every id has a return.
-
-    As pairs grow with the square of the ids, more than ``most`` are an error.
-    """
+def synchronised(returns: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, idx, ret) on the days on which every id has a return. most: more ids are an error."""
     have = returns.where(F.col("ret").isNotNull()).select("id", "idx", "ret")
-    ids = returns.select("id").distinct().limit(most + 1).count()
-    if ids > most:
+    ids = returns.select("id").distinct()
+    n = ids.count() if most is None else ids.limit(most + 1).count()
+    if most is not None and n > most:
         raise ValueError(f"more than {most} series to pair")
-    full = have.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == ids).select("idx")
+    full = have.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select("idx")
     return have.join(full, "idx", "left_semi")
 
 
-def paired(returns: DataFrame) -> DataFrame:
-    """(i, j, idx, x, y): every pair i < j of the ids on their common days. returns: of ``synchronised``, so the ids are few."""
-    a = returns.select(F.col("id").alias("i"), "idx", F.col("ret").alias("x"))
-    b = returns.select(F.col("id").alias("j"), "idx", F.col("ret").alias("y"))
-    return a.join(b, "idx").where("i < j")
+#: Series and days of one tile of the matrix of returns.
+TILE_IDS, TILE_DAYS = 256, 256
+
 
+def tiles(returns: DataFrame, ids: int = TILE_IDS, days: int = TILE_DAYS) -> tuple[DataFrame, int]:
+    """((block, era, ids, m), number of blocks): the matrix of synchronised returns in tiles of some series and days.
 
-def correlations(pairs: DataFrame) -> DataFrame:
-    """(i, j, days, correlation); a pair without two days or without movement has correlation null."""
-    sx, sy = F.stddev_samp("x"), F.stddev_samp("y")
-    raw = F.try_divide(F.covar_samp("x", "y"), sx * sy)
-    ok = (F.count(F.lit(1)) >= 2) & (sx > 1e-12) & (sy > 1e-12)
-    return pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("days"), F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).alias("correlation"))
+    Series are numbered in the order of their ids; ``m`` holds a tile's doubles, a row a series.
+    """
+    kind = returns.schema["id"].dataType.simpleString()
+    names = numbered(returns.select("id").distinct(), [F.col("id")], "place")
+    n = names.count()
+    block = F.floor((F.col("place") - 1) / ids).cast("int")
+    placed = returns.join(names, "id").select(block.alias("block"), F.floor(F.col("idx") / days).cast("int").alias("era"), "place", "id", "idx", "ret")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "idx"])
+        own = pdf.drop_duplicates("place")
+        m = pdf["ret"].to_numpy().reshape(len(own), -1)  # every series has the same days
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "era": [pdf["era"].iloc[0]], "ids": [own["id"].tolist()], "m": [m.tobytes()]})
+
+    return placed.groupBy("block", "era").applyInPandas(tile, f"block int, era int, ids array<{kind}>, m binary"), -(-n // ids)
+
+
+@dataclass
+class Moments:
+    """Counts, means and centred products of two blocks of series over the days so far; eras are merged by their means, so nothing cancels."""
+
+    n: int = 0
+    mx: np.ndarray | float = 0.0
+    my: np.ndarray | float = 0.0
+    xx: np.ndarray | float = 0.0
+    yy: np.ndarray | float = 0.0
+    xy: np.ndarray | float = 0.0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        k = x.shape[1]
+        mx, my = x.mean(1), y.mean(1)
+        cx, cy = x - mx[:, None], y - my[:, None]
+        dx, dy, part = mx - self.mx, my - self.my, self.n * k / (self.n + k)
+        self.xx = self.xx + (cx * cx).sum(1) + part * dx * dx
+        self.yy = self.yy + (cy * cy).sum(1) + part * dy * dy
+        self.xy = self.xy + cx @ cy.T + part * np.outer(dx, dy)
+        self.mx, self.my, self.n = self.mx + dx * k / (self.n + k), self.my + dy * k / (self.n + k), self.n + k
+
+
+def cross_products(returns: DataFrame, ids: int = TILE_IDS, days: int = TILE_DAYS) -> DataFrame:
+    """(i, j, days, xx, yy, xy) for i <= j over synchronised returns: sums of centred squares and products.
+
+    Each tile goes to the pairs of blocks that it is part of, so what is shuffled grows with series, days and
+    blocks, not with pairs and days; a pair of blocks is multiplied era by era as matrices.
+    """
+    kind = returns.schema["id"].dataType.simpleString()
+    made, blocks = tiles(returns, ids, days)
+    made = kept(made, "tiles")
+    left = made.select(F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"), "era", "ids", "m")
+    right = made.where("block > 0").select(F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"), "era", "ids", "m")
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["a"].iloc[0] == pdf["b"].iloc[0]
+        sums, names = Moments(), {}
+        for _, era in pdf.groupby("era", sort=True):
+            both = {}
+            for side, who, m in zip(era["side"], era["ids"], era["m"], strict=True):
+                names[side] = np.asarray(who, object)
+                both[side] = np.frombuffer(m).reshape(len(who), -1)
+            sums.add(both[0], both[0 if same else 1])
+        x, y = names[0], names[0 if same else 1]
+        i, j = np.triu_indices(len(x)) if same else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+        return pd.DataFrame({"i": x[i], "j": y[j], "days": sums.n, "xx": sums.xx[i], "yy": sums.yy[j], "xy": sums.xy[i, j]})
+
+    return left.unionAll(right).groupBy("a", "b").applyInPandas(multiply, f"i {kind}, j {kind}, days long, xx double, yy double, xy double")
+
+
+def correlations(returns: DataFrame) -> DataFrame:
+    """(i, j, days, correlation) for i < j over synchronised returns; a pair without two days or without movement has correlation null."""
+    own = lambda s: F.sqrt(F.col(s) / F.when(F.col("days") >= 2, F.col("days") - 1))
+    raw = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
+    ok = (own("xx") > 1e-12) & (own("yy") > 1e-12)
+    return cross_products(returns).where("i < j").select("i", "j", "days", F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).alias("correlation"))
 
 
 def correlation_matrix(returns: DataFrame) -> DataFrame:
     """(i, j, correlation) of all ordered pairs: 1 on the diagonal, 0 where it can't be told."""
-    half = correlations(paired(returns)).select("i", "j", F.coalesce("correlation", F.lit(0.0)).alias("correlation"))
+    half = correlations(returns).select("i", "j", F.coalesce("correlation", F.lit(0.0)).alias("correlation"))
     ids = returns.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("correlation")).distinct()
-    return ids.unionByName(half).unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "correlation"))
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return ids.unionByName(half.select(both.alias("p"), "correlation").select("p.i", "p.j", "correlation"))
 
 
 def average_correlation(returns: DataFrame, minimum: int = MIN_COMMON_DAYS) -> DataFrame:
     """One row, ``correlation``: the mean over the pairs; null for fewer than two ids, or too few common days."""
-    pairs = correlations(paired(returns))
+    pairs = correlations(returns)
     return pairs.agg(F.when(F.min("days") >= minimum, F.avg(F.coalesce("correlation", F.lit(0.0)))).alias("correlation"))
 
 
 def covariances(returns: DataFrame, annual: bool = True) -> DataFrame:
     """(i, j, cov) for i <= j over synchronised returns; zero with fewer than two days."""
-    a = returns.select(F.col("id").alias("i"), "idx", F.col("ret").alias("x"))
-    b = returns.select(F.col("id").alias("j"), "idx", F.col("ret").alias("y"))
-    both = a.join(b, "idx").where("i <= j")
     scale = ANNUAL_DAYS if annual else 1
-    return both.groupBy("i", "j").agg(F.when(F.count(F.lit(1)) >= 2, F.covar_samp("x", "y") * scale).otherwise(0.0).alias("cov"))
+    cov = F.when(F.col("days") >= 2, F.col("xy") / F.when(F.col("days") >= 2, F.col("days") - 1) * scale).otherwise(0.0)
+    return cross_products(returns).select("i", "j", cov.alias("cov"))
 
 
 def shrunk(cov: DataFrame, intensity: float = SHRINKAGE) -> DataFrame:

@@ -179,7 +179,7 @@ def sync_days(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD)
 
 
 def correlation_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
-    return rounded_frame(groups.correlations(groups.paired(_synchronised(spark, sf_dir, brands))))
+    return rounded_frame(groups.correlations(_synchronised(spark, sf_dir, brands)))
 
 
 def correlation_matrix(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
