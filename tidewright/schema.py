@@ -22,8 +22,8 @@ EARNINGS_CHUNK_DAYS = 14
 FETCH_OVERLAP_DAYS = 7
 DATASET_VERSION = 3
 SHRINKAGE = 0.2
-#: Names compared in one allocation: matrices are this wide at most.
-MAX_HOLDINGS = 512
+#: Holdings of one allocation: the driver holds a row of each.
+MAX_HOLDINGS = 50_000
 
 #: Segment -> benchmark, largest index first.
 BENCHMARKS = {"500": "SPY", "400": "IJH", "600": "IJR"}
