@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.series import with_returns
+from tidewright.operators.series import with_returns, with_sliding_max
 from tidewright.schema import (
     ANNUAL_DAYS,
     BETA_LOOKBACK,
@@ -44,9 +44,8 @@ def panel_with_benchmarks(panel: DataFrame, members: DataFrame, bench: DataFrame
     bench: of ``benchmark_panel``, broadcast if the optimiser knows that it is small. A segment
     without a benchmark is an error.
     """
-    own = with_returns(panel.join(members.select("id", "segment"), "id"))
-    high = F.max("close").over(Window.partitionBy("id").orderBy("idx").rowsBetween(-(HIGH_LOOKBACK - 1), 0))
-    joined = own.withColumn("high", high).join(bench.withColumn("known", F.lit(True)), ["segment", "idx"], "left")
+    own = with_sliding_max(panel.join(members.select("id", "segment"), "id"), "close", HIGH_LOOKBACK, "high")
+    joined = with_returns(own).join(bench.withColumn("known", F.lit(True)), ["segment", "idx"], "left")
     unknown = F.raise_error(F.concat(F.lit("no benchmark for segment "), F.coalesce("segment", F.lit("null"))))
     return joined.withColumn("bret", F.when(F.col("known").isNull(), unknown.cast("double")).otherwise(F.col("bret"))).drop("known")
 

@@ -119,6 +119,21 @@ def index_at_or_after(dates: DataFrame, cal: DataFrame) -> DataFrame:
     return filled.select("date", F.col("at").alias("idx")).distinct()
 
 
+def with_sliding_max(panel: DataFrame, value: str, lookback: int, name: str, key: str = "id") -> DataFrame:
+    """The panel with the greatest value of the last ``lookback`` days, this one included; null if none has one.
+
+    The days of an id are cut into blocks as long as the lookback: a window is the end of one block and the
+    start of the next, so two running maxima and one lag serve it, and each day is read twice whatever
+    the lookback is. Every id has every day from 0 on, as ``densify`` gives it; nothing is exchanged again.
+    """
+    blocks = panel.withColumn(f"_{name}_block", F.floor(F.col("idx") / lookback))
+    within = Window.partitionBy(key, f"_{name}_block").rowsBetween(Window.unboundedPreceding, 0)
+    ends = blocks.withColumn(f"_{name}_end", F.max(value).over(within.orderBy(F.col("idx").desc())))
+    starts = ends.withColumn(f"_{name}_start", F.max(value).over(within.orderBy("idx")))
+    before = F.lag(f"_{name}_end", lookback - 1).over(by_time(key))
+    return starts.withColumn(name, F.greatest(f"_{name}_start", before)).drop(f"_{name}_block", f"_{name}_end", f"_{name}_start")
+
+
 def gap_segments(panel: DataFrame, max_gap: int = TOLERANCE) -> DataFrame:
     """(id, idx, close, segment_no): islands of closes whose distance is at most ``max_gap`` days."""
     seen = panel.where(F.col("close").isNotNull())

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tidewright.operators.universe import Aligned, align, dated, excluded, recor
 from tidewright.plans import oracle as sql
 from tidewright.plans.oracle import r6
 from tidewright.schema import MAX_HOLDINGS, RANK_WINDOWS, WINDOWS, slug
-from tidewright.scratch import kept, new_path
+from tidewright.scratch import kept, local_table, new_path
 from tidewright.sources import adapters, readers
 from tidewright.sources.sinks import rounded, rounded_frame
 from tidewright.sources.stores import PriceStore
@@ -78,8 +79,6 @@ _SQL_METRIC = {
     "market-cap": ("market_cap", "prior_market_cap"),
 }
 WATCHLIST = list(range(1, 41))
-#: Brands of the small portfolio: pairs of them are compared.
-HELD = [f"Brand#{i}" for i in range(1, 13)]
 
 
 def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +86,8 @@ def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.days.where("ret is not null").select("id", "idx", rounded(F.col("ret")).alias("ret"))
 
 
-def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return endpoints_every_day(spark, sf_dir).where(F.col("idx") % 21 == 0)
-
-
 def endpoints_every_day(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
-    """The as-of endpoint of each day; ``endpoints`` is a sample of it."""
+    """The as-of endpoint of each day."""
     m = model(spark, sf_dir, thin)
     return m.days.select("id", "idx", F.col("end.idx").alias("end_idx"), rounded(F.col("end.close")).alias("end_close"))
 
@@ -162,7 +157,7 @@ def range_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("id", rounded(groups.range_position(F.col("last"), F.col("low52"), F.col("high52")), 4).alias("position"))
 
 
-def _held_returns(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def _held_returns(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     """Returns of the brands' prices on the common calendar, written once; None: of all brands."""
     dates = series.trading_days(series.clean(adapters.benchmark_observations(adapters.weekly(spark, sf_dir), adapters.members(spark, sf_dir)), unique=True))
     held = series.clean(adapters.brand_observations(spark, sf_dir, brands), unique=True)
@@ -174,45 +169,45 @@ def _synchronised(spark: SparkSession, sf_dir: str, brands: list[str] | None) ->
     return groups.synchronised(_held_returns(spark, sf_dir, brands))
 
 
-def sync_days(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def sync_days(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     return _synchronised(spark, sf_dir, brands).select("idx").distinct()
 
 
-def correlation_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def correlation_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     return rounded_frame(groups.correlations(_synchronised(spark, sf_dir, brands)))
 
 
-def correlation_matrix(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def correlation_matrix(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     return rounded_frame(groups.correlation_matrix(_synchronised(spark, sf_dir, brands)))
 
 
-def average_correlation(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def average_correlation(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     return rounded_frame(groups.average_correlation(_synchronised(spark, sf_dir, brands)))
 
 
-def covariance_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def covariance_pairs(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     return rounded_frame(groups.covariances(_synchronised(spark, sf_dir, brands)))
 
 
-def _shrunk(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def _shrunk(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     """Shrunk covariances: as wide as the holdings at most, written, as several steps read them."""
     return kept(groups.shrunk(kept(groups.covariances(_synchronised(spark, sf_dir, brands)), "covariances")), "shrunk")
 
 
-def shrunk_covariance(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def shrunk_covariance(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     return rounded_frame(_shrunk(spark, sf_dir, brands))
 
 
-def correlation_distance(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def correlation_distance(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     return rounded_frame(groups.correlation_distance(groups.to_correlation(_shrunk(spark, sf_dir, brands))))
 
 
-def allocation_equal(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def allocation_equal(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     cov = _shrunk(spark, sf_dir, brands)
     return rounded_frame(groups.risk(groups.equal_weights(cov), cov))
 
 
-def allocation_inverse_vol(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+def allocation_inverse_vol(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     cov = _shrunk(spark, sf_dir, brands)
     return rounded_frame(groups.risk(groups.inverse_volatility_weights(cov), cov))
 
@@ -226,9 +221,9 @@ def all_brands(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 def _allocated(scheme: str, per_holding: float | None = None, per_group: float | None = None) -> Query:
-    def run(spark: SparkSession, sf_dir: str, brands: list[str] | None = HELD) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
         names = all_brands(spark, sf_dir) if brands is None else brands
-        held = spark.createDataFrame([(b, f"group {i % 3}") for i, b in enumerate(names)], "id string, group string")
+        held = local_table(spark, {"id": pa.array(names), "group": pa.array([f"group {i % 3}" for i in range(len(names))])})
         return rounded_frame(portfolio.allocate(_held_returns(spark, sf_dir, brands), held, scheme, per_holding, per_group))
 
     return run
@@ -297,7 +292,9 @@ def refresh_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.tiles(spark, dt.date(2024, 1, 1), dt.date(2024, 8, 7))
+    """The days from the first order to the last, in pieces of a fetch."""
+    days = adapters.read(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    return merge.tiles(spark, days[0], days[1])
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,9 +355,14 @@ def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", text.company_key(F.concat(F.lit("The "), F.col("c_mktsegment"), F.lit(" Co., Ltd. (Class B)"))).alias("company"))
 
 
+#: Labels as providers write them.
+LABELS = (" Technology ", "Basic Materials", "ENERGY", "Crypto", "Real Estate")
+
+
 def canonical_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = [("a", " Technology "), ("b", "Basic Materials"), ("c", "ENERGY"), ("d", "Crypto"), ("e", None), ("f", "Real Estate")]
-    return spark.createDataFrame(labels, "k string, label string").select("k", text.sector(F.col("label")).alias("sector"))
+    """Sectors of parts whose labels are written as providers do; every sixth has none."""
+    label = F.get(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") % 6).cast("int"))
+    return adapters.read(spark, sf_dir, "part").select("p_partkey", text.sector(label).alias("sector"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,10 +460,9 @@ def rank_12_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P, _U = sql.PANEL, sql.UNIVERSE
-_HELD = ", ".join(f"'{x}'" for x in HELD)
 _SYNC = f"""{_P},
 sobs as (select p_brand as id, date_trunc('week', l_shipdate)::date as date, sum(l_extendedprice::decimal(18,2))::double / sum(l_quantity::decimal(18,2))::double as close
-  from lineitem join part on l_partkey = p_partkey where p_brand in ({_HELD}) group by 1, 2),
+  from lineitem join part on l_partkey = p_partkey group by 1, 2),
 spanel as (select s.id, c.idx, o.close from (select distinct id from sobs) s cross join cal c left join sobs o on o.id = s.id and o.date = c.date),
 held as (select id, idx, close / lag(close) over (partition by id order by idx) - 1 as ret from spanel),
 full_days as (select idx from held where ret is not null group by idx having count(*) = (select count(distinct id) from held)),
@@ -552,7 +553,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "downside_deviation": _measures(["downside"]),
     "prior_block": _measures([*(f"res_{slug(w)}" for w in WINDOWS), "vol_3m", "vol_1y", "return_per_vol"], "prior"),
     "daily_returns": (daily_returns, f"{_P} select id, idx, {r6('ret')} as ret from days where ret is not null"),
-    "endpoints": (endpoints, f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days where idx % 21 = 0"),
+    "endpoints": (endpoints_every_day, f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days"),
     "endpoints_every_day": (endpoints_every_day, f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days"),
     "endpoints_thinned": (partial(endpoints_every_day, thin=True), sql.thinned(f"{_P} select id, idx, eidx as end_idx, {r6('eclose')} as end_close from days", THINNED_SQL)),
     "thinned_returns": _measures([*(f"ret_{slug(w)}" for w in WINDOWS), "vol_3m", "vol_1y", "max_drawdown"], thin=True),
@@ -629,7 +630,8 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "refresh_outcomes": (refresh_outcomes, f"""{_MERGE}, o as (select id, count(*) as n from cached group by 1), f as (select id, count(*) as n from fetched where id % 5 <> 0 group by 1),
         t as (select id, count(*) as n from (select id, date from cached union select id, date from fetched where id % 5 <> 0) group by 1)
         select id, greatest(0, t.n - coalesce(o.n, 0)) as added, t.n as total, coalesce(f.n, 0) = 0 and coalesce(o.n, 0) > 0 as stale from t left join o using (id) left join f using (id)"""),
-    "fetch_tiles": (fetch_tiles, "select s::date as start, least(s::date + 13, date '2024-08-07') as end from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-08-07', interval 14 day)) as s)"),
+    "fetch_tiles": (fetch_tiles, """with d as (select min(o_orderdate)::date as low, max(o_orderdate)::date as high from orders)
+        select s::date as start, least(s::date + 13, high) as end from (select unnest(generate_series(low::timestamp, high::timestamp, interval 14 day)) as s, high from d)"""),
     "segment_conflicts": (segment_conflicts, _CONFLICTS),
     "price_evidence": (price_evidence, f"{_EVIDENCE} select * from ev"),
     "share_classes": (share_classes, f"""{_EVIDENCE}, r as (select m.name as ticker, m.sector, observations, staleness, market_cap,
@@ -651,15 +653,13 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "watchlist_order": (watchlist_order, "select place, s_suppkey as id, s_name as name from (values (0, 7), (1, 3), (2, 9), (3, 10000000), (4, 1)) w(place, k) join supplier on s_suppkey = k"),
     "tickers": (tickers, "select c_custkey, upper(replace(replace(c_name, '#', '.'), '.', '-')) as ticker from customer"),
     "company_keys": (company_keys, "select c_custkey, lower(c_mktsegment) as company from customer"),
-    "canonical_sectors": (canonical_sectors, "select * from (values ('a', 'Information Technology'), ('b', 'Materials'), ('c', 'Energy'), ('d', 'Unknown'), ('e', 'Unknown'), ('f', 'Real Estate')) t(k, sector)"),
+    "canonical_sectors": (canonical_sectors, "select p_partkey, (['Information Technology', 'Materials', 'Energy', 'Unknown', 'Real Estate', 'Unknown'])[p_partkey % 6 + 1] as sector from part"),
     "last_quotes": (last_quotes, "select o_custkey::varchar as symbol, arg_max(o_orderpriority, o_orderkey) as name, arg_max(o_totalprice, o_orderkey) as price from orders group by 1"),
     "page_text": (page_text, f"select page_id, md5(regexp_replace(regexp_replace({_PLAIN}, '^[\\s\\x{{a0}}]+', ''), '[\\s\\x{{a0}}]+$', '')) as text_md5 from pages"),
     "formatted": (formatted, f"{_U} select id, {_shown('ret_12_1 * 100', 1, '−', '+', '%')} as ret, {_shown('beta', 2, '-', '', '')} as beta, {_cap('market_cap')} as cap, {_cap('market_cap * 1e8')} as cap_of_bonds from uni"),
 }
-#: The portfolio's queries over every brand, and their SQL without the choice of brands.
+#: The portfolio's queries under the names that they had when the plain ones held some of the brands.
 PORTFOLIO = ["sync_days", "correlation_pairs", "correlation_matrix", "avg_correlation", "covariance_pairs", "shrunk_covariance", "correlation_distance", "alloc_equal", "alloc_inverse_vol", "alloc_hrp", "alloc_capped"]
-for _name in PORTFOLIO:
-    _run, _text = ENTRIES[_name]
-    ENTRIES[f"{_name}_all_brands"] = (partial(_run, brands=None), _text and _text.replace(f" where p_brand in ({_HELD})", ""))
+ENTRIES |= {f"{name}_all_brands": ENTRIES[name] for name in PORTFOLIO}
 QUERIES = {name: run for name, (run, _) in ENTRIES.items()}
 ORACLE_SQL = {name: text_ for name, (_, text_) in ENTRIES.items() if text_}
