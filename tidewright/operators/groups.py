@@ -26,24 +26,75 @@ def summary(df: DataFrame, value: str, by: Sequence[str] = (), order: str = "id"
     v = finite(F.col(value))
     best = F.min_by(F.col(order), F.when(v.isNotNull(), F.struct(-v, F.col(order))))
     worst = F.min_by(F.col(order), F.when(v.isNotNull(), F.struct(v, F.col(order))))
-    quartile = lambda q: F.percentile(v, F.lit(q))
-    return df.groupBy(*by).agg(
+    rows = kept(df.select(*by, value, order), "summarised")
+    counts = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"),
         F.count(v).alias("measured"),
         F.count(F.when(v > 0, 1)).alias("positive"),
         F.count(F.when(v < 0, 1)).alias("negative"),
         F.count(F.when(v == 0, 1)).alias("flat"),
         F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
-        F.when(F.count(v) >= 4, quartile(0.75) - quartile(0.25)).alias("spread"),
         best.alias("best"),
         worst.alias("worst"),
     )
+    cuts = quantiles(rows, value, (0.25, 0.5, 0.75), by)
+    joined = _joined(counts, cuts, by)
+    spread = F.when(F.col("measured") >= 4, F.col("quantiles")[2] - F.col("quantiles")[0])
+    return joined.select(*by, "count", "measured", "positive", "negative", "flat", "mean", F.col("quantiles")[1].alias("median"), spread.alias("spread"), "best", "worst")
 
 
-def quantile(value: Column, q: float) -> Column:
-    """Linear interpolation between order statistics; null without values."""
-    return F.percentile(finite(value), F.lit(q))
+def _joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of ``left`` with those of ``right`` for the same group, a null being a group too."""
+    keys = {c: f"_{c}_of" for c in by} or {"_whole": "_whole_of"}
+    if not by:
+        left, right = left.withColumn("_whole", F.lit(0)), right.withColumn("_whole", F.lit(0))
+    right = right.withColumnsRenamed(keys)
+    same = [left[a].eqNullSafe(right[b]) for a, b in keys.items()]
+    return left.join(right, same, "left").drop(*keys.values(), *([] if by else ["_whole"]))
+
+
+#: A group's sketch errs by one in so many places at most; the exact values are looked for that far around.
+SKETCH = 10_000
+
+
+def quantiles(df: DataFrame, value: str, wanted: Sequence[float], by: Sequence[str] = (), sketch: int = SKETCH) -> DataFrame:
+    """(by, quantiles): for each group the exact quantiles, linear between order statistics; null without values.
+
+    A sketch of bounded size brackets every quantile, surely so by its error bound. A second pass counts what lies
+    below a bracket and each value inside, so neither a group nor its values come together: what is sorted
+    is one part in some thousands of the group. ``df`` is read twice: give a written table.
+    """
+    v = finite(F.col(value).cast("double"))
+    rows = df.select(*by, v.alias("_v"))
+    groups_ = rows.select(*by, F.lit(0).alias("_whole"), "_v")
+    keys = [*by, "_whole"]
+    off = 4.0 / sketch  # a sketch's error, and places enough beside it in a group of over ``sketch`` values
+    ends = [min(1.0, max(0.0, q + d)) for q in wanted for d in (-off, off)]
+    found = groups_.groupBy(*keys).agg(F.count("_v").alias("_n"), F.expr(f"percentile_approx(_v, array({', '.join(f'{e!r}D' for e in ends)}), {sketch})").alias("_ends"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # A small group is its own bracket; so is the side on which a bracket reaches beyond all values.
+    few = F.col("_n") <= sketch
+    each = [
+        F.struct(
+            F.lit(k).alias("k"), F.lit(q).alias("q"),
+            F.when(few | F.lit(q - off <= 0), F.col("_min")).otherwise(F.col("_ends")[2 * k]).alias("low"), F.when(few | F.lit(q + off >= 1), F.col("_max")).otherwise(F.col("_ends")[2 * k + 1]).alias("high"),
+        )
+        for k, q in enumerate(wanted)
+    ]
+    brackets = kept(found.select(*keys, "_n", F.explode(F.array(*each)).alias("_b")).select(*keys, "_n", "_b.*"), "brackets")
+    packed = brackets.groupBy(*keys).agg(F.collect_list(F.struct("k", "low", "high")).alias("_all"))  # as many as quantiles are wanted
+    near = _joined(groups_.where(F.col("_v").isNotNull()), packed, keys)
+    near = near.select(*keys, "_v", F.explode("_all").alias("_b")).where(F.col("_v") <= F.col("_b.high"))
+    placed = near.groupBy(*keys, F.col("_b.k").alias("k"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "k").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = _joined(placed.withColumn("_upto", upto), brackets.drop("low", "high"), [*keys, "k"])
+    at = (F.col("_n") - 1) * F.col("q")
+    holds = lambda rank: (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
+    ends_of = placed.groupBy(*keys, "k").agg(F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias("a"), F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias("b"), F.max(at - F.floor(at)).alias("part"))
+    sure = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    value_at = F.coalesce(sure, F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
+    out = ends_of.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", value_at.alias("x")))).alias("_q"))
+    every = _joined(found.select(*keys), out, keys)
+    return every.select(*by, F.transform("_q", lambda s: s["x"]).alias("quantiles"))
 
 
 def concentration(df: DataFrame, by: str) -> DataFrame:

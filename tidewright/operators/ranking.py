@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.registry import Metric, metric
-from tidewright.operators.ordered import finite, ranked_by
+from tidewright.operators.ordered import finite, free_names, numbered, ranked_by
 from tidewright.schema import GICS_SECTORS
 from tidewright.scratch import kept
 
@@ -122,18 +122,22 @@ def capped_per_segment(members: DataFrame, n: int) -> DataFrame:
 def cash_amounts(weights: DataFrame, total: float, order: str = "ord", by: Sequence[str] = ()) -> DataFrame:
     """``amount``: whole dollars in proportion to ``weight`` that add up to the total exactly.
 
-    Leftover dollars go to the largest fractions, then by ``order``. One group of weights is one portfolio.
+    Leftover dollars go to the largest fractions, then by ``order``. One group of weights is one portfolio: its
+    sums are aggregates, and the places of its fractions are taken over ranges of all rows, so no group is
+    one task.
     """
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    df = weights.withColumn("all", F.sum("weight").over(w))
-    ok = (F.col("all") > 0) & (F.col("all") < float("inf")) & F.lit(total > 0)
-    df = df.withColumn("exact", F.when(ok, F.col("weight") / F.when(F.col("all") != 0, F.col("all")) * total).otherwise(0.0))
-    df = df.withColumn("whole", F.floor("exact"))
-    left = F.floor(F.lit(total) - F.sum("whole").over(w) + 0.5)
-    place = F.row_number().over(w.orderBy((F.col("exact") - F.col("whole")).desc(), F.col(order)))
-    df = df.withColumn("left", left).withColumn("place", place)
-    extra = F.when(ok & (F.col("place") <= F.col("left")), 1).otherwise(0)
-    return df.withColumn("amount", (F.col("whole") + extra).cast("long")).drop("all", "exact", "whole", "left", "place")
+    mine, all_, exact, whole, left, place, first = free_names(weights, "_of", "_all", "_exact", "_whole", "_left", "_place", "_first")
+    # A group is one value, equal for nulls too; it goes first in the order of the rows.
+    df = weights.withColumn(mine, F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")))
+    joined = lambda rows, sums: rows.join(sums.withColumnRenamed(mine, "_same"), F.col(mine).eqNullSafe(F.col("_same")), "left").drop("_same")
+    df = joined(df, df.groupBy(mine).agg(F.sum("weight").alias(all_)))
+    ok = (F.col(all_) > 0) & (F.col(all_) < float("inf")) & F.lit(total > 0)
+    df = df.withColumn(exact, F.when(ok, F.col("weight") / F.when(F.col(all_) != 0, F.col(all_)) * total).otherwise(0.0)).withColumn(whole, F.floor(exact))
+    df = numbered(df, [F.col(mine), (F.col(exact) - F.col(whole)).desc(), F.col(order)], place)
+    sums = df.groupBy(mine).agg(F.floor(F.lit(total) - F.sum(whole) + 0.5).alias(left), F.min(place).alias(first))
+    df = joined(df, sums)
+    extra = F.when(ok & (F.col(place) - F.col(first) < F.col(left)), 1).otherwise(0)
+    return df.withColumn("amount", (F.col(whole) + extra).cast("long")).drop(mine, all_, exact, whole, left, place, first)
 
 
 def viewport(ranked_rows: DataFrame, first: int, shown: int, overscan: int = OVERSCAN) -> DataFrame:
