@@ -91,7 +91,7 @@ def ranked_by(df: DataFrame, values: Sequence[tuple[str, Column, bool]], salt: s
     buckets, ties = free_names(df, *[f"_b{i}" for i in range(len(keys))]), free_names(df, *[f"_t{i}" for i in range(len(keys))])
     placed = keyed
     for k, b, t, own in zip(keys, buckets, ties, cuts, strict=True):
-        placed = _bucketed(placed, k, b, [c for c, _ in own])
+        placed = bucketed(placed, k, b, [c for c, _ in own])
         often = local_table(spark, {b: pa.array(range(len(own) + 1), pa.int32()), t: pa.array([0] + [m if m > 1 else 0 for _, m in own], pa.int32())})
         low = local_table(spark, {b: pa.array(range(len(own) + 1), pa.int32()), f"{b}_low": pa.array([None] + [c for c, _ in own], pa.float64())})
         placed = placed.join(often.join(low, b), b, "left")
@@ -116,7 +116,7 @@ def ranked_by(df: DataFrame, values: Sequence[tuple[str, Column, bool]], salt: s
     return out.select(*[c for c in df.columns if c not in {v[0] for v in values}], *[v[0] for v in values])
 
 
-def _bucketed(df: DataFrame, key: str, name: str, cuts: list[float]) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, cuts: list[float]) -> DataFrame:
     """``df`` with the range of ``key``: how many of the ascending cuts are at or below it."""
     if not cuts:
         return df.withColumn(name, F.lit(0))

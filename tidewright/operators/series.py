@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.asof import FORWARD, asof
 from tidewright.schema import TOLERANCE
 from tidewright.scratch import local_table
 
@@ -107,16 +108,9 @@ def next_days(spark: SparkSession, dates: Sequence[dt.date]) -> DataFrame:
 
 
 def index_at_or_after(dates: DataFrame, cal: DataFrame) -> DataFrame:
-    """(date, idx) for distinct ``dates``: the first calendar day on or after each; no row past the end.
-
-    A union in date order with the next calendar index below each row, by window, instead of a
-    range join; as long as the calendar and the distinct dates.
-    """
-    marked = cal.select("date", "idx").unionByName(dates.select("date").distinct().withColumn("idx", F.lit(None).cast("int")))
-    # A calendar row sorts with the dates equal to it; min over the same or later rows is order-free.
-    w = Window.orderBy("date").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = marked.withColumn("at", F.min("idx").over(w)).where(F.col("idx").isNull() & F.col("at").isNotNull())
-    return filled.select("date", F.col("at").alias("idx")).distinct()
+    """(date, idx) for distinct ``dates``: the first calendar day on or after each; no row past the end."""
+    found = asof(dates.select("date").distinct(), cal.select("date", "idx"), "date", direction=FORWARD)
+    return found.where(F.col("match").isNotNull()).select("date", F.col("match.idx").alias("idx"))
 
 
 def with_sliding_max(panel: DataFrame, value: str, lookback: int, name: str, key: str = "id") -> DataFrame:

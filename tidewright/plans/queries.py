@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import formats, registry, text
 from tidewright.operators import earnings, groups, measures, membership, merge, portfolio, ranking, regime, series, validation
+from tidewright.operators.asof import BACKWARD, FORWARD, asof
 from tidewright.operators.universe import Aligned, align, dated, excluded, records
 from tidewright.plans import oracle as sql
 from tidewright.plans.oracle import r6
@@ -105,6 +106,22 @@ def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.index_at_or_after(dates, m.cal)
 
 
+def _events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return adapters.read(spark, sf_dir, "events").where(F.col("event_type").isin(*kinds)).select("user_id", "ts", "event_id", "value")
+
+
+def events_view_before_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the last view of its user at or before it."""
+    found = asof(_events(spark, sf_dir, "click"), _events(spark, sf_dir, "view"), "ts", ["user_id"], BACKWARD, ["event_id"])
+    return found.select("event_id", F.col("match.event_id").alias("view_id"), F.col("match.value").alias("view_value"))
+
+
+def events_error_after_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each view with the first error of any user in the six hours from it on."""
+    found = asof(_events(spark, sf_dir, "view"), _events(spark, sf_dir, "error"), "ts", (), FORWARD, ["event_id"], 6 * 3600 * 1_000_000)
+    return found.select("event_id", F.col("match.event_id").alias("error_id"))
+
+
 def gap_islands(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
     found = series.gap_segments(model(spark, sf_dir, thin).panel)
     return found.groupBy("id", "segment_no").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("points")).where("points >= 2")
@@ -570,6 +587,10 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "calendar_orphans": (calendar_orphans, f"{_P} select id, count(*) as orphans from obs where date not in (select date from cal where idx % 2 = 0) group by 1"),
     "forward_index": (forward_index, f"{_P} select d.date, min(idx) as idx from (select distinct o_orderdate::date as date from orders) d join cal on cal.date >= d.date group by 1"),
     "gap_islands": (gap_islands, _ISLANDS),
+    "events_view_before_click": (events_view_before_click, """select c.event_id, v.event_id as view_id, v.value as view_value
+        from (select * from events where event_type = 'click') c asof left join (select * from events where event_type = 'view') v on v.user_id = c.user_id and v.ts <= c.ts"""),
+    "events_error_after_view": (events_error_after_view, """select v.event_id, case when e.ts - v.ts <= interval 6 hour then e.event_id end as error_id
+        from (select * from events where event_type = 'view') v asof left join (select * from events where event_type = 'error') e on e.ts >= v.ts"""),
     "horizon_tail": (horizon_tail, f"{_P} select id, idx, floor(close * 1e4 + 0.5) / 1e4 as close from panel cross join size where idx >= anchor - 63 and close is not null"),
     "universe_prior_cap": (lambda s, d: universe(s, d).select("id", "market_cap", "prior_market_cap"), f"{_U} select id, market_cap, prior_market_cap from uni"),
     **{f"screen_{m.id.replace('-', '_').lower()}": _screen(ranking.Screen(m.id)) for m in registry.ALL},
