@@ -21,6 +21,7 @@ from tidewright.scratch import kept, local_table, new_path
 from tidewright.sources import adapters, readers
 from tidewright.sources.sinks import rounded, rounded_frame
 from tidewright.sources.stores import PriceStore
+from tidewright.streaming import rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +123,18 @@ def events_error_after_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.col("match.event_id").alias("error_id"))
 
 
+def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of closes of their users, some files a micro-batch: the view of every user after the last one."""
+    events = adapters.read(spark, sf_dir, "events")
+    points = events.select(F.col("user_id").alias("id"), F.to_date("ts").alias("date"), F.col("value").alias("close"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    source = new_path(spark, "points")
+    points.repartition(4).write.parquet(source)
+    arriving = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    out = new_path(spark, "rolling")
+    rolling.run_to_end(spark, rolling.rolling_stream(arriving, 90, "60 days"), out, new_path(spark, "rolling-checkpoint"))
+    return rounded_frame(rolling.latest(spark.read.parquet(out).drop("run")))
+
+
 def gap_islands(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
     found = series.gap_segments(model(spark, sf_dir, thin).panel)
     return found.groupBy("id", "segment_no").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("points")).where("points >= 2")
@@ -587,6 +600,10 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "calendar_orphans": (calendar_orphans, f"{_P} select id, count(*) as orphans from obs where date not in (select date from cal where idx % 2 = 0) group by 1"),
     "forward_index": (forward_index, f"{_P} select d.date, min(idx) as idx from (select distinct o_orderdate::date as date from orders) d join cal on cal.date >= d.date group by 1"),
     "gap_islands": (gap_islands, _ISLANDS),
+    "stream_rolling": (stream_rolling, f"""with d as (select user_id as id, ts::date as date, arg_max(value, event_id) as close from events group by 1, 2),
+        r as (select *, row_number() over (partition by id order by date desc) as k from d)
+        select id, count(*) as days, max(date) as last_date, {r6('max(case when k = 1 then close end)')} as last_close, {r6('max(case when k <= 6 then close end)')} as high,
+          {r6("regr_slope(close, date - date '2000-01-01')")} as slope from r group by 1"""),
     "events_view_before_click": (events_view_before_click, """select c.event_id, v.event_id as view_id, v.value as view_value
         from (select * from events where event_type = 'click') c asof left join (select * from events where event_type = 'view') v on v.user_id = c.user_id and v.ts <= c.ts"""),
     "events_error_after_view": (events_error_after_view, """select v.event_id, case when e.ts - v.ts <= interval 6 hour then e.event_id end as error_id
