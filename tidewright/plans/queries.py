@@ -18,7 +18,7 @@ from tidewright.plans import oracle as sql
 from tidewright.plans.oracle import r6
 from tidewright.schema import MAX_HOLDINGS, RANK_WINDOWS, WINDOWS, slug
 from tidewright.scratch import kept, local_table, new_path
-from tidewright.sources import adapters, readers
+from tidewright.sources import adapters, catalog, readers, sinks
 from tidewright.sources.sinks import rounded, rounded_frame
 from tidewright.sources.stores import PriceStore
 from tidewright.streaming import rolling
@@ -483,6 +483,35 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cache(spark, sf_dir).read([5, 11, 12, 10_000_000]).where(F.col("date") >= F.lit(RETAIN)).select("id", "date", rounded(F.col("close")).alias("close"))
 
 
+def sql_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked in SQL over the cache: where each id's last close lies in its range of two years."""
+    catalog.register(spark, _cache(spark, sf_dir), prefix="cached_")
+    found = spark.sql("""select id, count(*) as days, range_position(max_by(close, date), min(close), max(close)) as position
+        from cached_closes where date >= date'1997-01-01' group by id""")
+    return rounded_frame(found)
+
+
+def sql_one_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked in SQL for one series of the published panel: one partition is opened."""
+    _site(spark, sf_dir, "one_")
+    return spark.sql("select id, idx, close from one_series_of(7L)")
+
+
+def _site(spark: SparkSession, sf_dir: str, prefix: str) -> None:
+    """The panel, published and registered."""
+    m = model(spark, sf_dir, thin=True)
+    site = new_path(spark, "site")
+    columns = {"calendar_days": pa.array([len(m.dates)])}
+    sinks.publish(m.members.select("id", "segment"), m.panel, local_table(spark, columns), site)
+    catalog.register(spark, site=site, prefix=prefix)
+
+
+def published_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked in SQL over the published panel: from each id's first close on, at four digits."""
+    _site(spark, sf_dir, "site_")
+    return spark.sql("select s.id, u.segment, s.idx, s.close from site_series s join site_universe u on u.id = s.id")
+
+
 def rank_12_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the 12-1 ranking of all securities, with moves against a quarter before."""
     found = ranking.screen(universe(spark, sf_dir), ranking.Screen())
@@ -515,6 +544,10 @@ _MERGE = """
 with daily as (select l_suppkey as id, l_shipdate::date as date, max(l_extendedprice / l_quantity) as close from lineitem group by 1, 2),
 cached as (select * from daily where date < date '1999-01-01'),
 fetched as (select id, date, close * 2 as close from daily where date >= date '1999-01-01' - 30)"""
+_PUBLISHED = sql.thinned(f"""{_P}, f as (select id, min(idx) as first from panel where close is not null group by id)
+  select p.id, segment, p.idx, floor(close * 1e4 + 0.5) / 1e4 as close from panel p join f using (id) join members m on m.id = p.id where p.idx >= first""", THINNED_SQL)
+_RAW_CACHE = f"""{_MERGE} select id, date, coalesce(f.close, c.close) as close
+  from cached c full join (select * from fetched where id % 5 = 0) f using (id, date) where id % 11 <> 0"""
 _CACHE = f"""{_MERGE} select id, date, {r6('coalesce(f.close, c.close)')} as close
   from cached c full join (select * from fetched where id % 5 = 0) f using (id, date) where date >= date '1996-01-01' and id % 11 <> 0"""
 _CONFLICTS = """
@@ -655,6 +688,10 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "merge_first_wins": (merge_first_wins, f"{_MERGE} select id, date, {r6('coalesce(c.close, f.close)')} as close from cached c full join fetched f using (id, date) where date >= date '1996-01-01'"),
     "cache_merge": (cache_merge, _CACHE),
     "cache_lookup": (cache_lookup, f"select * from ({_CACHE}) where id in (5, 11, 12, 10000000)"),
+    "sql_ranges": (sql_ranges, f"""select id, count(*) as days, {r6('case when max(close) > min(close) then (arg_max(close, date) - min(close)) / (max(close) - min(close)) * 100 end')} as position
+        from (select id, date, close from ({_RAW_CACHE})) where date >= date '1997-01-01' group by id"""),
+    "sql_one_id": (sql_one_id, f"select id, idx, close from ({_PUBLISHED}) where id = 7"),
+    "published_series": (published_series, _PUBLISHED),
     "fetch_bounds": (fetch_bounds, f"{_MERGE} select id, greatest(max(date) - 7, date '1998-12-28')::date as fetch_from from cached group by 1"),
     "merge_last_of_repeats": (merge_last_of_repeats, f"""{_REPEATS}, f as (select id, date, arg_max(close, seq) as close from fetched group by 1, 2)
         select id, date, {r6('coalesce(f.close, c.close)')} as close from cached c full join f using (id, date) where date >= date '1996-01-01'"""),

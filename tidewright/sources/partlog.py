@@ -115,6 +115,18 @@ class State:
         return bits, found
 
 
+def loaded(names: Sequence[str], text: Callable[[str], str]) -> State:
+    """The version that a log's files, sorted by name, add up to: the last checkpoint and what came after it."""
+    s = State()
+    whole = [n for n in names if n.endswith(".state") and not n.startswith(".")]
+    if whole:
+        s.apply(json.loads(text(whole[-1])))
+    for n in names:
+        if n.endswith(".delta") and not n.startswith(".") and int(n[:-6]) > s.version:
+            s.apply(json.loads(text(n)))
+    return s
+
+
 def leading(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits) if bits else F.lit(0).cast("long")
 
@@ -147,19 +159,11 @@ class PartTable:
 
     def deltas(self, after: int) -> list[dict]:
         """The commits after a version, in order."""
-        return [json.loads(self._text(n)) for n in self._names() if n.endswith(".delta") and int(n[:-6]) > after]
+        return [json.loads(self._text(n)) for n in self._names() if n.endswith(".delta") and not n.startswith(".") and int(n[:-6]) > after]
 
     def state(self) -> State:
-        """The current version: the last checkpoint and what came after it. An empty table has version 0."""
-        names = self._names()
-        whole = [n for n in names if n.endswith(".state")]
-        s = State()
-        if whole:
-            s.apply(json.loads(self._text(whole[-1])))
-        for n in names:
-            if n.endswith(".delta") and int(n[:-6]) > s.version:
-                s.apply(json.loads(self._text(n)))
-        return s
+        """The current version. An empty table has version 0."""
+        return loaded(self._names(), self._text)
 
     def exists(self) -> bool:
         return bool(self._names())

@@ -133,6 +133,14 @@ def dataset(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.json(f"{at}/manifest"), spark.read.parquet(f"{at}/universe")
 
 
+def all_series(spark: SparkSession, root: str) -> DataFrame:
+    """Every series of the version that the pointer names, with the partition of its id."""
+    at = stores.current(spark, root)
+    if at is None:
+        raise FileNotFoundError(root)
+    return spark.read.parquet(f"{at}/series")
+
+
 def series(spark: SparkSession, root: str, ids: Sequence | DataFrame) -> DataFrame:
     """The series of some ids; unknown ids have no rows.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewright.operators import merge
+from tidewright.sources.stores import PriceStore
 
 
 def first_wins_stream(events: DataFrame, keys: tuple[str, ...] = ("id", "date"), time: str = "ts", late: str = "220 days") -> DataFrame:
@@ -26,3 +27,12 @@ def last_wins_stream(points: DataFrame, read: Callable[[], DataFrame], write: Ca
         write(merge.last_wins(read(), batch, retain_from))
 
     return points.writeStream.foreachBatch(swap).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cache_stream(points: DataFrame, store: PriceStore, retain_from: dt.date, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of (id, date, close) merged into a cache: only the parts of its ids are rewritten, and a replay changes nothing."""
+
+    def merged(batch: DataFrame, _: int) -> None:
+        store.merge(batch, retain_from)
+
+    return points.writeStream.foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
