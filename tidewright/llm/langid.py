@@ -33,7 +33,7 @@ from tidewright.scratch import local_table
 ROWS_PER_LANGUAGE = 800
 #: With many languages each gets fewer, so that the driver holds about so many rows in all, but never fewer than LEAST_ROWS.
 ROWS_IN_ALL, LEAST_ROWS = 12_000, 3
-#: Longer texts are not learned from, which bounds the sample's bytes; they are predicted whole like all.
+#: Of a longer text a stretch of this many characters, at a hashed place, is learned from, which bounds the sample's bytes; it is predicted whole like all.
 TRAIN_CHARS = 20_000
 GRAMS = (2, 3)
 BUCKETS = 1 << 15
@@ -172,9 +172,9 @@ def fold(key: str, folds: int = 3) -> F.Column:
 def sample(docs: DataFrame, key: str, text: str, lang: str, rows: int) -> DataFrame:
     """(key, text, lang): a bounded sample of each language from the rows learned from.
 
-    Counts per language give each its share; a hash of key and text decides which rows are read.
+    Counts per language, over all its rows, give each its share; a hash of key and text decides which rows are read.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 1) & (F.char_length(text) <= TRAIN_CHARS))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 1))
     fit = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = fit.groupBy("lang").count().collect()  # one row a class
     if not sizes:
@@ -182,7 +182,10 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, rows: int) -> DataFr
     rows = max(LEAST_ROWS, min(rows, ROWS_IN_ALL // len(sizes)))
     shares = local_table(docs.sparkSession, {"lang": pa.array([r["lang"] for r in sizes]), "share": pa.array([min(1.0, rows / r["count"]) for r in sizes])})
     u = F.pmod(F.xxhash64(F.lit("langid"), F.col("key"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return fit.join(shares, "lang").where(u < F.col("share")).select("key", "text", "lang").limit(2 * rows * len(sizes))
+    over = F.greatest(F.char_length("text") - TRAIN_CHARS, F.lit(0))
+    start = F.pmod(F.xxhash64(F.lit("stretch"), F.col("key")), over + 1).cast("int") + 1
+    learned = F.when(over > 0, F.substring("text", start, F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
+    return fit.join(shares, "lang").where(u < F.col("share")).select("key", learned.alias("text"), "lang").limit(2 * rows * len(sizes))
 
 
 def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
