@@ -5,8 +5,9 @@ document draws its count by inverting a Poisson distribution at a uniform number
 (seed, doc_id), is repeated that often, and all copies are shuffled globally by a second hash.
 The draw needs no state: any executor repeats it exactly.
 
-Defined cases: a null source is a source of its own; rows with the same doc_id (null too) share
-one draw and are each repeated by it; text is not read, only carried; sources without a weight
+Defined cases: a null source is a source of its own; rows with the same doc_id share one draw and
+are each repeated by it; rows without one draw by their text, so only equal texts share; else text is
+not read, only carried; sources without a weight
 are dropped, weights without rows are ignored; an empty table gives an empty result. Columns of
 the input are all carried, but for one that has the name of an added column: the added one takes its
 place.
@@ -19,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import free_prefix, partitions
+from tidewright.llm.common import free_prefix, partitions, text_of
 
 #: Production: shares in proportion to size ** ALPHA, as many documents in all as came in.
 ALPHA = 0.5
@@ -83,6 +84,7 @@ def mixed(
     seed: str = SEED,
     copy_col: str | None = None,
     order_col: str | None = None,
+    text: str = "text",
 ) -> DataFrame:
     """``docs`` with every row repeated by its draw, shuffled globally.
 
@@ -94,11 +96,12 @@ def mixed(
     # Sources are few; their number is checked before they are sent everywhere.
     few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     at = docs.join(F.broadcast(per) if few else per, F.col(source).eqNullSafe(F.col(f"{p}source")))
-    times = poisson_count(F.col(f"{p}rate"), F.coalesce(F.col(key).cast("string"), F.lit("null")), seed)
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.md5(text_of(text))))
+    times = poisson_count(F.col(f"{p}rate"), name, seed)
     drawn = at.withColumn(f"{p}times", times)
     numbers = F.expr(f"if({p}times > 0, sequence(1L, {p}times), cast(array() as array<bigint>))")
     copies = drawn.withColumn(f"{p}copy", F.explode(numbers))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(f"{p}copy"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(f"{p}copy"), name))
     copies = copies.withColumn(f"{p}order", order)
     # A hash of the shuffle key deals copies over all partitions; within each they are sorted by it.
     dealt = copies.repartition(partitions(docs.sparkSession), F.col(f"{p}order")).sortWithinPartitions(f"{p}order")
@@ -118,7 +121,7 @@ parts as (
 draws as (
   select * exclude (rate), rate / n_parts as part_rate,
     list_transform(range(1, n_parts + 1), lambda i:
-      ('0x' || substr(md5('{SEED}:' || i::varchar || ':' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0) as us
+      ('0x' || substr(md5('{SEED}:' || i::varchar || ':' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))), 1, 13))::bigint::double / 4503599627370496.0) as us
   from parts),
 counted as (
   select * exclude (us), list_sum(list_transform(us, lambda u:
@@ -127,6 +130,6 @@ counted as (
            else {{'p': acc.p * part_rate / i, 'cdf': acc.cdf + acc.p * part_rate / i, 'k': acc.k + 1}} end,
       {{'p': exp(-part_rate), 'cdf': exp(-part_rate), 'k': 0}}).k)) as times
   from draws)
-select doc_id, text, lang, source, n_chars, copy, md5('{SEED}:order:' || copy::varchar || ':' || coalesce(doc_id::varchar, 'null')) as shuffle_key
+select doc_id, text, lang, source, n_chars, copy, md5('{SEED}:order:' || copy::varchar || ':' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))) as shuffle_key
 from (select *, unnest(range(1, times::bigint + 1)) as copy from counted)
 """
