@@ -239,3 +239,10 @@ def test_format_columns_equal_the_scalars(spark):
     for r in rows:
         for n in pairs:
             assert r[n] == getattr(formats, n)(values[r["k"]]), (n, values[r["k"]])
+
+
+def test_rows_without_a_company_name_are_companies_of_their_own(spark):
+    rows = [("A", None, 5, 0, 1.0), ("B", None, 5, 0, 2.0), ("C", "The Company", 5, 0, 1.0), ("D", "Holdings, Inc.", 5, 0, 1.0), ("E", "Acme Inc.", 5, 0, 1.0), ("F", "Acme Corp", 5, 0, 2.0)]
+    df = spark.createDataFrame(rows, "ticker string, name string, observations long, staleness int, market_cap double")
+    got = {r["ticker"]: r["reason"] for r in membership.share_classes(df).collect()}
+    assert got == {"A": None, "B": None, "C": None, "D": None, "E": "same-company:F", "F": None}

@@ -43,9 +43,11 @@ def share_classes(members: DataFrame) -> DataFrame:
     """``members`` (ticker, name, observations, staleness, market_cap) with ``reason`` where one is left out.
 
     Of the live rows of one company stays the freshest, then that with most closes, then the most
-    valuable, then the first ticker; the others are same-company:ticker.
+    valuable, then the first ticker; the others are same-company:ticker. A row without a name, or with words of
+    legal forms only, is a company of its own.
     """
-    marked = liveness(members).withColumn("company", company_key(F.col("name")))
+    key = company_key(F.col("name"))
+    marked = liveness(members).withColumn("company", F.struct(F.when(key != "", key).alias("name"), F.when(F.coalesce(key, F.lit("")) == "", F.col("ticker")).alias("ticker")))
     live = F.col("reason").isNull()
     w = Window.partitionBy("company", live).orderBy(
         "staleness", F.col("observations").desc(), F.coalesce("market_cap", F.lit(0.0)).desc(), "ticker"

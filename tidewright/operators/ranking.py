@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.registry import Metric, metric
 from tidewright.operators.ordered import finite, free_names, numbered, ranked_by
 from tidewright.schema import GICS_SECTORS
-from tidewright.scratch import kept
+from tidewright.scratch import kept, local_table
 
 #: Rows beside the visible ones.
 OVERSCAN = 8
@@ -107,8 +108,7 @@ def leaders(universe: DataFrame, a: str = "ret_12_1", b: str = "ret_6_1") -> Dat
 
 def empty_slots(universe: DataFrame, segments: Sequence[str], sectors: Sequence[str] = GICS_SECTORS, a: str = "ret_12_1", b: str = "ret_6_1") -> DataFrame:
     """(segment, sector) of the grid without a candidate."""
-    spark = universe.sparkSession
-    grid = spark.createDataFrame([(s, t) for s in segments for t in sectors], "segment string, sector string")
+    grid = local_table(universe.sparkSession, {"segment": pa.array([s for s in segments for _ in sectors], pa.string()), "sector": pa.array([t for _ in segments for t in sectors], pa.string())})
     have = universe.where(finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull()).select("segment", "sector").distinct()
     return grid.join(have, ["segment", "sector"], "left_anti")
 
@@ -148,5 +148,5 @@ def viewport(ranked_rows: DataFrame, first: int, shown: int, overscan: int = OVE
 
 def in_list_order(universe: DataFrame, ids: Sequence) -> DataFrame:
     """The rows of ``ids`` with their place in the list; unknown ids are dropped."""
-    places = universe.sparkSession.createDataFrame(list(enumerate(ids)), f"place int, id {universe.schema['id'].dataType.simpleString()}")
-    return places.join(universe, "id").orderBy("place")
+    places = local_table(universe.sparkSession, {"place": pa.array(range(len(ids)), pa.int32()), "id": pa.array(list(ids), None if len(ids) else pa.string())})
+    return places.withColumn("id", F.col("id").cast(universe.schema["id"].dataType)).join(universe, "id").orderBy("place")

@@ -175,3 +175,8 @@ def thinned(query: str, keep: str) -> str:
     whole = "obs as (select id, date, paid::double / quantity::double as close from weekly)"
     assert query.count(whole) == 1
     return query.replace(whole, f"{whole[:-1]} where {keep})")
+
+
+def digits(size: str, places: int) -> str:
+    """Fixed-point digits of a value of zero or more, halves up; ties are odd multiples of a power of two."""
+    return f"printf('%.{places}f', case when ({size}) * {2 ** (places + 1)} % 2 = 1 then ({size}) + {10.0 ** -(places + 2)} else ({size}) end)"

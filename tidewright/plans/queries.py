@@ -15,6 +15,7 @@ from tidewright.operators import earnings, groups, measures, membership, merge,
 from tidewright.operators.asof import BACKWARD, FORWARD, asof
 from tidewright.operators.universe import Aligned, align, dated, excluded, records
 from tidewright.plans import oracle as sql
+from tidewright.plans import provider_queries
 from tidewright.plans.oracle import r6
 from tidewright.schema import MAX_HOLDINGS, RANK_WINDOWS, WINDOWS, slug
 from tidewright.scratch import kept, local_table, new_path
@@ -385,14 +386,9 @@ def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", text.company_key(F.concat(F.lit("The "), F.col("c_mktsegment"), F.lit(" Co., Ltd. (Class B)"))).alias("company"))
 
 
-#: Labels as providers write them.
-LABELS = (" Technology ", "Basic Materials", "ENERGY", "Crypto", "Real Estate")
-
-
 def canonical_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sectors of parts whose labels are written as providers do; every sixth has none."""
-    label = F.get(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") % 6).cast("int"))
-    return adapters.read(spark, sf_dir, "part").select("p_partkey", text.sector(label).alias("sector"))
+    return adapters.read(spark, sf_dir, "part").select("p_partkey", text.sector(provider_queries.label("p_partkey")).alias("sector"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,17 +566,12 @@ _PLAIN = f"""(select coalesce(string_agg(case when regexp_full_match(p, '&#\\d+;
   from (select p, k, try_cast(regexp_extract(p, '&#(\\d+);', 1) as bigint) as n from (select unnest(ps) as p, generate_subscripts(ps, 1) as k from (select {_NUMBERS} as ps from (select {_PLAIN} as t)))))"""
 
 
-def _digits(size: str, digits: int) -> str:
-    """Fixed-point digits of a value of zero or more, halves up; ties are odd multiples of a power of two."""
-    return f"printf('%.{digits}f', case when ({size}) * {2 ** (digits + 1)} % 2 = 1 then ({size}) + {10.0 ** -(digits + 2)} else ({size}) end)"
-
-
 def _shown(value: str, digits: int, minus: str, plus: str, unit: str) -> str:
-    return f"case when {value} is null then '—' else case when {value} < 0 then '{minus}' else '{plus}' end || {_digits(f'abs({value})', digits)} || '{unit}' end"
+    return f"case when {value} is null then '—' else case when {value} < 0 then '{minus}' else '{plus}' end || {sql.digits(f'abs({value})', digits)} || '{unit}' end"
 
 
 def _cap(value: str) -> str:
-    steps = [(f"{value} >= {low}", _digits(f"({value}) / {unit}", digits), letter) for low, unit, digits, letter in ((1e12, 1e12, 2, "T"), (1e11, 1e9, 0, "B"), (1e9, 1e9, 1, "B"), (0, 1e6, 0, "M"))]
+    steps = [(f"{value} >= {low}", sql.digits(f"({value}) / {unit}", digits), letter) for low, unit, digits, letter in ((1e12, 1e12, 2, "T"), (1e11, 1e9, 0, "B"), (1e9, 1e9, 1, "B"), (0, 1e6, 0, "M"))]
     return f"case when {value} is null or {value} <= 0 then '—' " + " ".join(f"when {test} then '$' || {text_} || '{letter}'" for test, text_, letter in steps) + " end"
 
 
@@ -733,6 +724,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "page_text": (page_text, f"select page_id, md5(regexp_replace(regexp_replace({_PLAIN}, '^[\\s\\x{{a0}}]+', ''), '[\\s\\x{{a0}}]+$', '')) as text_md5 from pages"),
     "formatted": (formatted, f"{_U} select id, {_shown('ret_12_1 * 100', 1, '−', '+', '%')} as ret, {_shown('beta', 2, '-', '', '')} as beta, {_cap('market_cap')} as cap, {_cap('market_cap * 1e8')} as cap_of_bonds from uni"),
 }
+ENTRIES |= provider_queries.entries(universe)
 #: The portfolio's queries under the names that they had when the plain ones held some of the brands.
 PORTFOLIO = ["sync_days", "correlation_pairs", "correlation_matrix", "avg_correlation", "covariance_pairs", "shrunk_covariance", "correlation_distance", "alloc_equal", "alloc_inverse_vol", "alloc_hrp", "alloc_capped"]
 ENTRIES |= {f"{name}_all_brands": ENTRIES[name] for name in PORTFOLIO}
