@@ -41,10 +41,17 @@ SHINGLES_AT_ONCE = 1 << 16
 GROUP_SHINGLE, GROUP_SIMILARITY = 5, 0.8
 #: Independent word fingerprints with tables: a pair is lost only if it is too far apart in each.
 WORD_PRINTS, WORD_RADIUS, WORD_APART = 2, 6, 12
-#: Bits of the wide fingerprint by which a link is decided, in longs of 64.
+#: Bits of the wide fingerprint by which links are ordered and found, in longs of 64.
 WIDE = 16
-#: Standard deviations of the wide estimate that a pair may fall short of the similarity.
-MARGIN = 2.0
+#: Standard deviations of the wide estimate: a pair that falls short of the similarity by more is no link, one
+#: that is above it by more than SURE is one, and the shingle sets decide the others.
+MARGIN, SURE = 3.0, 4.0
+#: Edge-disjoint spanning forests of links that a bucket gives to that decision.
+FORESTS = 3
+#: Links of a bucket held before all but those of its forests are let go.
+LINKS_AT_ONCE = 1 << 20
+#: Links, nearest first, that are tried between two looks at what the forests join.
+LINKS_AT_A_LOOK = 1 << 12
 #: Rows of whole buckets that a task compares at a time; a bucket with more is taken alone.
 ROWS_AT_ONCE = 1 << 18
 
@@ -142,11 +149,62 @@ class Forest:
             x = self.up[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """Whether the link joined two trees."""
         x, y = self.root(a), self.root(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        self.links.append((a, b))
+        return True
+
+    def roots(self) -> np.ndarray:
+        """The root of every node."""
+        up = np.array(self.up)
+        while not np.array_equal(up[up], up):
+            up = up[up]
+        return up
+
+
+class NearestForests:
+    """FORESTS edge-disjoint spanning forests of the links among 0..n-1, nearest links first.
+
+    At most FORESTS links a node. If a later test refuses some links, what linked rows it leaves apart
+    lie on two sides of a cut over which FORESTS or more refused links are nearer than any true one.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.n, self.held, self.size = n, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        self.held.append((np.minimum(a, b), np.maximum(a, b), apart))
+        self.size += len(a)
+        if self.size > LINKS_AT_ONCE:
+            self.held = [self.links()]
+            self.size = len(self.held[0][0])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        a, b, apart = (np.concatenate([none, *x]).astype(np.int64) for x in (zip(*self.held, strict=True) if self.held else ((), (), ())))
+        once = np.unique(a * self.n + b, return_index=True)[1]
+        nearest = once[np.argsort(apart[once], kind="stable")]
+        forests = [Forest(self.n) for _ in range(FORESTS)]
+        taken = []
+        for i in range(0, len(nearest), LINKS_AT_A_LOOK):
+            some = nearest[i : i + LINKS_AT_A_LOOK]
+            # What the last forest joins, all do.
+            last = forests[-1].roots()
+            some = some[last[a[some]] != last[b[some]]]
+            taken += [j for j, x, y in zip(some.tolist(), a[some].tolist(), b[some].tolist(), strict=True) if any(f.join(x, y) for f in forests)]
+        return a[taken], b[taken], apart[taken]
+
+
+def wide_bits(fps: np.ndarray, first: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the wide fingerprint, the columns of fps from ``first`` on."""
+    apart = np.zeros(len(a), np.uint16)
+    for k in range(first, fps.shape[1]):
+        apart += np.bitwise_count(fps[a, k] ^ fps[b, k])
+    return apart
 
 
 def _linked(fps: np.ndarray, limits: list[int], a: np.ndarray, b: np.ndarray, wide_apart: int = 0) -> np.ndarray:
@@ -160,11 +218,7 @@ def _linked(fps: np.ndarray, limits: list[int], a: np.ndarray, b: np.ndarray, wi
         ok &= np.bitwise_count(fps[a, k] ^ fps[b, k]) <= most
     if fps.shape[1] > len(limits):
         at = np.nonzero(ok)
-        x, y = a[at], b[at]
-        apart = np.zeros(len(x), np.uint16)
-        for k in range(len(limits), fps.shape[1]):
-            apart += np.bitwise_count(fps[x, k] ^ fps[y, k])
-        ok[at] = apart <= wide_apart
+        ok[at] = wide_bits(fps, len(limits), a[at], b[at]) <= wide_apart
     return ok
 
 
@@ -196,13 +250,21 @@ def linked_pairs(fps: np.ndarray, limits: list[int], rows: np.ndarray, wide_apar
                 yield from linked_pairs(fps, limits, group, wide_apart, depth + 1 if len(group) < len(rows) else 3)
 
 
-def join_links(fps: np.ndarray, limits: list[int], rows: np.ndarray, forest: Forest, wide_apart: int = 0) -> None:
+def join_links(fps: np.ndarray, limits: list[int], rows: np.ndarray, forest: Forest) -> None:
     """Join all linked pairs among ``rows``."""
-    for left, right in linked_pairs(fps, limits, rows, wide_apart):
+    for left, right in linked_pairs(fps, limits, rows):
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
             forest.join(a, b)
 
 
+def before(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether row a comes before row b in the order of the columns."""
+    low = np.zeros(len(a), bool)
+    for k in range(fps.shape[1] - 1, -1, -1):
+        low = (fps[a, k] < fps[b, k]) | ((fps[a, k] == fps[b, k]) & low)
+    return low
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order that brings equal keys together, and where each group of them starts and ends in it."""
     order = np.argsort(keys, kind="stable")
@@ -210,21 +272,32 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
 
 
-def bucket_edges(keys: np.ndarray, fps: np.ndarray, limits: list[int], wide_apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) that join what is linked within each group of equal keys."""
+def bucket_edges(keys: np.ndarray, fps: np.ndarray, limits: list[int], wide_apart: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (a, b) that join what is linked within each group of equal keys, and their differing wide bits.
+
+    Without a wide fingerprint these are the links of one spanning forest, else of the nearest forests.
+    """
     order, starts, ends = _groups(keys)
-    fps, sizes = fps[order], ends - starts
+    fps, sizes, first = fps[order], ends - starts, len(limits)
     pair = starts[sizes == 2]
     pair = pair[_linked(fps, limits, pair, pair + 1, wide_apart)]
-    left, right = [pair], [pair + 1]
+    left, right, apart = [pair], [pair + 1], [wide_bits(fps, first, pair, pair + 1)]
     for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
-        forest = Forest(e - s)
-        join_links(fps[s:e], limits, np.arange(e - s), forest, wide_apart)
-        if forest.links:
-            a, b = np.array(forest.links).T
-            left.append(a + s)
-            right.append(b + s)
-    return order[np.concatenate(left)], order[np.concatenate(right)]
+        own = fps[s:e]
+        if fps.shape[1] > first:
+            near = NearestForests(e - s)
+            for x, y in linked_pairs(own, limits, np.arange(e - s), wide_apart):
+                near.add(x, y, wide_bits(own, first, x, y))
+            a, b, bits = near.links()
+        else:
+            forest = Forest(e - s)
+            join_links(own, limits, np.arange(e - s), forest)
+            a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
+            bits = np.zeros(len(a), np.uint16)
+        left.append(a + s)
+        right.append(b + s)
+        apart.append(bits)
+    return order[np.concatenate(left)], order[np.concatenate(right)], np.concatenate(apart)
 
 
 def bucket_mates(keys: np.ndarray, fps: np.ndarray, limits: list[int]) -> np.ndarray:
@@ -267,13 +340,14 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], rows: int | None = None) ->
 
 
 def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_apart: int = 0, prints: int = 1) -> DataFrame:
-    """(a0.., b0..) links among the distinct fingerprints fp0.. of ``nodes`` that join all linked ones.
+    """(a0.., b0.., apart) links among the distinct fingerprints fp0.. of ``nodes`` that join all linked ones.
 
     prints: the first so many fingerprints have tables. Buckets stream through a task in order of their key.
 
-    wide: linked ones also differ in ``wide_apart`` bits of the fingerprints w0.. at most. The forests
-    are made of links that all tests have decided. As eight longs more in every table would be most of
-    the exchange, they join only those rows that have a partner by the other fingerprints.
+    wide: linked ones also differ in ``wide_apart`` bits of the fingerprints w0.. at most, ``apart`` says in
+    how many, and several forests of the nearest links come, as a later test may refuse some. As so many
+    longs more in every table would be most of the exchange, they join only those rows that have a
+    partner by the other fingerprints.
     """
     names, more = [f"fp{i}" for i in range(len(limits))], [f"w{k}" for k in range(wide)]
     all_masks = np.array(masks(radius), np.uint64)
@@ -305,15 +379,18 @@ def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_buckets(batches):
             keys, fps = read(table, names + more)
-            a, b = bucket_edges(keys, fps, limits, wide_apart)
+            a, b, apart = bucket_edges(keys, fps, limits, wide_apart)
+            # A link that several tables find is one row.
+            low = before(fps[:, : len(names)], a, b)
+            a, b = np.where(low, a, b), np.where(low, b, a)
             cols = [pa.array(fps[side, k].view(np.int64)) for side in (a, b) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, [f"{s}{k}" for s in "ab" for k in range(len(names))])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(apart.astype(np.int32))], [*(f"{s}{k}" for s in "ab" for k in range(len(names))), "apart"])
 
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "key").sortWithinPartitions("key")
 
     kinds = ", ".join(f"{n} long" for n in names)
-    out = ", ".join(f"{s}{k} long" for s in "ab" for k in range(len(names)))
+    out = ", ".join(f"{s}{k} long" for s in "ab" for k in range(len(names))) + ", apart int"
     dealt = by_bucket(nodes.select(*names).mapInArrow(deal, f"key long, {kinds}"))
     if wide:
         near = kept(dealt.mapInArrow(mates, f"key long, {kinds}"), "mates")
@@ -321,17 +398,17 @@ def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_
     return dealt.mapInArrow(meet, out).distinct()
 
 
-def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, wide: int = 0, wide_apart: int = 0, tables: int = 1) -> DataFrame:
-    """(fp0.., first, component): distinct fingerprints with the least member of each, and their component.
-
-    wide: links must also differ in ``wide_apart`` bits of the wide fingerprints at most.
-    """
-    names, more = [f"fp{i}" for i in range(len(limits))], [f"w{k}" for k in range(wide)]
+def _nodes(prints: DataFrame, limits: list[int], members: Column, wide: int = 0) -> DataFrame:
+    """(fp0.., first, w0..): distinct fingerprints with the least member of each."""
+    names = [f"fp{i}" for i in range(len(limits))]
     # Texts of equal fingerprints are one node; of several wide fingerprints the least stands for them.
-    widest = [F.min(F.struct(*more)).alias("w")] if wide else []
+    widest = [F.min(F.struct(*[f"w{k}" for k in range(wide)])).alias("w")] if wide else []
     nodes = prints.groupBy(*names).agg(F.min(members).alias("first"), *widest).select(*names, "first", *(["w.*"] if wide else []))
-    nodes = kept(nodes, "nodes")
-    links = edges(nodes, limits, radius, wide, wide_apart, tables)
+    return kept(nodes, "nodes")
+
+
+def _classes(nodes: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
+    """(fp0.., first, component): nodes with their component."""
     pack = lambda s: F.struct(*[F.col(f"{s}{k}").alias(n) for k, n in enumerate(names)])
     groups = components(links.select(pack("a").alias("a"), pack("b").alias("b")), "a", "b")
     named = groups.select(*[F.col(f"node.{n}").alias(n) for n in names], "component")
@@ -340,10 +417,43 @@ def _nodes(prints: DataFrame, limits: list[int], radius: int, members: Column, w
     return kept(joined.withColumn("component", F.coalesce("component", own)), "classes")
 
 
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """The rows with ``shingles``, the hashes of the text's distinct shingles, for ``text``."""
+    names = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slim(batches, 100):
+            sets = [shingle_hashes((t.as_py() or "").encode().lower().split(), shingle, True).view(np.int64) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(sets, pa.list_(pa.int64()))], [*names, "shingles"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name in names)
+    return texts.mapInArrow(run, f"{kinds}, shingles array<bigint>")
+
+
+def decided(links: DataFrame, nodes: DataFrame, texts: DataFrame, names: list[str], shingle: int, similarity: float) -> DataFrame:
+    """The links (a0.., b0..) whose texts' sets of distinct shingles have that Jaccard similarity.
+
+    texts: (id, text), the nodes' ``first`` being an id. Only texts of nodes with a link are read into
+    sets; a link carries two of them through the joins, so nothing is ever held for a group.
+    """
+    ends = links.select(*[F.col(f"a{k}").alias(n) for k, n in enumerate(names)]).unionByName(links.select(*[F.col(f"b{k}").alias(n) for k, n in enumerate(names)]))
+    wanted = nodes.select(*names, F.col("first").alias("id")).join(ends.distinct(), names)
+    # Rows of equal id and text are one.
+    own = texts.join(wanted.hint("shuffle_hash"), "id").groupBy("id").agg(F.first("text").alias("text"), *[F.first(n).alias(n) for n in names])
+    sets = kept(shingle_sets(own.drop("id"), shingle), "sets")
+    side = lambda s: sets.select(*[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)], F.col("shingles").alias(f"s{s}"))
+    pairs = links.join(side("a"), [f"a{k}" for k in range(len(names))]).join(side("b"), [f"b{k}" for k in range(len(names))])
+    both = F.size(F.array_intersect("sa", "sb"))
+    # Two sets of integers: a share of whole numbers, with room for what 0.8 lacks as a double.
+    alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-6
+    return pairs.where(alike).select(*links.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(key, fingerprint, component_id): every row with the least key that its links reach."""
     prints = kept(fingerprints(docs, key, text, [(shingle, False, 0)]), "prints")
-    classes = _nodes(prints, [radius], radius, F.col("id"))
+    nodes = _nodes(prints, [radius], F.col("id"))
+    classes = _classes(nodes, edges(nodes, [radius], radius), ["fp0"])
     firsts = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = classes.join(firsts, "component").select("fp0", "component_id")
     out = prints.join(named, "fp0")
@@ -362,11 +472,12 @@ def one_of_each_group(
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of the least (key, text hash).
 
-    Two texts are linked if the wide fingerprints of their distinct shingles (64 * WIDE bits) are as
-    close as those of sets with that Jaccard similarity; how often a shingle comes doesn't count. The
-    covering tables stand over ``word_prints`` independent fingerprints of the distinct words, which move
-    less under an edit: they are sure to hold every pair within ``word_radius`` bits in one of them, and
-    most of those a few bits beyond.
+    Two texts are linked if their sets of distinct shingles have that Jaccard similarity; how often a
+    shingle comes doesn't count. The covering tables stand over ``word_prints`` independent fingerprints
+    of the distinct words, which move less under an edit: they are sure to hold every pair within
+    ``word_radius`` bits in one of them, and most of those a few bits beyond. Of the pairs that meet,
+    those that are clearly alike or clearly apart by the wide fingerprints (64 * WIDE bits) are settled
+    by them, and the sets themselves decide the others.
     """
     p = free_prefix(docs)
     keyed = docs.withColumn(f"{p}hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
@@ -375,7 +486,11 @@ def one_of_each_group(
     names = [f"fp{k}" for k in range(len(sketches))]
     prints = kept(fingerprints(ids, "id", "text", sketches, WIDE), "prints")
     limits = [*[word_apart] * word_prints, most_apart(similarity, BITS, 3.0)]
-    classes = _nodes(prints, limits, word_radius, F.col("id"), WIDE, most_apart(similarity, BITS * WIDE), word_prints)
+    nodes = _nodes(prints, limits, F.col("id"), WIDE)
+    links = kept(edges(nodes, limits, word_radius, WIDE, most_apart(similarity, BITS * WIDE), word_prints), "links")
+    sure = F.col("apart") <= most_apart(similarity, BITS * WIDE, -SURE)
+    alike = links.where(sure).unionByName(decided(links.where(~sure), nodes, ids, names, shingle, similarity))
+    classes = _classes(nodes, alike, names)
     firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
     named = classes.join(firsts, "component").select(*names, "keep")
     # One row for each (key, text hash): does it stay, and how often does it come?
