@@ -1,13 +1,13 @@
 """Operator 9, quality rules: a short-circuit cascade ordered by rejection per cost.
 
-Every rule is a chain of Catalyst expressions. A bounded hashed sample gives each rule's cost and
-which of its rows the rule rejects. The cascade starts with the rule of most rejections per second,
+Every rule is a chain of Catalyst expressions. A sample of bounded rows and bytes gives each rule's
+cost and which of its rows the rule rejects. The cascade starts with the rule of most rejections per second,
 goes on with that of most further rejections per second, and so on; a row that one rule rejects is
 not measured by the next (each measure stands under a CASE on the rows still alive). The verdict is
 a conjunction, so the order changes cost, never the result.
 
-Defined cases: null text counts as empty text; an empty text has no words and is rejected; rows
-that repeat are judged each alike; other columns pass through whatever their names are; an empty
+Defined cases: null text counts as empty text; an empty text has no words and is rejected; a very
+long text is judged whole, in time that grows as sorting does; rows that repeat are judged each alike; other columns pass through whatever their names are; an empty
 table gives an empty result.
 """
 
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import free_prefix, text_of, words_of
+from tidewright.llm.common import free_prefix, kept, text_of, words_of
 
 #: Production thresholds.
 MIN_WORDS = 10
@@ -32,8 +32,8 @@ MAX_DOUBLED_WORDS = 0.25  # share of words equal to the one before
 MIN_WORD_CHARS, MAX_WORD_CHARS = 2.0, 20.0  # mean
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rows of the sample on which costs and selectivity are estimated: about so many, and at most four times as many.
-SAMPLE_ROWS = 500
+#: The sample on which costs and selectivity are estimated: about so many rows, and about so many bytes at most, in so many parts.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_PARTS, SAMPLE_SEED = 500, 1 << 24, 8, 9
 #: How often each rule runs over the sample while it is timed, so that its work outweighs the job around it.
 REPEATS = 12
 
@@ -162,10 +162,15 @@ def _apply(df: DataFrame, p: str, rules: Sequence[Rule], always: Collection[Meas
 
 
 def _sample(docs: DataFrame, p: str, text: str, rows: int) -> DataFrame:
-    """About ``rows`` texts, chosen by a hash of the whole row's text over all of the table."""
+    """(row, text): about ``rows`` whole texts drawn at random over all of the table, fewer where they are long, written once.
+
+    Each row is drawn on its own, so copies of one text do not come all together, and many tasks hold what was drawn.
+    """
     own = docs.select(text_of(text).alias(f"{p}text"))
-    every = max(1, docs.count() // max(rows, 1))
-    return own.where(F.pmod(F.xxhash64(F.lit("quality"), F.col(f"{p}text")), F.lit(every)) == 0).limit(4 * rows)
+    drawn = own.sample(min(1.0, rows / max(docs.count(), 1)), SAMPLE_SEED).repartition(SAMPLE_PARTS)
+    drawn = kept(drawn.select(F.monotonically_increasing_id().alias(f"{p}row"), f"{p}text"), "quality-sample")
+    size = drawn.agg(F.sum(F.octet_length(f"{p}text"))).first()[0] or 0
+    return drawn if size <= SAMPLE_BYTES else kept(drawn.sample(SAMPLE_BYTES / size, SAMPLE_SEED), "quality-sample")
 
 
 def greedy(rejected: Sequence[frozenset[int]], seconds: Sequence[float], names: Sequence[str]) -> list[int]:
@@ -189,22 +194,19 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "
     """
     rules = RULES if rules is None else rules
     p = free_prefix(docs)
-    sample = _sample(docs, p, text, rows).select(F.monotonically_increasing_id().alias(f"{p}row"), f"{p}text").persist()
-    try:
-        n = max(1, sample.count())
-        judged_by = [_apply(sample, p, [r]).where(~F.col(f"{p}alive")).select(F.lit(k).alias("rule"), f"{p}row") for k, r in enumerate(rules)]
-        found = reduce(DataFrame.unionByName, judged_by).collect()  # at most a row a rule and sampled text
-        many = sample.select(F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias(f"{p}k"), F.concat(f"{p}text", F.lit(" "), F.col(f"{p}k").cast("string")).alias(f"{p}text"))
-
-        def timed(of: Sequence[Rule]) -> float:
-            began = time.perf_counter()
-            _apply(many, p, of).agg(F.count_if(f"{p}alive")).collect()
-            return time.perf_counter() - began
-
-        idle = min(timed([]) for _ in range(2))
-        seconds = [max(1e-4, timed([r]) - idle) for r in rules]
-    finally:
-        sample.unpersist()
+    sample = _sample(docs, p, text, rows)
+    n = max(1, sample.count())
+    judged_by = [_apply(sample, p, [r]).where(~F.col(f"{p}alive")).select(F.lit(k).alias("rule"), f"{p}row") for k, r in enumerate(rules)]
+    found = reduce(DataFrame.unionByName, judged_by).collect()  # at most a row a rule and sampled text
+    many = sample.select(F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias(f"{p}k"), F.concat(f"{p}text", F.lit(" "), F.col(f"{p}k").cast("string")).alias(f"{p}text"))
+
+    def timed(of: Sequence[Rule]) -> float:
+        began = time.perf_counter()
+        _apply(many, p, of).agg(F.count_if(f"{p}alive")).collect()
+        return time.perf_counter() - began
+
+    idle = min(timed([]) for _ in range(2))
+    seconds = [max(1e-4, timed([r]) - idle) for r in rules]
     rejected = [frozenset(r[1] for r in found if r[0] == k) for k in range(len(rules))]
     order = greedy(rejected, seconds, [r.name for r in rules])
     return [(rules[k], len(rejected[k]) / n, seconds[k] * 1000 / (n * REPEATS)) for k in order]
@@ -235,3 +237,24 @@ def judged(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "te
         base.alias(f"{prefix}base_failed"),
         F.col(f"{p}alive").alias(f"{prefix}kept"),
     )
+
+
+#: The same measures and verdict, all rules at once. A window is known by its five words, which hold no blank.
+SQL = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+tok as (select r, unnest(words) as x, unnest(range(1, len(words) + 1)) as i from w),
+wins as (select r, i, concat_ws(' ', x, {", ".join(f"lead(x, {k}) over v" for k in range(1, WINDOW))}) as five, lead(x, {WINDOW - 1}) over v as last from tok window v as (partition by r order by i)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, five) as n from wins where last is not null) where n > 1),
+runs as (select r, least({WINDOW}, i - lag(i, 1, -{WINDOW}) over (partition by r order by i)) as fresh from twice),
+rep as (select r, sum(fresh)::bigint as n_repeat_words from runs group by 1),
+m as (select doc_id, len(words)::bigint as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::bigint as word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(lines)::bigint as n_lines,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+  len(list_filter(words, lambda x, i: i > 1 and x = words[i - 1]))::bigint as n_doubled from w left join rep using (r)),
+b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {round(100 * MAX_REPEATED_WORDS)} * n_words as base_failed from m)
+select doc_id, {", ".join(MEASURES)}, base_failed, not (base_failed or n_symbols > {MAX_SYMBOLS_PER_WORD}::double * n_words
+  or (n_dup_lines > {FEW_LINES} and n_dup_lines > {MAX_DUPLICATE_LINES}::double * n_lines) or n_doubled > {MAX_DOUBLED_WORDS}::double * n_words
+  or word_chars < {MIN_WORD_CHARS}::double * n_words or word_chars > {MAX_WORD_CHARS}::double * n_words) as kept from b
+"""

@@ -96,6 +96,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_url_filters": urls.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_quality_rules": quality.SQL,
     "op11_secret_scans": secrets.SQL,
     "op12_conversation_repair": conversations.SQL,
     "op13_importance_resampling": resample.SQL,
