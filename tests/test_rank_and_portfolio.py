@@ -180,3 +180,30 @@ def test_an_average_correlation_needs_common_days(spark):
     assert groups.average_correlation(spark.createDataFrame(more, kind)).first()[0] is not None
     with pytest.raises(ValueError, match="more than 3"):
         groups.synchronised(spark.createDataFrame([(str(i), 0, 0.1) for i in range(4)], kind), most=3)
+
+
+@pytest.mark.parametrize("name", ["alloc_inverse_vol_tight", "alloc_parity", "alloc_parity_tight"])
+def test_allocations_equal_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from tidewright.plans.queries import ORACLE_SQL, QUERIES, TIGHT
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("the data set is not here")
+    db = duckdb.connect()
+    for f in os.listdir(data):
+        if f.endswith(".parquet"):
+            db.execute(f"create view {f[:-8]} as select * from '{data}/{f}'")
+    want = db.sql(ORACLE_SQL[name])
+    got = [tuple(r) for r in QUERIES[name](spark, data).select(*want.columns).collect()]
+    flat = lambda rows: {(r[0], c): x for r in rows for c, x in zip(want.columns[1:], r[1:], strict=True)}
+    assert flat(got) == pytest.approx(flat(want.fetchall()), abs=2e-6)
+    weights = {r[0]: r[1] for r in got}
+    if name.endswith("tight"):
+        # Both caps bind: some holding and some group stand at theirs.
+        assert max(weights.values()) == pytest.approx(TIGHT[0], abs=2e-6)
+        first = [weights[k] for i, k in enumerate(sorted(weights)) if i % 3 == 0]
+        assert sum(first) <= TIGHT[1] + 0.02

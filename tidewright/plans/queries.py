@@ -14,8 +14,8 @@ from tidewright.functions import formats, registry, text
 from tidewright.operators import earnings, groups, measures, membership, merge, portfolio, ranking, regime, series, validation
 from tidewright.operators.asof import BACKWARD, FORWARD, asof
 from tidewright.operators.universe import Aligned, align, dated, excluded, records
+from tidewright.plans import allocation_sql, provider_queries
 from tidewright.plans import oracle as sql
-from tidewright.plans import provider_queries
 from tidewright.plans.oracle import r6
 from tidewright.schema import MAX_HOLDINGS, RANK_WINDOWS, WINDOWS, slug
 from tidewright.scratch import kept, local_table, new_path
@@ -514,6 +514,13 @@ def rank_12_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("rank > 0").select("id", "segment", "sector", "rank", "value", "change")
 
 
+def _allocated_flat(*caps: str | float | None) -> Query:
+    """An allocation with its warnings as one text."""
+    return lambda spark, sf_dir: _allocated(*caps)(spark, sf_dir).withColumn("warnings", F.concat_ws("; ", "warnings"))
+
+
+#: Caps that bind over 25 brands in three groups.
+TIGHT = 0.045, 0.335
 _P, _U = sql.PANEL, sql.UNIVERSE
 _SYNC = f"""{_P},
 sobs as (select p_brand as id, date_trunc('week', l_shipdate)::date as date, sum(l_extendedprice::decimal(18,2))::double / sum(l_quantity::decimal(18,2))::double as close
@@ -665,6 +672,9 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "alloc_inverse_vol": (allocation_inverse_vol, f"{_COV}, inv as (select i as id, 1 / sqrt(cov) as x from shr where i = j), w as (select id, x / sum(x) over () as weight from inv){_RISK}"),
     "alloc_hrp": (_allocated("hrp"), None),
     "alloc_capped": (_allocated("inverse-vol", 0.12, 0.38), None),
+    "alloc_inverse_vol_tight": (_allocated_flat("inverse-vol", *TIGHT), allocation_sql.allocated(_COV, _RISK, allocation_sql.INVERSE_VOLATILITY, *TIGHT)),
+    "alloc_parity": (_allocated_flat("hrp"), allocation_sql.allocated(_COV, _RISK, allocation_sql.RISK_PARITY, None, None)),
+    "alloc_parity_tight": (_allocated_flat("hrp", *TIGHT), allocation_sql.allocated(_COV, _RISK, allocation_sql.RISK_PARITY, *TIGHT)),
     "cash_amounts": (cash_amounts, """with x as (select s_suppkey as id, r_name as segment, greatest(0.0, s_acctbal) as w from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
         e as (select *, w / sum(w) over (partition by segment) * 100000 as exact from x),
         p as (select *, floor(100000 - sum(floor(exact)) over (partition by segment) + 0.5) as rest, row_number() over (partition by segment order by exact - floor(exact) desc, id) as place from e)
