@@ -1,9 +1,12 @@
-"""Faults that were mended: labels with long texts only, and mixing of rows without an id."""
+"""Faults that were mended: labels with long texts only, mixing of rows without an id, writers of shards that meet."""
 
 from __future__ import annotations
 
 import math
+import random
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import langid, mixing
@@ -27,3 +30,60 @@ def test_rows_without_an_id_draw_by_their_texts(spark):
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert abs(sum(sizes) - 3 * n) < 3 * math.sqrt(3 * n)
     assert max(sizes) < 2 * sum(sizes) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_writers_that_meet_commit_their_runs_over_each_other(spark, tmp_path):
+    from tidewright.llm import shards
+
+    root, rows = f"file://{tmp_path}/store", spark.range(30)
+    make = lambda: shards.ShardStore(spark, root, rows.schema, target_bytes=1 << 20, fan_in=2)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: make().append(rows.select((F.col("id") + 100 * k).alias("id"))), range(4)))
+    assert make().version() == 4 and len(make().runs()) == 4
+
+    class Disturbed(shards.ShardStore):
+        """Another writer commits between this one's files and its manifest."""
+
+        between = None
+
+        def _written(self, rows, by):
+            found = super()._written(rows, by)
+            if self.between:
+                between, self.between = self.between, None
+                between()
+            return found
+
+    store = Disturbed(spark, root, rows.schema, target_bytes=1 << 20, fan_in=2)
+    store.between = lambda: make().append(rows.select((F.col("id") + 400).alias("id")))
+    store.compact()
+    assert sorted(r[0] for r in store.read().collect()) == sorted(i + 100 * k for i in range(30) for k in range(5))
+    # Another compaction of the same runs leaves nothing to replace.
+    store.append(rows)
+    store.append(rows)
+    before = store.read().count()
+    store.between = lambda: make().compact()
+    with pytest.raises(shards.Conflict):
+        store.compact()
+    assert make().read().count() == before
+
+
+def test_groups_that_are_due_are_of_similar_runs():
+    from tidewright.llm import shards
+
+    store, dice = object.__new__(shards.ShardStore), random.Random(5)
+    store.target_bytes = 1000
+    for fan_in in (2, 3, 4):
+        store.fan_in = fan_in
+        for _ in range(200):
+            sizes = [int(1000 * 2 ** dice.uniform(-8, 2)) for _ in range(dice.randrange(30))]
+            runs = [shards.Run(str(k), 0, (("part-0", b),)) for k, b in enumerate(sizes)]
+            due = store.groups(runs)
+            names = [r.name for g in due for r in g]
+            assert len(names) == len(set(names)) and all(len(g) == fan_in for g in due)
+            assert all(r.bytes < 500 for g in due for r in g)
+            # Nobody is far above the mean of those before, and whoever is left has fewer than fan_in equals in size.
+            for g in due:
+                held = [r.bytes for r in g]
+                assert all(b <= 1.5 * sum(held[:k]) / k for k, b in enumerate(held) if k)
+            left = sorted(b for k, b in enumerate(sizes) if str(k) not in names and b < 500)
+            assert all(left[k + 2 * fan_in - 2] > left[k] for k in range(len(left) - 2 * fan_in + 2))

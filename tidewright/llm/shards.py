@@ -10,7 +10,8 @@ log(target / arrival) times.
 
 A version is committed by giving a finished file a name that must not exist yet, in one step (a hard
 link on a local file system, elsewhere a rename that does not overwrite): readers see the old version
-or the new one, and of two writers one fails. What a writer that died has left is in no manifest, so
+or the new one, and of two writers one gets it. The other commits the same runs over that version: rows
+just written are never written again. Only a compaction whose runs another has replaced fails. What a writer that died has left is in no manifest, so
 it is never data and hinders nobody. Files of replaced runs stay, so readers planned before a
 compaction and reads of old versions go on working; ``expire`` removes old versions and what no
 version names, after a time of grace.
@@ -135,6 +136,20 @@ class ShardStore:
             raise Conflict(f"version {version} exists")
         return version
 
+    def replaced(self, gone: set[str], new: list[Run], version: int) -> int:
+        """Commit ``new`` in place of the runs named ``gone``, from ``version`` on over what others commit meanwhile.
+
+        A Conflict where a run of ``gone`` is in the store no more.
+        """
+        while True:
+            runs = self.runs(version)
+            if not gone <= {r.name for r in runs}:
+                raise Conflict(f"version {version} has replaced some of the runs")
+            try:
+                return self.commit([r for r in runs if r.name not in gone] + new, version)
+            except Conflict:
+                version = self.version()
+
     # Runs.
 
     def _run(self, name: str, tier: int) -> Run | None:
@@ -150,11 +165,9 @@ class ShardStore:
 
     def append(self, rows: DataFrame, arrival: Column | None = None) -> int:
         """Add rows as one run, or as one run for each value of ``arrival``; returns the version."""
-        before = self.version()
-        old = self.runs(before)
         by = f"{free_prefix(rows, 'tw_')}arrival"
         new = [self._run(name, 0) for name in self._written(rows.withColumn(by, arrival if arrival is not None else F.lit(0)), by)]
-        return self.commit(old + [r for r in new if r], before)
+        return self.replaced(set(), [r for r in new if r], self.version())
 
     def groups(self, runs: list[Run]) -> list[list[Run]]:
         """Groups of similar, unsealed runs that are due for a merge."""
@@ -190,7 +203,7 @@ class ShardStore:
             written = self._written(reduce(DataFrame.unionByName, parts), by)
             merged = [self._run(name, 1 + max(r.tier for r in due[int(k)])) for name, k in written.items()]
             gone = {r.name for g in due for r in g}
-            self.commit([r for r in runs if r.name not in gone] + [r for r in merged if r], version)
+            self.replaced(gone, [r for r in merged if r], version)
 
     def expire(self, keep: int = 1, grace: float = GRACE) -> list[str]:
         """Remove all versions but the last ``keep``, and runs that no version names and that are older than ``grace`` seconds.
