@@ -87,3 +87,15 @@ def test_groups_that_are_due_are_of_similar_runs():
                 assert all(b <= 1.5 * sum(held[:k]) / k for k, b in enumerate(held) if k)
             left = sorted(b for k, b in enumerate(sizes) if str(k) not in names and b < 500)
             assert all(left[k + 2 * fan_in - 2] > left[k] for k in range(len(left) - 2 * fan_in + 2))
+
+
+def test_a_filter_of_keys_misses_none_and_lets_few_others_through(spark):
+    from tidewright.llm import simhash
+
+    keys = spark.range(0, 3000, 3).select("id", F.xxhash64("id").alias("h"))
+    rows = spark.range(3000).union(spark.range(1).select(F.lit(None).cast("long"))).toDF("id")
+    out = simhash.maybe_in(rows, F.xxhash64("id"), keys, F.col("h"), "m")
+    assert out.columns == ["id", "m"] and out.count() == 3001
+    wrong = out.where(F.col("m") != F.coalesce(F.col("id") % 3 == 0, F.lit(False)))
+    assert wrong.where("not m").count() == 0 and wrong.count() < 5
+    assert simhash.maybe_in(rows, F.xxhash64("id"), keys.limit(0), F.col("h"), "m").where("m").count() == 0

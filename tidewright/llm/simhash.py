@@ -52,6 +52,8 @@ FORESTS = 3
 LINKS_AT_ONCE = 1 << 20
 #: Links, nearest first, that are tried between two looks at what the forests join.
 LINKS_AT_A_LOOK = 1 << 12
+#: Bits of the filter that tells which rows a join may meet, in bitmaps of 2^15 bits.
+FILTER_BITS, BITMAP = 1 << 24, 1 << 15
 #: Rows of whole buckets that a task compares at a time; a bucket with more is taken alone.
 ROWS_AT_ONCE = 1 << 18
 
@@ -430,6 +432,22 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, f"{kinds}, shingles array<bigint>")
 
 
+def maybe_in(rows: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false only where the row's hash is none of the keys'.
+
+    The keys' hashes are bits of a filter of FILTER_BITS, broadcast as 2 MiB at most however many they
+    are; where they are so many that most bits are set, more rows are true and nothing else changes.
+    """
+    place = lambda h: F.pmod(h, F.lit(FILTER_BITS))
+    bits = keys.select(place(key_hash).alias("at")).groupBy(F.shiftright("at", 15).alias(f"{name}_part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias(f"{name}_bits"))
+    rows = rows.withColumn(f"{name}_at", place(hashed))
+    rows = rows.join(F.broadcast(bits), F.shiftright(f"{name}_at", 15) == F.col(f"{name}_part"), "left")
+    octet = f"cast(conv(hex(substring(`{name}_bits`, cast(`{name}_at` % {BITMAP} div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = F.expr(f"coalesce(shiftright({octet}, cast(`{name}_at` % 8 as int)) & 1, 0) = 1")
+    return rows.withColumn(name, found).drop(f"{name}_at", f"{name}_part", f"{name}_bits")
+
+
 def decided(links: DataFrame, nodes: DataFrame, texts: DataFrame, names: list[str], shingle: int, similarity: float) -> DataFrame:
     """The links (a0.., b0..) whose texts' sets of distinct shingles have that Jaccard similarity.
 
@@ -437,9 +455,10 @@ def decided(links: DataFrame, nodes: DataFrame, texts: DataFrame, names: list[st
     sets; a link carries two of them through the joins, so nothing is ever held for a group.
     """
     ends = links.select(*[F.col(f"a{k}").alias(n) for k, n in enumerate(names)]).unionByName(links.select(*[F.col(f"b{k}").alias(n) for k, n in enumerate(names)]))
-    wanted = nodes.select(*names, F.col("first").alias("id")).join(ends.distinct(), names)
-    # Rows of equal id and text are one.
-    own = texts.join(wanted.hint("shuffle_hash"), "id").groupBy("id").agg(F.first("text").alias("text"), *[F.first(n).alias(n) for n in names])
+    wanted = kept(nodes.select(*names, F.col("first").alias("id")).join(ends.distinct(), names), "wanted")
+    # Only texts that may be wanted are shuffled. Rows of equal id and text are one.
+    near = maybe_in(texts, F.xxhash64("id"), wanted, F.xxhash64("id"), "asked").where("asked").drop("asked")
+    own = near.join(wanted.hint("shuffle_hash"), "id").groupBy("id").agg(F.first("text").alias("text"), *[F.first(n).alias(n) for n in names])
     sets = kept(shingle_sets(own.drop("id"), shingle), "sets")
     side = lambda s: sets.select(*[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)], F.col("shingles").alias(f"s{s}"))
     pairs = links.join(side("a"), [f"a{k}" for k in range(len(names))]).join(side("b"), [f"b{k}" for k in range(len(names))])
@@ -500,10 +519,14 @@ def one_of_each_group(
     often = marks.where("stays").select(F.col("key").alias(f"{p}k"), F.col("hash").alias(f"{p}h"))
     same = F.col(key).eqNullSafe(F.col(f"{p}k")) & (F.col(f"{p}hash") == F.col(f"{p}h"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    # Joined by key at any size: as many rows may go as there are documents.
-    if often.isEmpty():
-        return keyed.join(lost.hint("shuffle_hash"), same, "left_anti").select(*columns)
+    # Rows that surely have no mark stay where they are; the others are joined by key at any size, as many may go as there are documents.
+    twice = not often.isEmpty()
+    marked = lost.unionByName(often) if twice else lost
+    flagged = maybe_in(keyed, F.xxhash64(F.col(key), F.col(f"{p}hash")), marked, F.xxhash64(f"{p}k", f"{p}h"), f"{p}met")
+    clear, met = flagged.where(~F.col(f"{p}met")).select(*columns), flagged.where(F.col(f"{p}met"))
+    single = clear.unionByName(met.join(marked.hint("shuffle_hash"), same, "left_anti").select(*columns))
+    if not twice:
+        return single
     # Rows that come more than once and stay: one of them.
-    single = keyed.join(lost.unionByName(often).hint("shuffle_hash"), same, "left_anti").select(*columns)
-    repeated = keyed.join(often.hint("shuffle_hash"), same, "left_semi").dropDuplicates([key, f"{p}hash"]).select(*columns)
+    repeated = met.join(often.hint("shuffle_hash"), same, "left_semi").dropDuplicates([key, f"{p}hash"]).select(*columns)
     return single.unionByName(repeated)
