@@ -171,3 +171,15 @@ def test_endpoints_of_every_day_give_their_sqls_rows(spark):
     assert {r[1] % 21 for r in got} == set(range(21))
     near = lambda rows: sorted([(*r[:3], None if r[3] is None else round(r[3], 5)) for r in rows], key=repr)
     assert near(got) == near(want.fetchall())
+
+
+def test_parts_of_the_dense_panel_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(series, "DENSE_ROWS", 100, raising=False)
+    most = []
+    for ids in (40, 160):
+        obs = spark.createDataFrame([(i, DAY, 1.0) for i in range(ids)], "id int, date date, close double")
+        dense = series.densify(obs, series.calendar_table(spark, [DAY + dt.timedelta(k) for k in range(50)]), 50)
+        sizes = [r["count"] for r in dense.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 50 * ids
+        most.append(max(sizes))
+    assert max(most) <= 600, most

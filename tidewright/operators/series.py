@@ -13,6 +13,9 @@ from tidewright.operators.asof import FORWARD, asof
 from tidewright.schema import TOLERANCE
 from tidewright.scratch import local_table
 
+#: Rows of the dense panel that a part of it has, about.
+DENSE_ROWS = 1 << 16
+
 
 def usable(c: Column) -> Column:
     """Finite and above zero; false for null."""
@@ -48,17 +51,22 @@ def calendar(benchmark_obs: DataFrame) -> DataFrame:
     return days.select((F.row_number().over(Window.orderBy("date")) - 1).alias("idx"), "date")
 
 
-def densify(obs: DataFrame, cal: DataFrame, days: int | None = None) -> DataFrame:
+def densify(obs: DataFrame, cal: DataFrame, days: int | None = None, ids: int | None = None) -> DataFrame:
     """(id, idx, close): every id on every calendar day, null where it has no observation.
 
     days: the calendar's length, if known. The calendar is broadcast if the optimiser knows its size.
+    ids: about how many there are; else they are counted, so give written observations.
 
     Each observation also makes the empty days up to the next one (the first those before it too),
-    so one exchange by id serves this and all windows after it. Observations off the calendar are
-    dropped; an id that has no other is null throughout.
+    so one exchange by id serves this and all windows after it. It deals as many parts as the dense
+    rows ask for: by the size of the sparse ones that are exchanged, parts would be merged, and what a
+    task sorts would grow with the table. Observations off the calendar are dropped; an id that has no
+    other is null throughout.
     """
     days = cal.count() if days is None else days
+    ids = obs.agg(F.approx_count_distinct("id")).first()[0] if ids is None else ids
     placed = obs.join(cal, "date", "left").select("id", F.col("idx").alias("own"), "close")
+    placed = placed.repartition(max(1, -(-ids * days // DENSE_ROWS)), "id")
     w = Window.partitionBy("id").orderBy(F.col("own").asc_nulls_last())
     marked = placed.select("*", F.row_number().over(w).alias("place"), F.lead("own").over(w).alias("next"))
     first = F.when(F.col("place") == 1, 0).otherwise(F.col("own"))

@@ -66,7 +66,7 @@ def align(obs: DataFrame, bench: DataFrame, members: DataFrame) -> Aligned:
     dates = sorted(set(held["date"].to_pylist()))
     cal = series.calendar_table(spark, dates)
     panel = series.densify(obs, cal, len(dates))
-    own = measures.benchmark_panel(series.densify(bench, cal, len(dates)))
+    own = measures.benchmark_panel(series.densify(bench, cal, len(dates), len(set(held["id"].to_pylist()))))
     return Aligned(obs, bench, members, dates, cal, panel, measures.panel_with_benchmarks(panel, members, own))
 
 

@@ -191,7 +191,7 @@ def range_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _held_returns(spark: SparkSession, sf_dir: str, brands: list[str] | None = None) -> DataFrame:
     """Returns of the brands' prices on the common calendar, written once; None: of all brands."""
     dates = series.trading_days(series.clean(adapters.benchmark_observations(adapters.weekly(spark, sf_dir), adapters.members(spark, sf_dir)), unique=True))
-    held = series.clean(adapters.brand_observations(spark, sf_dir, brands), unique=True)
+    held = kept(series.clean(adapters.brand_observations(spark, sf_dir, brands), unique=True), "held")
     panel = series.densify(held, series.calendar_table(spark, dates), len(dates))
     return kept(series.with_returns(panel).select("id", "idx", "ret"), "held-returns")
 
