@@ -315,6 +315,18 @@ def test_one_of_each_group_finds_pairs_at_the_similarity(spark):
     assert all(i in kept for i in alike + apart)
 
 
+def test_one_of_each_group_leaves_no_link_out(spark):
+    """Short texts and their copies with two words more: 9 of 11 shingles, with fingerprints often far apart."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    rows = []
+    for i in range(300):
+        text = " ".join(word() for _ in range(13))
+        rows += [(2 * i, text), (2 * i + 1, f"{text} {word()} {word()}")]
+    left = {r["doc_id"] for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {2 * i for i in range(300)}
+
+
 def test_one_of_each_group_counts_a_repeated_line_once(spark):
     """Texts that share only a line that comes often stay; copies that repeat a line otherwise don't."""
     rng = random.Random(4)

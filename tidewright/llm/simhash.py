@@ -18,7 +18,7 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,10 @@ LINKS_AT_A_LOOK = 1 << 12
 FILTER_BITS, BITMAP = 1 << 24, 1 << 15
 #: Rows of whole buckets that a task compares at a time; a bucket with more is taken alone.
 ROWS_AT_ONCE = 1 << 18
+#: Texts, about, whose shingles tell which are frequent, and how many of those are told: only an order, see ``prefix_of``.
+SAMPLE, FREQUENT = 4096, 1 << 15
+#: What a share of whole numbers lacks as a double.
+SLACK = 1e-6
 
 
 def shingle_hashes(words: list[bytes], shingle: int, once: bool = False) -> np.ndarray:
@@ -109,18 +113,39 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << i for i, m in enumerate(own) if (m & v).bit_count() % 2) for v in range(1, count + 1)]
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, sketches: list[tuple[int, bool, int]], wide: int = 0) -> DataFrame:
+def prefix_of(hashes: np.ndarray, similarity: float, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first elements of a set, so many that two sets of that Jaccard similarity share one of theirs.
+
+    The order is one for all sets: what is not ``frequent`` (sorted) by its value, then the frequent by their
+    places. Any order loses no pair; the rare first let few other sets meet.
+    """
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        order = np.lexsort((hashes, np.where(frequent[at] == hashes, places[at], 0)))
+    else:
+        order = np.argsort(hashes)
+    return hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - SLACK)) + 1]]
+
+
+def fingerprints(
+    docs: DataFrame, key: str, text: str, sketches: list[tuple[int, bool, int]], wide: int = 0, similarity: float | None = None, frequent: Sequence[int] = ()
+) -> DataFrame:
     """(id, fp0, fp1, ..., w0, w1, ...): a signed 64-bit fingerprint for each (shingle, once, number).
 
     Sketches of another number are independent; number 0 is XXH64 itself. wide: as many more over the
-    shingles of the last sketch, with independent hashes.
+    shingles of the last sketch, with independent hashes. similarity: also size and prefix (``prefix_of``) of
+    the set of those shingles.
     """
+    often = np.array(frequent, np.int64).view(np.uint64)
+    ranks = np.argsort(often)
+    often, ranks = often[ranks], ranks + 1
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     names = [f"fp{i}" for i in range(len(sketches))] + [f"w{k}" for k in range(wide)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slim(batches):
             found: list[list[int]] = [[] for _ in names]
+            sizes, prefixes = [], []
             for t in batch["text"]:
                 # bytes.lower() changes A-Z only, and bytes.split() cuts at ASCII white space only.
                 words = (t.as_py() or "").encode().lower().split()
@@ -131,11 +156,18 @@ def fingerprints(docs: DataFrame, key: str, text: str, sketches: list[tuple[int,
                     out.append(majority(rehashed(hashes, -number) if number else hashes))
                 for k, out in enumerate(found[len(sketches) :]):
                     out.append(majority(rehashed(hashes, k)))
+                if similarity is not None:
+                    sizes.append(len(hashes))
+                    prefixes.append(prefix_of(hashes, similarity, often, ranks).view(np.int64))
             cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in found]
-            yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", *names])
+            if similarity is not None:
+                cols += [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", *names, *more])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+    more = [] if similarity is None else ["size", "prefix"]
+    sets = "" if similarity is None else ", size int, prefix array<bigint>"
+    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names) + sets)
 
 
 class Forest:
@@ -463,11 +495,49 @@ def decided(links: DataFrame, nodes: DataFrame, texts: DataFrame, names: list[st
     side = lambda s: sets.select(*[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)], F.col("shingles").alias(f"s{s}"))
     pairs = links.join(side("a"), [f"a{k}" for k in range(len(names))]).join(side("b"), [f"b{k}" for k in range(len(names))])
     both = F.size(F.array_intersect("sa", "sb"))
-    # Two sets of integers: a share of whole numbers, with room for what 0.8 lacks as a double.
-    alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-6
+    # Two sets of integers: a share of whole numbers.
+    alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - SLACK
     return pairs.where(alike).select(*links.columns)
 
 
+def frequent_shingles(texts: DataFrame, shingle: int) -> list[int]:
+    """Hashes of shingles that several of about SAMPLE texts have, the rarer first; FREQUENT at most."""
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, texts.count() // SAMPLE))) == 0).select(F.xxhash64("id").alias("id"), "text")
+    counts = shingle_sets(some, shingle).select(F.explode("shingles").alias("gram")).groupBy("gram").count().where("count > 2")
+    return [r["gram"] for r in counts.orderBy(F.desc("count"), "gram").limit(FREQUENT).collect()][::-1]
+
+
+def joined_by_rest(classes: DataFrame, nodes: DataFrame, prints: DataFrame, texts: DataFrame, names: list[str], shingle: int, similarity: float) -> DataFrame:
+    """``classes`` with those components as one that hold two texts of that similarity: no link is left out.
+
+    Fingerprints miss some links, and a bucket's forests give only some. Two texts of the similarity share
+    a shingle of their prefixes, whatever their fingerprints are; of prefixes that meet, only those of
+    different components are of use, so a group that is joined already gives no pair. How many shingles the
+    prefixes share bounds what the sets can share; where that is too little they are no pair either, and the
+    sets decide the others.
+    """
+    own = prints.join(nodes.select(*names, F.col("first").alias("id")), [*names, "id"]).join(classes.select(*names, "component"), names)
+    own = own.select(*names, F.xxhash64(*names).alias("node"), F.xxhash64("component").alias("c"), "component", "size", "prefix")
+    own = kept(own.dropDuplicates(names), "prefixes")
+    grams = own.select("node", "c", "size", F.posexplode("prefix").alias("at", "gram"))
+    met = kept(grams.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram"), "met")
+    shared = kept(grams.join(met, "gram"), "shared")
+    a, b = (shared.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "c", "size", "at")]) for s in "ab")
+    sizes = F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - SLACK
+    pairs = a.join(b, "gram").where((F.col("a_c") < F.col("b_c")) & sizes).groupBy("a_node", "b_node", "a_size", "b_size")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("n"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"))
+    # What they share beyond the last shingle that their prefixes share lies behind it in both, and behind one's prefix.
+    behind = F.least(F.col("a_size") - F.col("a_at") - 1, F.col("b_size") - F.col("b_at") - 1, F.ceil(F.lit(similarity) * F.greatest("a_size", "b_size") - SLACK) - 1)
+    most = F.col("n") + behind
+    alike = most >= F.lit(similarity) * (F.col("a_size") + F.col("b_size") - most) - SLACK
+    pairs = kept(pairs.where(alike).select("a_node", "b_node"), "pairs")
+    side = lambda s: own.select(F.col("node").alias(f"{s}_node"), F.col("component").alias(f"c{s}"), *[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)])
+    links = kept(pairs.join(side("a"), "a_node").join(side("b"), "b_node").drop("a_node", "b_node"), "rest")
+    merged = components(decided(links, nodes, texts, names, shingle, similarity).select("ca", "cb"), "ca", "cb")
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return kept(classes.join(merged, "component", "left").select(*names, "first", F.coalesce("whole", "component").alias("component")), "wholes")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(key, fingerprint, component_id): every row with the least key that its links reach."""
     prints = kept(fingerprints(docs, key, text, [(shingle, False, 0)]), "prints")
@@ -492,7 +562,7 @@ def one_of_each_group(
     """``docs`` with one row of each group of near copies, the one of the least (key, text hash).
 
     Two texts are linked if their sets of distinct shingles have that Jaccard similarity; how often a
-    shingle comes doesn't count. The covering tables stand over ``word_prints`` independent fingerprints
+    shingle comes doesn't count. No link is left out (``joined_by_rest``). The covering tables stand over ``word_prints`` independent fingerprints
     of the distinct words, which move less under an edit: they are sure to hold every pair within
     ``word_radius`` bits in one of them, and most of those a few bits beyond. Of the pairs that meet,
     those that are clearly alike or clearly apart by the wide fingerprints (64 * WIDE bits) are settled
@@ -503,13 +573,13 @@ def one_of_each_group(
     ids = keyed.select(F.struct(F.col(key).alias("key"), F.col(f"{p}hash").alias("hash")).alias("id"), F.col(text).alias("text"))
     sketches = [*((1, True, k) for k in range(word_prints)), (shingle, True, 0)]
     names = [f"fp{k}" for k in range(len(sketches))]
-    prints = kept(fingerprints(ids, "id", "text", sketches, WIDE), "prints")
+    prints = kept(fingerprints(ids, "id", "text", sketches, WIDE, similarity, frequent_shingles(ids, shingle)), "prints")
     limits = [*[word_apart] * word_prints, most_apart(similarity, BITS, 3.0)]
     nodes = _nodes(prints, limits, F.col("id"), WIDE)
     links = kept(edges(nodes, limits, word_radius, WIDE, most_apart(similarity, BITS * WIDE), word_prints), "links")
     sure = F.col("apart") <= most_apart(similarity, BITS * WIDE, -SURE)
     alike = links.where(sure).unionByName(decided(links.where(~sure), nodes, ids, names, shingle, similarity))
-    classes = _classes(nodes, alike, names)
+    classes = joined_by_rest(_classes(nodes, alike, names), nodes, prints, ids, names, shingle, similarity)
     firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
     named = classes.join(firsts, "component").select(*names, "keep")
     # One row for each (key, text hash): does it stay, and how often does it come?
