@@ -327,6 +327,32 @@ def test_one_of_each_group_leaves_no_link_out(spark):
     assert left == {2 * i for i in range(300)}
 
 
+def test_what_many_sets_share_gives_no_row_for_each_pair(spark):
+    """Sets that share shingles of their prefixes with all others, and three pairs at 0.8 or a little more: all of these come, of the others few."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(1 << 32, 1 << 63, n, dtype=np.uint64)
+    common = np.sort(rng.integers(0, 1 << 32, 60, dtype=np.uint64))
+    none = np.zeros(0, np.uint64)
+    sets = [np.concatenate([fresh(40), common]) for _ in range(300)]
+    # The common ones come behind 14 rarer ones of 100: in the prefixes of 21, but not in front of two sets of that size.
+    rarer = [np.concatenate([rng.integers(0, 1 << 20, 14, dtype=np.uint64), x[14:]]) for x in sets]
+    base = [fresh(100) for _ in range(3)]
+    alike = [np.concatenate([x[:n], fresh(m)]) for x, n, m in zip(base, (90, 80, 89), (11, 0, 11), strict=True)]
+    shares = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(base, alike, strict=True)]
+    assert min(shares) >= 0.8 and max(shares) < 0.82
+    rows = [(i, i, len(x), simhash.prefix_of(x, 0.8, none, none).view(np.int64).tolist()) for i, x in enumerate([*base, *alike, *rarer])]
+    made = spark.createDataFrame(rows, "node long, c long, size int, prefix array<bigint>")
+    plain = made.select("c", F.explode("prefix").alias("gram"))
+    assert plain.join(plain.withColumnRenamed("c", "other"), "gram").where("c < other").count() > 40_000
+    written = {}
+    kept = simhash.kept
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "kept", lambda df, name: written.setdefault(name, kept(df, name)))
+        found = {tuple(sorted(r)) for r in simhash.meeting(made, 0.8).collect()}
+    assert found == {(0, 3), (1, 4), (2, 5)}
+    assert written["meeting"].count() < 300
+
+
 def test_one_of_each_group_counts_a_repeated_line_once(spark):
     """Texts that share only a line that comes often stay; copies that repeat a line otherwise don't."""
     rng = random.Random(4)

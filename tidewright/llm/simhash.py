@@ -507,30 +507,46 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> list[int]:
     return [r["gram"] for r in counts.orderBy(F.desc("count"), "gram").limit(FREQUENT).collect()][::-1]
 
 
+def meeting(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a_node, b_node): what may be two sets of that similarity in different components; no such two are left out.
+
+    sets: (node, c, size, prefix), written, with the component as c and the prefix of ``prefix_of``. Two sets of
+    the similarity share so many elements, ``least``, that the first shared one has as many in either from it on;
+    only shingles so far in front of both count. Those of the smaller set lie where a partner of its own
+    size asks for one. So what many sets share gives no row for each pair of them, unless it is among the rarest of both.
+    """
+    least = lambda a, b: F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(a) + F.col(b)) - SLACK)
+    grams = sets.select("node", "c", "size", F.posexplode("prefix").alias("at", "gram"))
+    grams = grams.withColumn("front", F.col("at") <= F.col("size") - least("size", "size"))
+    met = grams.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("front").alias("fronts"))
+    shared = kept(grams.join(kept(met.where("low <> high and fronts").select("gram"), "met"), "gram"), "shared")
+    side = lambda rows, s: rows.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "c", "size", "at")])
+    smaller = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_c") < F.col("b_c")))
+    sizes = F.col("a_size") >= F.lit(similarity) * F.col("b_size") - SLACK
+    early = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= least("a_size", "b_size")
+    rows = side(shared.where("front"), "a").join(side(shared, "b"), "gram").where((F.col("a_c") != F.col("b_c")) & smaller & sizes & early)
+    own = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "prefix")])
+    pairs = kept(rows.select("a_node", "b_node").distinct(), "meeting").join(own("a"), "a_node").join(own("b"), "b_node")
+    # How many shingles the prefixes share bounds what the sets can share.
+    pairs = pairs.withColumn("both", F.array_intersect("a_prefix", "b_prefix")).withColumn("last", F.element_at("both", -1))
+    # What they share beyond the last of these lies behind it in both, and behind one's prefix.
+    left = lambda s: F.col(f"{s}_size") - F.array_position(f"{s}_prefix", F.col("last"))
+    most = F.size("both") + F.least(left("a"), left("b"), F.ceil(F.lit(similarity) * F.greatest("a_size", "b_size") - SLACK) - 1)
+    return pairs.where(most >= least("a_size", "b_size")).select("a_node", "b_node")
+
+
 def joined_by_rest(classes: DataFrame, nodes: DataFrame, prints: DataFrame, texts: DataFrame, names: list[str], shingle: int, similarity: float) -> DataFrame:
     """``classes`` with those components as one that hold two texts of that similarity: no link is left out.
 
     Fingerprints miss some links, and a bucket's forests give only some. Two texts of the similarity share
     a shingle of their prefixes, whatever their fingerprints are; of prefixes that meet, only those of
-    different components are of use, so a group that is joined already gives no pair. How many shingles the
-    prefixes share bounds what the sets can share; where that is too little they are no pair either, and the
-    sets decide the others.
+    different components are of use, so a group that is joined already gives no pair (``meeting``). The sets
+    decide the others.
     """
     own = prints.join(nodes.select(*names, F.col("first").alias("id")), [*names, "id"]).join(classes.select(*names, "component"), names)
     own = own.select(*names, F.xxhash64(*names).alias("node"), F.xxhash64("component").alias("c"), "component", "size", "prefix")
     own = kept(own.dropDuplicates(names), "prefixes")
-    grams = own.select("node", "c", "size", F.posexplode("prefix").alias("at", "gram"))
-    met = kept(grams.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram"), "met")
-    shared = kept(grams.join(met, "gram"), "shared")
-    a, b = (shared.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "c", "size", "at")]) for s in "ab")
-    sizes = F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - SLACK
-    pairs = a.join(b, "gram").where((F.col("a_c") < F.col("b_c")) & sizes).groupBy("a_node", "b_node", "a_size", "b_size")
-    pairs = pairs.agg(F.count(F.lit(1)).alias("n"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"))
-    # What they share beyond the last shingle that their prefixes share lies behind it in both, and behind one's prefix.
-    behind = F.least(F.col("a_size") - F.col("a_at") - 1, F.col("b_size") - F.col("b_at") - 1, F.ceil(F.lit(similarity) * F.greatest("a_size", "b_size") - SLACK) - 1)
-    most = F.col("n") + behind
-    alike = most >= F.lit(similarity) * (F.col("a_size") + F.col("b_size") - most) - SLACK
-    pairs = kept(pairs.where(alike).select("a_node", "b_node"), "pairs")
+    pairs = kept(meeting(own.select("node", "c", "size", "prefix"), similarity), "pairs")
     side = lambda s: own.select(F.col("node").alias(f"{s}_node"), F.col("component").alias(f"c{s}"), *[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)])
     links = kept(pairs.join(side("a"), "a_node").join(side("b"), "b_node").drop("a_node", "b_node"), "rest")
     merged = components(decided(links, nodes, texts, names, shingle, similarity).select("ca", "cb"), "ca", "cb")
