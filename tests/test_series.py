@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import measures, series
+from tidewright.sources import adapters
 
 DAY = dt.date(2020, 1, 1)
 
@@ -183,3 +185,16 @@ def test_parts_of_the_dense_panel_follow_its_rows(spark, monkeypatch):
         assert sum(sizes) == 50 * ids
         most.append(max(sizes))
     assert max(most) <= 600, most
+
+
+def test_weeks_are_grouped_in_parts_that_follow_the_rows(spark, monkeypatch):
+    """What a task groups stays as large when the table grows, and the sums are those of all rows."""
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(adapters, "GROUPED_ROWS", 200, raising=False)
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    weeks = adapters.weekly(spark, data)
+    parts = weeks.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > rows / 400 and max(r["count"] for r in parts) <= 400
+    want = duckdb.sql(f"""select l_suppkey, date_trunc('week', l_shipdate)::date, sum(l_extendedprice::decimal(18,2)), sum(l_quantity::decimal(18,2))
+        from '{data}/lineitem.parquet' group by all""").fetchall()
+    assert sorted(tuple(r) for r in weeks.collect()) == sorted(want)
