@@ -99,3 +99,54 @@ def test_a_filter_of_keys_misses_none_and_lets_few_others_through(spark):
     wrong = out.where(F.col("m") != F.coalesce(F.col("id") % 3 == 0, F.lit(False)))
     assert wrong.where("not m").count() == 0 and wrong.count() < 5
     assert simhash.maybe_in(rows, F.xxhash64("id"), keys.limit(0), F.col("h"), "m").where("m").count() == 0
+
+
+def _odd_texts(n, size):
+    """Texts of blanks, separators that are none to the tokenizer, contractions, digits, signs and wide characters."""
+    dice = random.Random(6)
+    parts = [*" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u180e\u2003\u200b\u2028\u3000", "  ", "#", "'s", "don't", "...", "12", "a", "Word", " the", "é", "漢字", "😀", "<|endoftext|>", "\0"]
+    return ["".join(dice.choices(parts, k=dice.randint(1, size))) for _ in range(n)]
+
+
+def test_stretches_and_spliced_chunks_count_as_whole_texts(monkeypatch):
+    """A text may be cut before a blank only if the tokenizer takes it for one: the separators from U+001C to U+001F go with signs."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tidewright.llm import token_count
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = token_count.tokenizer(path)
+    assert not token_count.stable("#", "\x1c") and token_count.stable("#", "\u3000")
+    monkeypatch.setattr(token_count, "REMEMBERED", 50)
+    texts = _odd_texts(3000, 40)
+    whole = [len(x) for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert token_count.counts_of(path, texts) == whole
+    seen = token_count.Splices()
+    assert [token_count.count_long(t, x, 20, 5, seen) for x in texts] == whole and seen.spliced > 1000
+
+
+def test_token_counts_ask_the_library_for_no_offsets_and_for_a_stretch_once(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tidewright.llm import token_count
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real = token_count.tokenizer(path)
+
+    class Counted:
+        chars = 0
+
+        def __getattr__(self, name):
+            assert name not in ("encode", "encode_batch")
+            return getattr(real, name)
+
+        def encode_batch_fast(self, texts, **given):
+            self.chars += sum(map(len, texts))
+            return real.encode_batch_fast(texts, **given)
+
+    t = Counted()
+    monkeypatch.setattr(token_count, "tokenizer", lambda _: t)
+    texts = [f"{k} the house and the garden\n" * 50 for k in range(100)]
+    assert token_count.counts_of(path, texts) == [len(real.encode(x, add_special_tokens=False)) for x in texts]
+    assert t.chars < sum(map(len, texts)) / 100
+    t.chars, long = 0, " ".join(f"word{k}" for k in range(5000))
+    assert token_count.counts_of(path, [long]) == [len(real.encode(long, add_special_tokens=False))]
+    assert len(long) <= t.chars < 1.1 * len(long)

@@ -5,7 +5,9 @@ chunks are spliced at a position that is proven stable: one at which a match of
 always ends, and after which matches do not depend on what went before. These are white space after
 anything else (a match holds white space only at its start), a digit after a letter, and punctuation
 after a letter or digit. (Not a letter after punctuation: an apostrophe takes some letters along.)
-Both encodings must also have a token boundary there. If the overlap holds no such position it is
+Both encodings must also have a token boundary there. A shorter text is one chunk, and is cut at all
+of the first kind of these positions; the library encodes each of the stretches between them once a
+task, as far as they are remembered. If the overlap holds no such position it is
 doubled, up to the whole rest; so only a stretch of one kind of character, such as letters without
 any space, sign or digit, is encoded at one go: it is one word to the pre-tokenizer too.
 
@@ -16,6 +18,7 @@ not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -36,7 +39,14 @@ OVERLAP = 200
 #: Encodings of this much text are held at a time.
 BATCH_CHARS = 400_000
 LIMIT = 512
+#: Counts of about so many stretches, of at most so many characters each, are remembered.
+REMEMBERED = 1 << 18
+REMEMBERED_CHARS = 32
 DIGITS = frozenset("0123456789")
+#: White space of the pre-tokenizer's pattern; Python's also has the separators U+001C to U+001F, which are no white space there.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRETCH = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+_IS_BLANK = re.compile(f"[{BLANK}]").fullmatch
 
 
 @cache
@@ -52,37 +62,53 @@ def tokenizer(path: str) -> Any:
 
 @cache
 def splices(path: str) -> bool:
-    """Whether texts may be cut at blanks: byte-level matches, and no added token that touches white space."""
+    """Whether texts may be cut at blanks: byte-level matches and tokens, every byte has one, and no added token that touches white space."""
     import json
 
+    from tokenizers.pre_tokenizers import ByteLevel
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
     plain = all(not (x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"])) for x in spec.get("added_tokens", []))
-    return plain and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    model = spec["model"]
+    spelled = model.get("type") == "BPE" and not (model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")) and set(ByteLevel.alphabet()) <= set(model["vocab"])
+    return plain and spelled and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+
+
+@cache
+def widths(t: Any) -> np.ndarray:
+    """How many bytes each token holds, by its id: a byte-level vocabulary spells each byte as one character."""
+    size = {i: len(token) for token, i in t.get_vocab(with_added_tokens=True).items()}
+    size |= {i: len(x.content.encode()) for i, x in t.get_added_tokens_decoder().items()}
+    found = np.zeros(max(size) + 1, np.int64)
+    found[list(size)] = list(size.values())
+    return found
 
 
-def starts_of(t: Any, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where each token starts and ends, in characters."""
-    offsets = np.array(t.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-    return offsets[:, 0], offsets[:, 1]
+def ends_of(t: Any, text: str, start: int) -> np.ndarray:
+    """Where each token of a text that starts at byte ``start`` ends, in bytes.
+
+    The tokens are summed up, as the library takes half as long again to give the offsets.
+    """
+    ids = t.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    return start + np.cumsum(widths(t)[np.array(ids, np.int64)])
 
 
 def stable(left: str, right: str) -> bool:
     """Whether a match always ends between these two characters."""
-    if right.isspace():
-        return not left.isspace()
+    if _IS_BLANK(right):
+        return not _IS_BLANK(left)
     a, b = category(left)[0], category(right)[0]
     return (a == "L" and right in DIGITS) or ((a == "L" or left in DIGITS) and b == "P")
 
 
-def _meeting(text: str, low: int, high: int, left: tuple[np.ndarray, np.ndarray, int], right: tuple[np.ndarray, np.ndarray, int]) -> int | None:
-    """The first stable position in (low, high) at which both encodings have a boundary."""
+def _meeting(text: str, low: int, high: int, at: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int] | None:
+    """The first stable position in (low, high) at which both encodings have a boundary, in characters and bytes. at: the bytes before low."""
     for p in range(low + 1, high):
-        if stable(text[p - 1], text[p]):
-            # Every token lies wholly before p or wholly from p on.
-            if all(not ((s < p - base) & (e > p - base)).any() for s, e, base in (left, right)):
-                return p
+        at += len(text[p - 1].encode())
+        if stable(text[p - 1], text[p]) and all(ends[np.searchsorted(ends, at)] == at for ends in (left, right)):
+            return p, at
     return None
 
 
@@ -97,17 +123,18 @@ class Splices:
 def count_long(t: Any, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, seen: Splices | None = None) -> int:
     """The tokens of a text by chunks. seen: counts what was done."""
     seen = seen or Splices()
-    total, begin, start = 0, 0, 0  # tokens from ``begin`` on are still to count; the chunk starts at ``start``
+    total, begin, at = 0, 0, 0  # tokens from ``begin`` on, which is byte ``at``, are still to count
     end = min(chunk, len(text))
-    now = (*starts_of(t, text[start:end]), start)
+    now = ends_of(t, text[:end], 0)
     while end < len(text):
         wide = overlap
         while True:
             after = max(begin, end - wide)
             stop = min(len(text), after + chunk + wide)
-            then = (*starts_of(t, text[after:stop]), after)
-            p = _meeting(text, after, end, now, then)
-            if p is not None:
+            before = at + len(text[begin:after].encode())
+            then = ends_of(t, text[after:stop], before)
+            met = _meeting(text, after, end, before, now, then)
+            if met is not None:
                 seen.spliced += 1
                 break
             seen.widened += 1
@@ -116,28 +143,50 @@ def count_long(t: Any, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, se
                     break
                 chunk *= 2
             wide *= 2
-        if p is None:
+        if met is None:
             now, end = then, stop
             continue
-        s = now[0] + now[2]
-        total += int(((s >= begin) & (s < p)).sum())
-        begin, now, end = p, then, stop
-    s = now[0] + now[2]
-    return total + int((s >= begin).sum())
+        p, cut = met
+        total += int(np.searchsorted(now, cut, "right") - np.searchsorted(now, at, "right"))
+        begin, at, now, end = p, cut, then, stop
+    return total + len(now) - int(np.searchsorted(now, at, "right"))
+
+
+@cache
+def remembered(path: str) -> dict[str, int]:
+    """The tokens of stretches that this process has met."""
+    return {}
+
+
+def count_short(path: str, texts: list[str]) -> list[int]:
+    """The tokens of each text, as the sum of its stretches' tokens."""
+    t, known, out = tokenizer(path), remembered(path), []
+    for part in slices(texts, BATCH_CHARS):
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut = [STRETCH.findall(x) for x in texts[part]]
+        new = list(set().union(*cut).difference(known))
+        known |= zip(new, map(len, t.encode_batch_fast(new, add_special_tokens=False)), strict=True)
+        out += [sum(map(known.__getitem__, own)) for own in cut]
+        for x in new:
+            if len(x) > REMEMBERED_CHARS:
+                del known[x]
+    return out
 
 
 def counts_of(path: str, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The tokens of each text; equal texts of the list are encoded once."""
+    """The tokens of each text; equal texts of the list are counted once."""
     t = tokenizer(path)
     found = dict.fromkeys(texts, 0)
-    cuts = splices(path)
-    short = [x for x in found if len(x) <= chunk or not cuts]
-    for part in slices(short, BATCH_CHARS):
-        own = short[part]
-        found |= zip(own, map(len, t.encode_batch_fast(own, add_special_tokens=False)), strict=True)
-    for x in found:
-        if cuts and len(x) > chunk:
-            found[x] = count_long(t, x, chunk, overlap)
+    if splices(path):
+        short = [x for x in found if len(x) <= chunk]
+        found |= zip(short, count_short(path, short), strict=True)
+        found |= {x: count_long(t, x, chunk, overlap) for x in found if len(x) > chunk}
+    else:
+        whole = list(found)
+        for part in slices(whole, BATCH_CHARS):
+            own = whole[part]
+            found |= zip(own, map(len, t.encode_batch_fast(own, add_special_tokens=False)), strict=True)
     return [found[x] for x in texts]
 
 
