@@ -19,6 +19,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import free_prefix, kept, partitions, slim
+from tidewright.llm.common import free_prefix, given, kept, new_path, partitions, settled, slim, written
 from tidewright.llm.components import components
 
 BITS = 64
@@ -56,6 +57,10 @@ LINKS_AT_A_LOOK = 1 << 12
 FILTER_BITS, BITMAP = 1 << 24, 1 << 15
 #: Rows of whole buckets that a task compares at a time; a bucket with more is taken alone.
 ROWS_AT_ONCE = 1 << 18
+#: Covering tables that are exchanged at a time.
+TABLES_AT_ONCE = 32
+#: Parts, by their shingles, in which prefixes are exchanged one after another.
+GRAM_PARTS = 4
 #: Texts, about, whose shingles tell which are frequent, and how many of those are told: only an order, see ``prefix_of``.
 SAMPLE, FREQUENT = 4096, 1 << 15
 #: What a share of whole numbers lacks as a double.
@@ -127,14 +132,25 @@ def prefix_of(hashes: np.ndarray, similarity: float, frequent: np.ndarray, place
     return hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - SLACK)) + 1]]
 
 
+def parity_of(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of the hashes: whether an odd number of them has it.
+
+    As many bits as elements at least, a power of two of longs. Where two sets differ in d elements, these
+    differ in d bits at most.
+    """
+    bits = BITS << max(0, (len(hashes) - 1).bit_length() - 6)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def fingerprints(
     docs: DataFrame, key: str, text: str, sketches: list[tuple[int, bool, int]], wide: int = 0, similarity: float | None = None, frequent: Sequence[int] = ()
 ) -> DataFrame:
     """(id, fp0, fp1, ..., w0, w1, ...): a signed 64-bit fingerprint for each (shingle, once, number).
 
     Sketches of another number are independent; number 0 is XXH64 itself. wide: as many more over the
-    shingles of the last sketch, with independent hashes. similarity: also size and prefix (``prefix_of``) of
-    the set of those shingles.
+    shingles of the last sketch, with independent hashes. similarity: also size, prefix (``prefix_of``) and
+    parity (``parity_of``) of the set of those shingles.
     """
     often = np.array(frequent, np.int64).view(np.uint64)
     ranks = np.argsort(often)
@@ -145,7 +161,7 @@ def fingerprints(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slim(batches):
             found: list[list[int]] = [[] for _ in names]
-            sizes, prefixes = [], []
+            sizes, prefixes, parities = [], [], []
             for t in batch["text"]:
                 # bytes.lower() changes A-Z only, and bytes.split() cuts at ASCII white space only.
                 words = (t.as_py() or "").encode().lower().split()
@@ -159,14 +175,15 @@ def fingerprints(
                 if similarity is not None:
                     sizes.append(len(hashes))
                     prefixes.append(prefix_of(hashes, similarity, often, ranks).view(np.int64))
+                    parities.append(parity_of(hashes))
             cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in found]
             if similarity is not None:
-                cols += [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+                cols += [pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, parities))]
             yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", *names, *more])
 
     kind = rows.schema["id"].dataType.simpleString()
-    more = [] if similarity is None else ["size", "prefix"]
-    sets = "" if similarity is None else ", size int, prefix array<bigint>"
+    more = [] if similarity is None else ["size", "prefix", "parity"]
+    sets = "" if similarity is None else ", size int, prefix array<bigint>, parity array<bigint>"
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names) + sets)
 
 
@@ -377,6 +394,7 @@ def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_
     """(a0.., b0.., apart) links among the distinct fingerprints fp0.. of ``nodes`` that join all linked ones.
 
     prints: the first so many fingerprints have tables. Buckets stream through a task in order of their key.
+    Every table has a row for each node, so only TABLES_AT_ONCE of them are on disk at a time.
 
     wide: linked ones also differ in ``wide_apart`` bits of the fingerprints w0.. at most, ``apart`` says in
     how many, and several forests of the nearest links come, as a later test may refuse some. As so many
@@ -388,18 +406,26 @@ def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_
     spread = np.uint64(0x9E3779B97F4A7C15)
     parts = partitions(nodes.sparkSession)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [batch[n].to_numpy(zero_copy_only=False) for n in names]
-            for i in range(0, len(fps[0]), 4096):
-                for t in range(prints):
-                    own = fps[t][i : i + 4096].view(np.uint64)
-                    # Masked bits and the table's number, mixed: the few that clash are told apart by their bits.
-                    table = np.arange(1, len(all_masks) + 1, dtype=np.uint64) + np.uint64(t * len(all_masks))
-                    keys = ((own[:, None] & all_masks) + table * spread) * np.uint64(0xD6E8FEB86659FD93)
-                    keys ^= keys >> np.uint64(32)
-                    cols = [pa.array(np.repeat(f[i : i + 4096], len(all_masks))) for f in fps]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *cols], ["key", *names])
+    def dealt(first: int) -> DataFrame:
+        """The nodes under their keys in the tables from this one on."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = range(first, min(first + TABLES_AT_ONCE, prints * len(all_masks)))
+            for batch in batches:
+                fps = [batch[n].to_numpy(zero_copy_only=False) for n in names]
+                for i in range(0, len(fps[0]), 4096):
+                    for t in range(prints):
+                        own = fps[t][i : i + 4096].view(np.uint64)
+                        # Masked bits and the table's number, mixed: the few that clash are told apart by their bits.
+                        table = np.array([n + 1 for n in tables if n // len(all_masks) == t], np.uint64)
+                        if not len(table):
+                            continue
+                        keys = ((own[:, None] & all_masks[(table - np.uint64(1)) % np.uint64(len(all_masks))]) + table * spread) * np.uint64(0xD6E8FEB86659FD93)
+                        keys ^= keys >> np.uint64(32)
+                        cols = [pa.array(np.repeat(f[i : i + 4096], len(table))) for f in fps]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *cols], ["key", *names])
+
+        return by_bucket(nodes.select(*names).mapInArrow(deal, f"key long, {kinds}"))
 
     def read(table: pa.Table, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return table["key"].to_numpy(), np.stack([table[n].to_numpy().view(np.uint64) for n in columns], axis=1)
@@ -425,11 +451,17 @@ def edges(nodes: DataFrame, limits: list[int], radius: int, wide: int = 0, wide_
 
     kinds = ", ".join(f"{n} long" for n in names)
     out = ", ".join(f"{s}{k} long" for s in "ab" for k in range(len(names))) + ", apart int"
-    dealt = by_bucket(nodes.select(*names).mapInArrow(deal, f"key long, {kinds}"))
+    starts = range(0, prints * len(all_masks), TABLES_AT_ONCE)
     if wide:
-        near = kept(dealt.mapInArrow(mates, f"key long, {kinds}"), "mates")
-        dealt = by_bucket(near.join(nodes.select(*names, *more), names).select("key", *names, *more))
-    return dealt.mapInArrow(meet, out).distinct()
+        path, kind = new_path(nodes.sparkSession, "mates"), f"key long, {kinds}"
+        for first in starts:
+            written(dealt(first).mapInArrow(mates, kind), path)
+        near = nodes.sparkSession.read.schema(kind).parquet(path)
+        return by_bucket(near.join(nodes.select(*names, *more), names).select("key", *names, *more)).mapInArrow(meet, out).distinct()
+    met = dealt(0).mapInArrow(meet, out)
+    for first in starts[1:]:
+        met = met.unionByName(dealt(first).mapInArrow(meet, out))
+    return met.distinct()
 
 
 def _nodes(prints: DataFrame, limits: list[int], members: Column, wide: int = 0) -> DataFrame:
@@ -441,14 +473,15 @@ def _nodes(prints: DataFrame, limits: list[int], members: Column, wide: int = 0)
     return kept(nodes, "nodes")
 
 
-def _classes(nodes: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
-    """(fp0.., first, component): nodes with their component."""
+def _classes(nodes: DataFrame, links: DataFrame, names: list[str], since: int | None = None) -> DataFrame:
+    """(fp0.., first, component): nodes with their component. since: what was written from there on only made the links."""
+    since = given() if since is None else since
     pack = lambda s: F.struct(*[F.col(f"{s}{k}").alias(n) for k, n in enumerate(names)])
     groups = components(links.select(pack("a").alias("a"), pack("b").alias("b")), "a", "b")
     named = groups.select(*[F.col(f"node.{n}").alias(n) for n in names], "component")
     joined = nodes.select(*names, "first").join(named, names, "left")
     own = F.struct(*[F.col(n) for n in names])
-    return kept(joined.withColumn("component", F.coalesce("component", own)), "classes")
+    return settled(joined.withColumn("component", F.coalesce("component", own)), "classes", since)
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -510,23 +543,32 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> list[int]:
 def meeting(sets: DataFrame, similarity: float) -> DataFrame:
     """(a_node, b_node): what may be two sets of that similarity in different components; no such two are left out.
 
-    sets: (node, c, size, prefix), written, with the component as c and the prefix of ``prefix_of``. Two sets of
+    sets: (node, c, size, prefix), written, with the component as c and the prefix of ``prefix_of``; with parity too,
+    what that tells apart goes first (``near_by_parity``), as the pairs grow faster than the sets. Two sets of
     the similarity share so many elements, ``least``, that the first shared one has as many in either from it on;
     only shingles so far in front of both count. Those of the smaller set lie where a partner of its own
     size asks for one. So what many sets share gives no row for each pair of them, unless it is among the rarest of both.
     """
     least = lambda a, b: F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(a) + F.col(b)) - SLACK)
-    grams = sets.select("node", "c", "size", F.posexplode("prefix").alias("at", "gram"))
-    grams = grams.withColumn("front", F.col("at") <= F.col("size") - least("size", "size"))
-    met = grams.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("front").alias("fronts"))
-    shared = kept(grams.join(kept(met.where("low <> high and fronts").select("gram"), "met"), "gram"), "shared")
+    every = sets.select("node", "c", "size", F.posexplode("prefix").alias("at", "gram"))
+    every = every.withColumn("front", F.col("at") <= F.col("size") - least("size", "size"))
     side = lambda rows, s: rows.select("gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "c", "size", "at")])
     smaller = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_c") < F.col("b_c")))
     sizes = F.col("a_size") >= F.lit(similarity) * F.col("b_size") - SLACK
     early = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) >= least("a_size", "b_size")
-    rows = side(shared.where("front"), "a").join(side(shared, "b"), "gram").where((F.col("a_c") != F.col("b_c")) & smaller & sizes & early)
+    found = []
+    for part in range(GRAM_PARTS):
+        mark = given()
+        grams = every.where(F.pmod("gram", F.lit(GRAM_PARTS)) == part)
+        met = grams.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("front").alias("fronts"))
+        shared = kept(grams.join(kept(met.where("low <> high and fronts").select("gram"), f"met{part}"), "gram"), f"shared{part}")
+        rows = side(shared.where("front"), "a").join(side(shared, "b"), "gram").where((F.col("a_c") != F.col("b_c")) & smaller & sizes & early)
+        found.append(settled(rows.select("a_node", "b_node").distinct(), "found", mark))
     own = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "prefix")])
-    pairs = kept(rows.select("a_node", "b_node").distinct(), "meeting").join(own("a"), "a_node").join(own("b"), "b_node")
+    pairs = kept(reduce(DataFrame.unionByName, found).distinct(), "meeting")
+    if "parity" in sets.columns:
+        pairs = kept(near_by_parity(pairs, sets, similarity), "near")
+    pairs = pairs.join(own("a"), "a_node").join(own("b"), "b_node")
     # How many shingles the prefixes share bounds what the sets can share.
     pairs = pairs.withColumn("both", F.array_intersect("a_prefix", "b_prefix")).withColumn("last", F.element_at("both", -1))
     # What they share beyond the last of these lies behind it in both, and behind one's prefix.
@@ -535,6 +577,29 @@ def meeting(sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(most >= least("a_size", "b_size")).select("a_node", "b_node")
 
 
+def near_by_parity(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a_node, b_node) without those whose parities differ in more bits than sets of that similarity in elements.
+
+    sets: (node, size, parity). A longer parity is folded to the length of the other. So a pair carries about an
+    eighth of a byte for an element of its sets, and hardly any goes on that is not alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slim(batches):
+            own = [(batch[f"{s}_parity"].flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch[f"{s}_parity"].value_lengths().to_numpy()) for s in "ab"]
+            (a, b), sizes = (np.cumsum(n) - n for _, n in own), sum(batch[f"{s}_size"].to_numpy().astype(np.int64) for s in "ab")
+            apart = np.zeros(batch.num_rows, np.int64)
+            for n, m in {*zip(own[0][1].tolist(), own[1][1].tolist(), strict=True)}:
+                at, k = np.flatnonzero((own[0][1] == n) & (own[1][1] == m)), min(n, m)
+                left, right = (np.bitwise_xor.reduce(x[start[at, None] + np.arange(size)].reshape(len(at), -1, k), axis=1) for (x, _), start, size in zip(own, (a, b), (n, m), strict=True))
+                apart[at] = np.bitwise_count(left ^ right).sum(1)
+            least = np.ceil(similarity / (1 + similarity) * sizes - SLACK).astype(np.int64)
+            yield batch.select(["a_node", "b_node"]).filter(pa.array(apart <= sizes - 2 * least))
+
+    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "parity")])
+    return pairs.join(side("a"), "a_node").join(side("b"), "b_node").mapInArrow(run, "a_node long, b_node long")
+
+
 def joined_by_rest(classes: DataFrame, nodes: DataFrame, prints: DataFrame, texts: DataFrame, names: list[str], shingle: int, similarity: float) -> DataFrame:
     """``classes`` with those components as one that hold two texts of that similarity: no link is left out.
 
@@ -543,15 +608,17 @@ def joined_by_rest(classes: DataFrame, nodes: DataFrame, prints: DataFrame, text
     different components are of use, so a group that is joined already gives no pair (``meeting``). The sets
     decide the others.
     """
-    own = prints.join(nodes.select(*names, F.col("first").alias("id")), [*names, "id"]).join(classes.select(*names, "component"), names)
-    own = own.select(*names, F.xxhash64(*names).alias("node"), F.xxhash64("component").alias("c"), "component", "size", "prefix")
-    own = kept(own.dropDuplicates(names), "prefixes")
-    pairs = kept(meeting(own.select("node", "c", "size", "prefix"), similarity), "pairs")
+    mark = given()
+    # A node's texts are of one id here, so rows that come twice are of equal names and id.
+    own = prints.join(classes.select(*names, F.col("first").alias("id"), "component"), [*names, "id"]).dropDuplicates([*names, "id"])
+    own = kept(own.select(*names, F.xxhash64(*names).alias("node"), F.xxhash64("component").alias("c"), "component", "size", "prefix", "parity"), "prefixes")
+    inner = given()
+    pairs = settled(meeting(own.select("node", "c", "size", "prefix", "parity"), similarity), "pairs", inner)
     side = lambda s: own.select(F.col("node").alias(f"{s}_node"), F.col("component").alias(f"c{s}"), *[F.col(n).alias(f"{s}{k}") for k, n in enumerate(names)])
-    links = kept(pairs.join(side("a"), "a_node").join(side("b"), "b_node").drop("a_node", "b_node"), "rest")
+    links = settled(pairs.join(side("a"), "a_node").join(side("b"), "b_node").drop("a_node", "b_node"), "rest", mark)
     merged = components(decided(links, nodes, texts, names, shingle, similarity).select("ca", "cb"), "ca", "cb")
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    return kept(classes.join(merged, "component", "left").select(*names, "first", F.coalesce("whole", "component").alias("component")), "wholes")
+    return settled(classes.join(merged, "component", "left").select(*names, "first", F.coalesce("whole", "component").alias("component")), "wholes", mark)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -592,10 +659,12 @@ def one_of_each_group(
     prints = kept(fingerprints(ids, "id", "text", sketches, WIDE, similarity, frequent_shingles(ids, shingle)), "prints")
     limits = [*[word_apart] * word_prints, most_apart(similarity, BITS, 3.0)]
     nodes = _nodes(prints, limits, F.col("id"), WIDE)
-    links = kept(edges(nodes, limits, word_radius, WIDE, most_apart(similarity, BITS * WIDE), word_prints), "links")
+    mark = given()
+    links = settled(edges(nodes, limits, word_radius, WIDE, most_apart(similarity, BITS * WIDE), word_prints), "links", mark)
+    mark = given()
     sure = F.col("apart") <= most_apart(similarity, BITS * WIDE, -SURE)
     alike = links.where(sure).unionByName(decided(links.where(~sure), nodes, ids, names, shingle, similarity))
-    classes = joined_by_rest(_classes(nodes, alike, names), nodes, prints, ids, names, shingle, similarity)
+    classes = joined_by_rest(_classes(nodes, alike, names, mark), nodes, prints, ids, names, shingle, similarity)
     firsts = classes.groupBy("component").agg(F.min("first").alias("keep"))
     named = classes.join(firsts, "component").select(*names, "keep")
     # One row for each (key, text hash): does it stay, and how often does it come?
