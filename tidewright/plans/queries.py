@@ -129,8 +129,9 @@ def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = adapters.read(spark, sf_dir, "events")
     points = events.select(F.col("user_id").alias("id"), F.to_date("ts").alias("date"), F.col("value").alias("close"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
     source = new_path(spark, "points")
-    points.repartition(4).write.parquet(source)
-    arriving = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    points.repartition(files).write.parquet(source)
+    arriving = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(source)
     out = new_path(spark, "rolling")
     rolling.run_to_end(spark, rolling.rolling_stream(arriving, 90, "60 days"), out, new_path(spark, "rolling-checkpoint"))
     return rounded_frame(rolling.latest(spark.read.parquet(out).drop("run")))
